@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, packing, planes, simhash, warc_zip
+from . import covertree, licenses, media, packing, planes, simhash, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,16 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_files(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_warc, op4_media, op5_packing, op6_licenses, op10_planes)}
+    return {f.__name__: f for f in (op1_simhash, op3_warc, op4_media, op5_packing, op6_licenses, op9_covertree, op10_planes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -106,9 +106,8 @@ def link_blocks(one: np.ndarray, two: np.ndarray | None, radius: int = RADIUS) -
             x, y = np.nonzero(np.bitwise_count(a[i:j, None] ^ b[None, k:m]) <= radius)
             if same and s == t:
                 x, y = x[x < y], y[x < y]
-            for p, q in zip((x + i).tolist(), (y + k).tolist()):
-                if trees.join(p, q + shift):
-                    out.append((int(a[p]), int(b[q])))
+            new = trees.join_all(x + i, y + k + shift)
+            out += zip(a[x[new] + i].tolist(), b[y[new] + k].tolist())
     return out
 
 
