@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, licenses, media, packing, planes, simhash, warc_zip
+from . import covertree, langid, licenses, media, mixing, packing, planes, simhash, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.mix(table(spark, sf_dir, "documents"), epochs=2)
+    return chosen.select("doc_id", "mix_domain", "lang", "source", "mix_tokens", "mix_epoch")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -40,7 +49,7 @@ def op10_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_warc, op4_media, op5_packing, op6_licenses, op9_covertree, op10_planes)}
+    return {f.__name__: f for f in (op1_simhash, op3_warc, op4_media, op5_packing, op6_licenses, op7_mixing, op8_langid, op9_covertree, op10_planes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -169,22 +169,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each near-duplicate group.
 
-    The row whose doc_id names its component stays; of rows repeating that
-    doc_id, the first by text.  Rows without a doc_id stay only in components
-    in which none has one, one row for each fingerprint.
+    The row whose doc_id names its component stays; where several rows repeat
+    that doc_id, the smallest of them by its other columns.  Rows without a
+    doc_id stay only in components in which none has one, one row for each
+    fingerprint.
     """
     groups = near_duplicates(docs, **options)
-    ids = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(ids, "doc_id", "left_semi")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    once = named.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_row")) if others else named.distinct()
-    once = once.select([F.col("doc_id") if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in docs.columns]) if others else once
-    nameless = groups.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    marked = fingerprints_of(docs.where("doc_id is null"))
-    return once.unionByName(marked.join(nameless, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(docs.columns))
-
-
-def fingerprints_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with a column ``fingerprint`` of 16 hexadecimal digits."""
+    ids = stage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
+    single = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    repeated = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row"))
+    repeated = repeated.select([F.col("doc_id") if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return single.unionByName(repeated).unionByName(_nameless(docs, groups, options.get("shingle", SHINGLE)))
+
+
+def _nameless(docs: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
+    """Rows without doc_id whose components have none: one for each fingerprint."""
     print_one = F.udf(lambda t: f"{simhash(t, shingle):016x}", "string")
-    return docs.withColumn("fingerprint", print_one("text"))
+    left = groups.where("doc_id is null and component_id is null").select("fingerprint").distinct()
+    rows = docs.where("doc_id is null").withColumn("fingerprint", print_one("text"))
+    return rows.join(left, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(docs.columns)
