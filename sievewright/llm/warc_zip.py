@@ -1,8 +1,8 @@
 """WARC records in ZIP packages, read back by range without extraction.
 
 A package is a ZIP archive with two stored (uncompressed) members: the WARC
-file itself and its index, one line for each record (sorted by URL key) with
-the record's place inside the WARC member.  The reader parses the end record,
+file, each record a gzip member of its own as usual, and its index, one line
+for each record (sorted by URL key) with the record's place in the WARC file.  The reader parses the end record,
 the ZIP64 locator and end record, the central directory and its ZIP64 extra
 fields on its own, finds the members' data through their local headers, and
 then reads single records by byte range.
@@ -11,6 +11,7 @@ then reads single records by byte range.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import open_read, open_write, scratch, stage
 
-WARC_MEMBER = "archive/data.warc"
+WARC_MEMBER = "archive/data.warc.gz"
+LEVEL = 2
 INDEX_MEMBER = "indexes/index.cdxj"
 PACKAGE_BYTES = 256 << 20
 STAMP = "2024-01-01T00:00:00Z"
@@ -92,7 +94,7 @@ class PackageWriter:
 
     def add(self, kind: str, url: str | None, page_id: int | None, payload: bytes, refers_to: int | None) -> None:
         digest = digest32(payload)
-        data = record_bytes(kind, url, page_id, payload, digest, refers_to)
+        data = gzip.compress(record_bytes(kind, url, page_id, payload, digest, refers_to), LEVEL, mtime=0)
         self.member.write(data)
         self.lines.append(f"{_clean(url_key(url))} {json.dumps({'url': url, 'page_id': page_id, 'type': kind, 'digest': digest, 'offset': self.at, 'length': len(data)})}")
         self.at += len(data)
@@ -184,7 +186,7 @@ class PackageReader:
         """The records of index entries, each by a range read."""
         start, _ = self.locate(WARC_MEMBER)
         for x in entries:
-            yield parse_record(self.file.read_at(x["length"], start + x["offset"]))
+            yield parse_record(gzip.decompress(self.file.read_at(x["length"], start + x["offset"])))
 
     def close(self) -> None:
         self.file.close()
