@@ -68,7 +68,7 @@ class Packer:
         left = sorted(self.pieces)  # ascending: the longest is at the end
         for tier, shorter in zip(self.tiers, (*self.tiers[1:], 0)):
             total = sum(p[0] for p in left)
-            while left and total >= tier and left[-1][0] > shorter:
+            while left and total >= tier and shorter < left[-1][0] <= tier:
                 total -= tier
                 window, gap = [left.pop()], 0
                 gap = tier - window[0][0]
@@ -154,8 +154,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
         packer = Packer(TaskContext.get().partitionId() << 40, tiers, pool, step)
         encode = encoder(path, END_ID)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                packer.add(doc_id, encode(text))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text").to_pylist())):
+                packer.add(doc_id, ids)
                 if len(packer.out) >= 20_000:
                     yield table(packer.rows())
         packer.flush(True)
