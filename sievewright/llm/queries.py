@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, langid, licenses, media, mixing, packing, planes, simhash, warc_zip
+from . import covertree, html_blocks, langid, licenses, media, mixing, packing, planes, simhash, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -49,7 +53,7 @@ def op10_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_warc, op4_media, op5_packing, op6_licenses, op7_mixing, op8_langid, op9_covertree, op10_planes)}
+    return {f.__name__: f for f in (op1_simhash, op2_html, op3_warc, op4_media, op5_packing, op6_licenses, op7_mixing, op8_langid, op9_covertree, op10_planes)}
 
 
 def oracle_sql() -> dict[str, str]:
