@@ -36,7 +36,9 @@ SAMPLE = 2048
 CELLS = 64
 BLOCK = 4096
 LEAF = 32
+PAIRS = 1 << 18
 SLACK = 1e-7
+ROUGH = np.float32(1e-5)
 
 
 def _greedy_net(points: np.ndarray, radius: float, limit: int | None = None) -> list[int]:
@@ -123,11 +125,31 @@ class Block:
         self.unit = self.points / np.linalg.norm(self.points, axis=1, keepdims=True)
         self.length = np.linalg.norm(self.points, axis=1)
         self.hub = self.unit[np.argsort(self.order)[self.centre]]
+        self.rough = self.hub.astype(np.float32)
 
     def below(self, n: int) -> np.ndarray:
         return np.arange(self.child[n], self.child[n] + self.children[n]) if self.children[n] else np.array([n])
 
 
+def near(one: Block, other: Block, rows: np.ndarray, cols: np.ndarray, reach: float):
+    """Candidate node pairs: all whose centres may be within covers and reach.
+
+    Nodes of like radius are taken together, so one product and one comparison
+    with the widest cover of two classes leaves few pairs to look at singly.
+    """
+    def classes(block: Block, nodes: np.ndarray):
+        kind = np.digitize(block.radius[nodes], (2 * SLACK, 0.1, 0.3, 0.6, 1.0))
+        return [nodes[kind == k] for k in np.unique(kind)]
+
+    for some in classes(one, rows):
+        for others in classes(other, cols):
+            widest = one.radius[some].max() + other.radius[others].max() + reach + SLACK
+            least, right = np.float32(1 - widest * widest / 2), other.rough[others].T
+            for low in range(0, len(some), 512):
+                x, y = np.nonzero(one.rough[some[low : low + 512]] @ right >= least - ROUGH)
+                yield some[low + x], others[y]
+
+
 def walk(one: Block, two: Block | None, threshold: float = THRESHOLD) -> tuple[list, list]:
     """(node, links) counts and (u, v) spanning links of one pair of blocks."""
     same = two is None
@@ -153,16 +175,25 @@ def walk(one: Block, two: Block | None, threshold: float = THRESHOLD) -> tuple[l
         join(rows, np.full(len(rows), cols[0]))
         join(np.full(len(cols), rows[0]), cols)
 
-    def leaves(a: int, b: int) -> None:
-        (i, j), (k, m) = (one.lo[a], one.hi[a]), (other.lo[b], other.hi[b])
-        cosine = (one.points[i:j] @ other.points[k:m].T) / (one.length[i:j, None] * other.length[None, k:m])
-        x, y = np.nonzero(cosine >= threshold)
-        if same and a == b:
-            x, y = x[x < y], y[x < y]
-        x, y = x + i, y + k
-        np.add.at(count_a, x, other.mult[y])
-        np.add.at(count_b, y, one.mult[x])
-        join(x, y)
+    def leaves(p: np.ndarray, q: np.ndarray) -> None:
+        """All members of leaves p[i] against those of q[i], exactly."""
+        n_q = other.hi[q] - other.lo[q]
+        sizes = (one.hi[p] - one.lo[p]) * n_q
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < len(p):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+            n = sizes[low:high]
+            pair = np.repeat(np.arange(low, high), n)
+            nth = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            i, k = one.lo[p[pair]] + nth // n_q[pair], other.lo[q[pair]] + nth % n_q[pair]
+            cosine = np.einsum("ij,ij->i", one.points[i], other.points[k]) / (one.length[i] * other.length[k])
+            hit = (cosine >= threshold) & ((i < k) if same else True)
+            i, k = i[hit], k[hit]
+            np.add.at(count_a, i, other.mult[k])
+            np.add.at(count_b, k, one.mult[i])
+            join(i, k)
+            low = high
 
     todo = [(0, 0)]
     while todo:
@@ -171,33 +202,23 @@ def walk(one: Block, two: Block | None, threshold: float = THRESHOLD) -> tuple[l
             whole(a, b)
             continue
         if not one.children[a] and not other.children[b]:
-            leaves(a, b)
+            leaves(np.array([a]), np.array([b]))
             continue
-        rows, cols = one.below(a), other.below(b)
-        for low in range(0, len(rows), 512):
-            part = rows[low : low + 512]
-            apart = np.sqrt(np.maximum(0.0, 2 - 2 * (one.hub[part] @ other.hub[cols].T)))
-            cover = one.radius[part][:, None] + other.radius[cols][None]
-            keep = apart <= cover + reach + SLACK
+        for p, q in near(one, other, one.below(a), other.below(b), reach):
             if same and a == b:
-                keep &= part[:, None] <= cols[None]
+                p, q = p[p <= q], q[p <= q]
+            apart = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", one.hub[p], other.hub[q])))
+            cover = one.radius[p] + other.radius[q]
+            keep = apart <= cover + reach + SLACK
             full = keep & (apart + cover + SLACK <= reach)
-            if same and a == b:
-                full &= part[:, None] != cols[None]
-            single = keep & ~full & ((one.children[part] == 0)[:, None] & (other.children[cols] == 0)[None])
-            lone = single & ((one.hi - one.lo)[part] == 1)[:, None] & ((other.hi - other.lo)[cols] == 1)[None]
-            x, y = np.nonzero(lone)
-            if len(x):
-                p, q = one.lo[part[x]], other.lo[cols[y]]
-                cosine = np.einsum("ij,ij->i", one.points[p], other.points[q]) / (one.length[p] * other.length[q])
-                hit = (cosine >= threshold) & ((p < q) if same else True)
-                p, q = p[hit], q[hit]
-                np.add.at(count_a, p, other.mult[q])
-                np.add.at(count_b, q, one.mult[p])
-                join(p, q)
-            for x, y in zip(*np.nonzero(full)):
-                whole(int(part[x]), int(cols[y]))
-            todo += [(int(part[x]), int(cols[y])) for x, y in zip(*np.nonzero(keep & ~full & ~lone))]
+            if same:
+                full &= p != q
+            for x, y in zip(p[full].tolist(), q[full].tolist()):
+                whole(x, y)
+            leaf = keep & ~full & (one.children[p] == 0) & (other.children[q] == 0)
+            leaves(p[leaf], q[leaf])
+            rest = keep & ~full & ~leaf
+            todo += zip(p[rest].tolist(), q[rest].tolist())
     counts = list(zip(one.node.tolist(), count_a.tolist())) + ([] if same else list(zip(other.node.tolist(), count_b.tolist())))
     return [c for c in counts if c[1]], edges
 
