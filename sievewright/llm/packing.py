@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
         packer = Packer(TaskContext.get().partitionId() << 40, tiers, pool, step)
         encode = encoder(path, END_ID)
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text").to_pylist())):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").to_pylist())):
                 packer.add(doc_id, ids)
                 if len(packer.out) >= 20_000:
                     yield table(packer.rows())

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ from .tokens import END_ID, default_path, encoder
 MAGIC = b"SVPLANE1"
 CHUNK = 65_536
 FILE_IDS = 64_000_000
+MEMO = 800_000
 NO_ID = -(1 << 63)
 
 
@@ -59,7 +61,7 @@ def join_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
 class PlaneWriter:
     """Writes one file; :meth:`add` takes documents in order."""
 
-    def __init__(self, uri: str, mode: str = "byte", chunk: int = CHUNK, level: int = 3):
+    def __init__(self, uri: str, mode: str = "byte", chunk: int = CHUNK, level: int = 1):
         if mode not in ("bit", "byte"):
             raise ValueError(f"unknown plane mode: {mode}")
         self.uri, self.mode, self.chunk = uri, mode, chunk
@@ -140,6 +142,21 @@ class PlaneReader:
         self.file.close()
 
 
+def _ranges(rows: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``_range``, ascending with doc_id, and how many ranges there are.
+
+    The bounds are quantiles of doc_id, from a scan of that column alone;
+    nulls share the first range.
+    """
+    wanted = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, wanted)), 100 * parts).alias("q")).first().q if wanted else None
+    bounds = sorted({float(x) for x in found or []})
+    splits = [float("-inf"), *bounds, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")
+    dealt = cut.transform(rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))).drop("_key")
+    return dealt.withColumn("_range", F.col("_range").cast("int")), len(splits) - 1
+
+
 def write_planes(docs: DataFrame, tokenizer: str | None = None, mode: str = "byte", chunk: int = CHUNK, file_ids: int = FILE_IDS, parts: int | None = None) -> DataFrame:
     """Tokenize and write ``docs`` in ascending doc_id order; the manifest.
 
@@ -154,12 +171,12 @@ def write_planes(docs: DataFrame, tokenizer: str | None = None, mode: str = "byt
 
     def run(batches):
         part, count, writer = TaskContext.get().partitionId(), 0, None
-        encode = encoder(path, END_ID)
+        encode = encoder(path, END_ID, MEMO)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").to_pylist())):
                 if writer is None:
                     writer = PlaneWriter(f"{base}/part-{part:06d}-{count:04d}-{uuid.uuid4().hex}.planes", mode, chunk)
-                writer.add(doc_id, encode(text))
+                writer.add(doc_id, ids)
                 if writer.total >= file_ids:
                     writer.close()
                     yield _entry(part, count, writer)
@@ -169,7 +186,8 @@ def write_planes(docs: DataFrame, tokenizer: str | None = None, mode: str = "byt
             yield _entry(part, count, writer)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    dealt, parts = _ranges(rows, parts)
+    ordered = dealt.repartitionById(parts, "_range").drop("_range").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     return stage(ordered.mapInArrow(run, "part int, file int, uri string, n_docs long, n_ids long"), "planes-manifest")
 
 

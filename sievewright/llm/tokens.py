@@ -1,27 +1,32 @@
 """Token ids of whole texts by a public tokenizer file.
 
-Encoding goes through the ``tokenizers`` library.  For a plain byte-level BPE
-file, whose ids depend on each pre-token alone, the ids of a pre-token are
-kept in a bounded memo, so a pre-token is encoded once per worker rather than
-at each place; any other file, and any text that holds the string of a special
-token, is encoded whole.  Both ways give the same ids.
+Encoding goes through the ``tokenizers`` library.  A plain byte-level BPE file
+starts a pre-token at each space that a word follows, and makes a line feed
+between words a pre-token of its own.  There the ids of a text are those of
+its lines' space-separated units, and a unit's ids are kept in a bounded memo,
+so a unit is encoded once per worker rather than at each place.  A text with
+other white space, with runs of white space or with white space at an end is
+encoded whole, and so are texts with the string of a special token and all
+texts of other files.  Both ways give the same ids.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
+import struct
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Fixed value: the byte-level pre-tokenizer's published split pattern.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Units that a memo keeps, and the longest of them.
 MEMO = 400_000
-MEMO_WORD = 40
+MEMO_WORD = 32
+
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def default_path() -> str:
@@ -30,49 +35,74 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class _Odd(Exception):
+    """The text has to be encoded whole."""
+
+
 class _Memo(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
+    """Unit -> ids of ``lead`` and unit, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, lead: str, most: int, marks: _Memo | None = None):
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= MEMO_WORD:
-            if len(self) >= MEMO:
+        self.encode, self.lead, self.most, self.marks = encode, lead, most, self if marks is None else marks
+
+    def __missing__(self, unit: str) -> bytes:
+        word = None if unit.isalpha() else _LETTERS.match(unit)
+        if word and word.end() < len(unit) and word[0].isalpha() and not any(map(str.isalnum, unit[word.end() :])) and unit.split() == [unit]:
+            ids = self[word[0]] + self.marks[unit[word.end() :]]  # letters and marks are pre-tokens of their own
+        elif unit.split() != [unit]:
+            raise _Odd
+        else:
+            ids = _packed(self.encode(self.lead + unit, add_special_tokens=False).ids)
+        if len(unit) <= MEMO_WORD:
+            if len(self) >= self.most:
                 self.clear()
-            self[word] = ids
+            self[unit] = ids
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Text -> ids, the end id last, as a little-endian unsigned 32-bit array."""
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, memo: int = MEMO):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
-        plain = (
+        self.plain = (
             spec["model"].get("type") == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel"
             and not split.get("add_prefix_space") and split.get("use_regex", True)
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.find = regex.compile(SPLIT).findall if plain else None
-        self.memo = _Memo(self.tokenizer.encode)
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.first = _Memo(self.tokenizer.encode, "", memo // 4)
+        self.later = _Memo(self.tokenizer.encode, " ", memo, self.first)
+        self.feed, self.end = self._whole("\n"), np.array([end_id], "<u4").tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if self.find is None or any(s in text for s in self.special):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            ids = b"".join(map(self.memo.__getitem__, self.find(text)))
+        if not self.plain or any(s in text for s in self.special):
+            return np.frombuffer(self._whole(text) + self.end, "<u4")
+        first, later = self.first, self.later.__getitem__
+        try:
+            lines = [iter(line.split(" ")) for line in text.split("\n")]
+            ids = self.feed.join([first[next(x)] + b"".join(map(later, x)) for x in lines])
+        except _Odd:
+            ids = self._whole(text)
         return np.frombuffer(ids + self.end, "<u4")
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, end_id: int = END_ID) -> Encoder:
-    """The worker's encoder of a file; it lives as long as the worker."""
-    return Encoder(path, end_id)
+def encoder(path: str, end_id: int = END_ID, memo: int = MEMO) -> Encoder:
+    """The worker's encoder of a file; it lives as long as the worker.
+
+    A unit of the memo takes about 150 bytes.
+    """
+    return Encoder(path, end_id, memo)
