@@ -28,7 +28,8 @@ TABLE = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PASSES = 6
 SPLICED = 0.3
-CELLS = 1 << 18
+CELLS = 1 << 17
+CHUNK = 300
 SEED = 7
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -175,7 +176,7 @@ class Model:
             yield rows, posteriors(table[grid.T], mask, self.transition, self.start)
 
     def _emissions(self, words: list[str]) -> np.ndarray:
-        parts = [self.score_words(words[i : i + 50_000]) for i in range(0, len(words), 50_000)]
+        parts = [self.score_words(words[i : i + 8_000]) for i in range(0, len(words), 8_000)]
         return np.concatenate([*parts, np.zeros((1, len(self.languages)), np.float32)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -269,19 +270,19 @@ def identify(docs: DataFrame, model: Model | None = None, rows: int = TRAIN_ROWS
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, rows))
     keep = keep or ["doc_id"]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"), held_out(docs).alias("held_out"))
-    schema = source.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    own = [F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep]
+    extra = [] if "text" in keep else [F.col("text").cast("string").alias("text")]
+    source = docs.select(*own, *extra, held_out(docs).alias("held_out"))
+    kept = [c for c in source.columns if c != "text" or not extra]
+    schema = source.select(kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts, names, scores = batch.column("_text").to_pylist(), [], []
-            for low in range(0, len(texts), 1000):
-                more = model.predict(texts[low : low + 1000])
-                names += more[0]
-                scores += more[1]
-            kept = [i for i, c in enumerate(batch.schema.names) if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
+            for low in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(low, CHUNK)
+                names, scores = model.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
 
