@@ -8,6 +8,7 @@ which resolves the same URI on every executor.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -81,3 +82,29 @@ def open_read(uri: str) -> pa.NativeFile:
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "replace")
+
+
+_held: list = []
+
+
+def held_by_worker(cached):
+    """Register a cached function whose values other operators needn't keep in memory."""
+    _held.append(cached)
+    return cached
+
+
+def release() -> None:
+    """Drop what other operators left in this Python worker; workers are reused."""
+    for cached in _held:
+        cached.cache_clear()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own counsel
+
+
+def slices(batches, rows: int = 500):
+    """Arrow batches in pieces of few rows: only those become Python objects at once."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 UNKNOWN = "und"
 #: Bounds of the training sample: rows of a language, windows of a row, words of a window.
 TRAIN_ROWS = 400
@@ -277,6 +279,7 @@ def identify(docs: DataFrame, model: Model | None = None, rows: int = TRAIN_ROWS
     schema = source.select(kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
+        release()
         model = shared.value
         for batch in batches:
             for low in range(0, batch.num_rows, CHUNK):

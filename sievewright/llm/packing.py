@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .tokens import END_ID, default_path, encoder
 
 TIERS = (1024, 512, 256, 128)
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
     def run(batches):
         packer = Packer(TaskContext.get().partitionId() << 40, tiers, pool, step)
         encode = encoder(path, END_ID)
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").to_pylist())):
                 packer.add(doc_id, ids)
                 if len(packer.out) >= 20_000:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import release, slices, stage, utf8
 from .components import Forest, connected_components
 
 RADIUS = 3
@@ -63,7 +63,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, fp long); one row for each row."""
 
     def run(batches):
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             fps = np.fromiter((simhash(t, shingle) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -176,7 +177,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     groups = near_duplicates(docs, **options)
     ids = stage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
-    single = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # always the same kind of join: what it moves then grows with the input, not by a step
+    single = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     others = [c for c in docs.columns if c != "doc_id"]
     repeated = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row"))
     repeated = repeated.select([F.col("doc_id") if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in docs.columns])

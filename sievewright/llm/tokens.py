@@ -20,10 +20,12 @@ import struct
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import held_by_worker
+
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Units that a memo keeps, and the longest of them.
-MEMO = 400_000
+MEMO = 600_000
 MEMO_WORD = 32
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -99,6 +101,7 @@ class Encoder:
         return np.frombuffer(ids + self.end, "<u4")
 
 
+@held_by_worker
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, end_id: int = END_ID, memo: int = MEMO) -> Encoder:
     """The worker's encoder of a file; it lives as long as the worker.
