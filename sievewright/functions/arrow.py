@@ -25,6 +25,30 @@ def matcher_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([0.0 if a is None or b is None else SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right)], dtype=float)
 
 
+def reads_alike(threshold: float, containment: float):
+    """(later, earlier) -> do they share enough trigrams and match by ``threshold``.
+
+    Cheap upper bounds come first; texts under three characters need no trigram.
+    """
+
+    def grams(t: str) -> set[str]:
+        return {t[i : i + 3] for i in range(max(1, len(t) - 2))}
+
+    def one(a: str, b: str) -> bool:
+        if len(a) >= 3 and len(b) >= 3:
+            x, y = grams(a), grams(b)
+            if len(x & y) / max(1, min(len(x), len(y))) < containment:
+                return False
+        m = SequenceMatcher(None, a, b, autojunk=False)
+        return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+
+    @F.pandas_udf(T.BooleanType())
+    def alike(later: pd.Series, earlier: pd.Series) -> pd.Series:
+        return pd.Series([one(a, b) for a, b in zip(later, earlier)], dtype=bool)
+
+    return alike
+
+
 def hashing_embedder(dimensions: int = 384):
     """text -> unit vector of signed, hashed character trigram counts."""
 

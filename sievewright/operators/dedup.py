@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import matcher_ratio
+from ..functions.arrow import reads_alike
 from ..functions.text import comparison_text, trigrams
 
 ROUNDS = 200
@@ -96,27 +96,53 @@ def trigram_pairs(rows: DataFrame, text: str = "compared", order: str = "ord", c
     return sized.where(share >= containment).select("hi", "lo", "shared", share.alias("containment"))
 
 
+def similar_pairs(rows: DataFrame, threshold: float = 0.92, containment: float = 0.45, text: str = "compared", order: str = "ord") -> DataFrame:
+    """(hi, lo) of all pairs of distinct texts that read alike, exactly.
+
+    A pair of similarity t has matching blocks of t * T / 2 characters, T being
+    both lengths, and (1 - t) * T characters outside them, which bounds the
+    number of blocks.  So it shares t * T / 2 - (q - 1) * ((1 - t) * T + 1)
+    q-grams at least, and, grams ordered from rare to frequent, shares one
+    among the first n - that + 1 of each text: those prefixes meet by an
+    equi-join (q = 1 for short texts), and the matcher sees the pairs found.
+    """
+    def need(q: int, whole):
+        return threshold * whole / 2 - ((q - 1) * ((1 - threshold) * whole + 1) if q > 1 else 0)
+
+    q = next(k for k in (5, 4, 3, 2, 1) if k == 1 or threshold / 2 - (k - 1) * (1 - threshold) > 0.1)
+    reach = (2 - threshold) / threshold  # the longest partner's length over one's own
+    least = next((n for n in range(1, 10_000) if need(q, n * (1 + 1 / reach)) >= 2), 10_000) if q > 1 else 0
+    sized = rows.select(F.col(order).alias("o"), F.col(text).alias("t"), F.length(text).alias("n")).where("n > 0")
+
+    def prefixes(some: DataFrame, k: int) -> DataFrame:
+        grams = some.where(F.col("n") >= k).select("o", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - (k - 1)), lambda i: F.substring("t", i, F.lit(k)))).alias("g"))
+        nth = grams.groupBy("o", "n", "g").agg(F.count("*").alias("c")).select("o", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda i: F.struct(F.col("g"), i.alias("i")))).alias("g"))
+        common = nth.groupBy("g").agg(F.count("*").alias("df"))
+        place = F.row_number().over(Window.partitionBy("o").orderBy("df", "g"))
+        shared = F.greatest(F.lit(1), F.ceil(need(k, F.col("n") * (1 + 1 / reach)) - 1e-9))
+        return nth.join(common.where("df > 1"), "g", "left").withColumn("p", place).where(F.col("df").isNotNull() & (F.col("p") <= F.col("n") - (k - 1) - shared + 1)).select("o", "n", "g")
+
+    found = None
+    for k, some in ((q, sized.where(F.col("n") >= least)), (1, sized.where(F.col("n") <= least * reach))) if q > 1 else ((1, sized),):
+        heads = prefixes(some, k)
+        a, b = heads.alias("a"), heads.alias("b")
+        near = (F.col("a.n") <= F.col("b.n") * reach) & (F.col("b.n") <= F.col("a.n") * reach)
+        pairs = a.join(b, "g").where((F.col("a.o") > F.col("b.o")) & near).select(F.col("a.o").alias("hi"), F.col("b.o").alias("lo"))
+        found = pairs if found is None else found.unionByName(pairs)
+    left = sized.select(F.col("o").alias("hi"), F.col("t").alias("later"))
+    right = sized.select(F.col("o").alias("lo"), F.col("t").alias("earlier"))
+    return found.distinct().join(left, "hi").join(right, "lo").where(reads_alike(threshold, containment)("later", "earlier")).select("hi", "lo")
+
+
 def fuzzy_deduplicate(rows: DataFrame, threshold: float = 0.92, containment: float = 0.45, title: str = "title", abstract: str = "abstract", order: str = "ord") -> DataFrame:
     """Keep a row unless it reads like an earlier accepted one.
 
-    Candidates share trigrams of title and 500 characters of abstract;
-    matching-block similarity decides, called as (later row, earlier row).
-    Texts under three characters share no trigram with longer ones; where the
-    threshold lets them resemble any, candidates share a character.
+    Rows are compared by title and 500 characters of abstract, as (later row,
+    earlier row); see :func:`similar_pairs`.
     """
     compared = rows.withColumn("compared", comparison_text(F.col(title), F.col(abstract)))
     once = first_by(compared.select("compared", order), "compared", order=order)  # equal texts: only the first can stay
-    pairs = trigram_pairs(once, "compared", order, containment).select("hi", "lo")
-    reach = int(4 / threshold) - 2 if threshold > 0 else None  # the longest text that can resemble one of two characters
-    if reach is None or reach > 2:
-        brief = once if reach is None else once.where(F.length("compared") <= reach)
-        chars = brief.select(F.col(order).alias("o"), "compared", F.explode(F.array_distinct(F.split("compared", ""))).alias("c"))
-        near = chars.where(F.length("compared") < 3).alias("a").join(chars.alias("b"), "c").where("a.o <> b.o")
-        pairs = pairs.unionByName(near.select(F.greatest("a.o", "b.o").alias("hi"), F.least("a.o", "b.o").alias("lo"))).distinct()
-    left = once.select(F.col(order).alias("hi"), F.col("compared").alias("later"))
-    right = once.select(F.col(order).alias("lo"), F.col("compared").alias("earlier"))
-    near = pairs.join(left, "hi").join(right, "lo").where(matcher_ratio("later", "earlier") >= threshold).select("hi", "lo")
-    kept = accept_greedily(once, near, order)
+    kept = accept_greedily(once, similar_pairs(once, threshold, containment, "compared", order), order)
     return compared.join(kept.select(order), order, "left_semi").drop("compared")
 
 

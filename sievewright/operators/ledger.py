@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import day_key, month_key
 
@@ -71,7 +72,7 @@ def lease_admission(requests: DataFrame, pool: str, most: int, seconds: int) ->
                 open_.append(at + pd.Timedelta(seconds=seconds))
         return pdf.assign(granted=out)
 
-    return requests.groupBy(pool).applyInPandas(fold, requests.schema.add("granted", "boolean"))
+    return requests.groupBy(pool).applyInPandas(fold, T.StructType([*requests.schema.fields, T.StructField("granted", T.BooleanType())]))
 
 
 def budget_admission(requests: DataFrame, hard_micros: int, month: str = "month") -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import tables as T
 from ..functions.arrow import split_paragraphs
-from ..functions.numbers import dot, hex_id, rounded, total
+from ..functions.numbers import dot, hex_id, rounded
 from ..functions.text import lexical_tokens, not_blank, quoted, token_estimate
 
 CHUNKING = "v1"
@@ -142,7 +143,7 @@ def fuse_rounds(rows: DataFrame) -> DataFrame:
         best = best.sort_values(["_l", "score", "chunk_id"], ascending=[True, False, True]).reset_index(drop=True)
         return best.assign(rank=range(1, len(best) + 1), leader=best["_l"] < len(leaders)).drop(columns="_l")
 
-    return rows.groupBy("query_id").applyInPandas(rank, rows.schema.add("rank", "long").add("leader", "boolean"))
+    return rows.groupBy("query_id").applyInPandas(rank, types.StructType([*rows.schema.fields, types.StructField("rank", types.LongType()), types.StructField("leader", types.BooleanType())]))
 
 
 def pack_context(rows: DataFrame, budget: int = 8000, per_article: int = 2, separator: int = 2) -> DataFrame:
@@ -182,40 +183,47 @@ def expand_query(question: Column) -> Column:
     return F.when(extra == "", question).otherwise(F.concat(question, F.lit(" "), extra))
 
 
-def _comparison(question: Column, connector: str) -> Column:
-    """Two subqueries around a connector that share the question's tail, or null."""
-    at = F.instr(question, connector)
-    left = F.trim(F.substring(question, F.lit(1), at - 1))
-    right = F.substring(question, at + len(connector), F.length(question))
-    tail = F.least(*[F.nullif(F.instr(right, p), F.lit(0)) for p in T.COMPARISON_TAILS])
-    subject, shared = F.trim(F.substring(right, F.lit(1), tail - 1)), F.trim(F.substring(right, tail, F.length(right)))
-    whole = (at > 0) & tail.isNotNull() & (left != "") & (subject != "") & (shared != "")
-    return F.when(whole, F.array(expand_query(F.concat(left, shared)), expand_query(F.concat(subject, shared))))
+def _with_comparison(rows: DataFrame, question: str, connector: str, name: str) -> DataFrame:
+    """Adds ``name``: two subqueries around a connector that share the question's tail, or null.
+
+    Steps are columns of their own, so that each is computed once.
+    """
+    q = F.col(question)
+    rows = rows.withColumn("_at", F.instr(q, connector))
+    rows = rows.withColumn("_right", F.substring(q, F.col("_at") + len(connector), F.length(q)))
+    rows = rows.withColumn("_tail", F.least(*[F.nullif(F.instr("_right", p), F.lit(0)) for p in T.COMPARISON_TAILS]))
+    rows = rows.withColumns({
+        "_left": F.trim(F.substring(q, F.lit(1), F.col("_at") - 1)), "_subject": F.trim(F.substring("_right", F.lit(1), F.col("_tail") - 1)), "_shared": F.trim(F.substring("_right", F.col("_tail"), F.length("_right"))),
+    })
+    whole = (F.col("_at") > 0) & F.col("_tail").isNotNull() & (F.col("_left") != "") & (F.col("_subject") != "") & (F.col("_shared") != "")
+    rows = rows.withColumns({"_one": F.when(whole, F.concat("_left", "_shared")), "_two": F.when(whole, F.concat("_subject", "_shared"))})
+    rows = rows.withColumns({"_one": expand_query(F.col("_one")), "_two": expand_query(F.col("_two"))})
+    return rows.withColumn(name, F.when(F.col("_one").isNotNull(), F.array("_one", "_two"))).drop("_at", "_right", "_tail", "_left", "_subject", "_shared", "_one", "_two")
 
 
 def plan_questions(questions: DataFrame, year: int, text: str = "text") -> DataFrame:
     """Adds route, subqueries (two at most), requirements and preflight_reason."""
-    q = F.col(text)
-    low = F.trim(F.regexp_replace(F.lower(q), r"\s+", " "))
-    years = F.transform(F.regexp_extract_all(low, F.lit(r"\b(20\d{2})\b")), lambda y: y.cast("int"))
-    latest = F.array_max(years)
+    rows = questions.withColumn("_low", F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
+    rows = _with_comparison(_with_comparison(rows, text, "和", "_c1"), text, "与", "_c2")
+    low, q = F.col("_low"), F.col(text)
     policy = low.rlike("|".join(T.POLICY_QUESTIONS))
-    outside = ~policy & _any(low, T.OUTSIDE)
-    stopped = policy | outside
-    future = F.coalesce(latest > year, F.lit(False))
-    route = F.when(stopped, "policy_scope").when(_any(low, ("分别", "对比", "比较", "共同", "和", "与")), "comparison").when(future | _any(low, ("何时", "时间线", "最新", "when")), "timeline").otherwise("single_fact")
-    pair = F.when(route == "comparison", F.coalesce(_comparison(q, "和"), _comparison(q, "与")))
+    rows = rows.withColumns({
+        "_latest": F.array_max(F.transform(F.regexp_extract_all(low, F.lit(r"\b(20\d{2})\b")), lambda y: y.cast("int"))), "_expanded": expand_query(q),
+        "preflight_reason": F.when(policy, "policy_scope").when(_any(low, T.OUTSIDE), "outside_product_scope"),
+    })
+    stopped, future = F.col("preflight_reason").isNotNull(), F.coalesce(F.col("_latest") > year, F.lit(False))
+    rows = rows.withColumn("route", F.when(stopped, "policy_scope").when(_any(low, ("分别", "对比", "比较", "共同", "和", "与")), "comparison").when(future | _any(low, ("何时", "时间线", "最新", "when")), "timeline").otherwise("single_fact"))
+    rows = rows.withColumn("_pair", F.when(F.col("route") == "comparison", F.coalesce("_c1", "_c2")))
     needs = F.filter(F.array(
-        F.when(future, F.concat(F.lit("future_year:"), latest.cast("string"))), F.when(_any(low, ("价格", "订阅", "price", "pricing", "cost")), F.lit("price")),
+        F.when(future, F.concat(F.lit("future_year:"), F.col("_latest").cast("string"))), F.when(_any(low, ("价格", "订阅", "price", "pricing", "cost")), F.lit("price")),
         F.when(_any(low, ("收购", "acquire", "acquisition")), F.lit("acquisition")), F.when(_any(low, ("多少", "how many", "数量")), F.lit("numeric")),
-        F.when(pair.isNotNull(), F.lit("comparison_coverage:2")),
+        F.when(F.col("_pair").isNotNull(), F.lit("comparison_coverage:2")),
     ), lambda r: r.isNotNull())
-    expanded = expand_query(q)
-    plain = F.when(expanded == q, F.array(q)).otherwise(F.array(q, expanded))
-    return questions.withColumns({
-        "route": route, "subqueries": F.when(stopped, F.array(q)).otherwise(F.coalesce(pair, plain)), "requirements": F.when(stopped, F.array().cast("array<string>")).otherwise(needs),
-        "preflight_reason": F.when(policy, "policy_scope").when(outside, "outside_product_scope"),
+    plain = F.when(F.col("_expanded") == q, F.array(q)).otherwise(F.array(q, F.col("_expanded")))
+    rows = rows.withColumns({
+        "subqueries": F.when(stopped, F.array(q)).otherwise(F.coalesce("_pair", plain)), "requirements": F.when(stopped, F.array().cast("array<string>")).otherwise(needs),
     })
+    return rows.select(*questions.columns, "route", "subqueries", "requirements", "preflight_reason")
 
 
 def assess_evidence(plans: DataFrame, ranked: DataFrame, least: float = 0.08) -> DataFrame:
@@ -256,7 +264,8 @@ def answer_questions(questions: DataFrame, corpus: DataFrame, year: int, least:
     corpus(chunk_id, article_id, text); questions(query_id, text).
     """
     plans = plan_questions(questions, year)
-    rounds = plans.where("preflight_reason is null").select("query_id", F.posexplode("subqueries").alias("round", "text"))
+    # the outer form: an inner explode would push a filter on the array below the planning and repeat it there
+    rounds = plans.select("query_id", "preflight_reason", F.posexplode_outer("subqueries").alias("round", "text")).where("preflight_reason is null")
     asked = rounds.select(F.struct("query_id", "round").alias("query_id"), "text")
     found = Bm25(corpus).top(asked, k).select(F.col("query_id.query_id").alias("q"), F.col("query_id.round").alias("round"), "chunk_id", "score").withColumnRenamed("q", "query_id")
     ranked = fuse_rounds(found.join(corpus, "chunk_id").select("query_id", "round", "chunk_id", "article_id", "text", "score"))
@@ -281,6 +290,3 @@ def stratified_order(rows: DataFrame, group: str, item: str, seed: str, n: int)
 def hash_sample(rows: DataFrame, item: str, n: int) -> DataFrame:
     """The n rows with the smallest SHA-256 of their id."""
     return rows.orderBy(F.sha2(F.col(item).cast("string"), 256)).limit(n)
-
-
-__all__ = ["Bm25", "answer_questions", "total"]

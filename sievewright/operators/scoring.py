@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.numbers import age_hours, bonus, bounded, rounded, total
-from ..functions.text import contains_affirmed, contains_any, has_chinese, haystack, normalize_text, not_blank, or_all
+from ..functions.text import contains_affirmed, contains_any, has_chinese, haystack, normalize_text, not_blank
 
 ARTICLE = {
     "id": "string", "source_id": "string", "source_type": "string", "evidence_tier": "string", "language": "string", "title": "string", "abstract": "string",
@@ -55,7 +55,7 @@ def display_ready() -> Column:
 
 
 def with_events(rows: DataFrame) -> DataFrame:
-    """Adds struct ``event``: types, significance, decision, adoption."""
+    """Adds the columns ``_e_types``, ``_e_significance``, ``_e_decision`` and ``_e_adoption``."""
     lead = normalize_text(F.concat(F.col("title"), F.lit(". "), F.substring(F.coalesce("abstract", F.lit("")), 1, 500)))
     base = rows.withColumns({
         "_text": haystack(F.col("title"), F.col("abstract")), "_lead": lead, "_title": normalize_text(F.col("title")), "_type": effective_type(),
@@ -93,16 +93,16 @@ def with_events(rows: DataFrame) -> DataFrame:
     best = F.coalesce(F.array_max(F.transform("_events", lambda e: -e["minus"])), F.lit(0.0))
     several = F.least(F.lit(0.08), F.greatest(F.lit(0), F.size("_events") - 1) * F.lit(0.04))
     adopts = F.exists("_events", lambda e: e["name"] == "adoption_momentum")
-    return base.withColumn("event", F.struct(
-        F.slice(F.transform("_events", lambda e: e["name"]), 1, 5).alias("types"),
-        F.when(F.size("_events") > 0, bounded(best + several)).otherwise(F.lit(0.0)).alias("significance"),
-        bounded(F.coalesce(F.array_max(F.transform("_events", lambda e: e["decision"])), F.lit(0.0))).alias("decision"),
-        F.when(adopts, bounded(F.col("_m"))).otherwise(F.lit(0.0)).alias("adoption"),
-    ))
+    return base.withColumns({
+        "_e_types": F.slice(F.transform("_events", lambda e: e["name"]), 1, 5),
+        "_e_significance": F.when(F.size("_events") > 0, bounded(best + several)).otherwise(F.lit(0.0)),
+        "_e_decision": bounded(F.coalesce(F.array_max(F.transform("_events", lambda e: e["decision"])), F.lit(0.0))),
+        "_e_adoption": F.when(adopts, bounded(F.col("_m"))).otherwise(F.lit(0.0)),
+    })
 
 
 def with_breakdown(rows: DataFrame, anchor: Column) -> DataFrame:
-    """Adds struct ``breakdown`` of eleven scores and ``content_score``; needs topic_scores and event."""
+    """Adds the eleven scores as columns ``_b_<name>``, and ``content_score``; needs topic_scores and events."""
     c, text = F.col, F.col("_text")
     nd = contains_any(text, T.NARROW)
     topics = F.size(F.map_keys("topic_scores"))
@@ -115,8 +115,8 @@ def with_breakdown(rows: DataFrame, anchor: Column) -> DataFrame:
     based = lambda table: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), c("_type")), F.lit(0.0))
     engineering = total([F.lit(0.08), bonus(any_(T.ENGINEERING), 0.30), bonus(any_(T.EFFICIENCY), 0.22), bonus(any_(T.ARTIFACT), 0.18), bonus(any_(T.PRODUCT_IMPACT), 0.14)])
     general = total([F.lit(0.18), bonus(any_(T.GENERALITY), 0.35), bonus(any_(T.ARTIFACT), 0.15), bonus(topics >= 2, 0.12)])
-    impact = total([based(T.IMPACT_BASE), bonus(any_(T.PRODUCT_IMPACT), 0.33), bonus(any_(T.ENGINEERING), 0.16), bonus(c("_q"), 0.14), bonus(c("event.significance") >= 0.7, 0.16), F.lit(0.12) * c("event.adoption")])
-    trusted = (c("event.significance") >= 0.7) & c("_primary") & c("_type").isin("official", "research_institute", "academic")
+    impact = total([based(T.IMPACT_BASE), bonus(any_(T.PRODUCT_IMPACT), 0.33), bonus(any_(T.ENGINEERING), 0.16), bonus(c("_q"), 0.14), bonus(c("_e_significance") >= 0.7, 0.16), F.lit(0.12) * c("_e_adoption")])
+    trusted = (c("_e_significance") >= 0.7) & c("_primary") & c("_type").isin("official", "research_institute", "academic")
     evidence = total([based(T.EVIDENCE_BASE), bonus(c("_q"), 0.18), bonus(any_(T.BENCHMARK), 0.16), bonus(any_(T.ARTIFACT), 0.14), bonus(size >= 500, 0.07), bonus(trusted, 0.12)])
     age = age_hours(anchor, F.coalesce("published_at", "collected_at"))
     parts = {
@@ -125,17 +125,17 @@ def with_breakdown(rows: DataFrame, anchor: Column) -> DataFrame:
         "engineering_applicability": F.when(nd & ~F.coalesce(primary, F.lit(False)), F.least(engineering, F.lit(0.4))).otherwise(engineering),
         "technical_generality": F.when(nd, general * F.lit(0.45)).otherwise(general),
         "product_industry_impact": F.when(nd, F.least(impact, F.lit(0.35))).otherwise(impact),
-        "event_significance": c("event.significance"), "decision_impact": c("event.decision"), "adoption_momentum": c("event.adoption"),
+        "event_significance": c("_e_significance"), "decision_impact": c("_e_decision"), "adoption_momentum": c("_e_adoption"),
         "freshness": F.greatest(F.lit(0.0), F.lit(1.0) - age / F.lit(168.0)),
         "completeness": F.when(size >= 240, F.lit(1.0)).when(size >= 120, F.lit(0.65)).when(size > 0, F.lit(0.35)).otherwise(F.lit(0.0)),
         "evidence_maturity": F.when(size < 120, F.least(evidence, F.lit(0.3))).otherwise(evidence),
     }
-    scored = rows.withColumn("breakdown", F.struct(*[bounded(v).alias(k) for k, v in parts.items()]))
+    scored = rows.withColumns({f"_b_{k}": bounded(v) for k, v in parts.items()})
     weights = (
         ("target_relevance", 0.20), ("event_significance", 0.15), ("technical_advancement", 0.08), ("technical_generality", 0.05), ("engineering_applicability", 0.08),
         ("product_industry_impact", 0.08), ("decision_impact", 0.06), ("adoption_momentum", 0.10), ("freshness", 0.10), ("evidence_maturity", 0.07), ("completeness", 0.03),
     )
-    return scored.withColumn("content_score", bounded(total([F.col(f"breakdown.{k}") * F.lit(w) for k, w in weights])))
+    return scored.withColumn("content_score", bounded(total([F.col(f"_b_{k}") * F.lit(w) for k, w in weights])))
 
 
 def _labels(*cases) -> Column:
@@ -144,12 +144,12 @@ def _labels(*cases) -> Column:
 
 def _event_labels() -> Column:
     names = F.create_map(*[F.lit(x) for k, v in T.EVENT_LABELS.items() for x in (k, v)])
-    return F.transform(F.slice(F.col("event.types"), 1, 2), lambda t: F.try_element_at(names, t))
+    return F.transform(F.slice(F.col("_e_types"), 1, 2), lambda t: F.try_element_at(names, t))
 
 
 def with_reasons(rows: DataFrame) -> DataFrame:
     """Adds ``selection_reasons``: the five strongest signals in words."""
-    b = lambda k: F.col(f"breakdown.{k}")
+    b = lambda k: F.col(f"_b_{k}")
     cases = _labels(
         F.when(b("event_significance") >= 0.8, "重大变化信号明确").when(b("event_significance") >= 0.7, "变化事件较为显著"), F.when(b("decision_impact") >= 0.75, "可能影响产品或技术决策"),
         F.when(b("adoption_momentum") >= 0.7, "采用与扩散证据较强"), F.when(b("target_relevance") >= 0.7, "目标主题高度相关").when(b("target_relevance") >= 0.45, "目标主题相关"),
@@ -166,7 +166,7 @@ def _weak_relation(b) -> Column:
 
 def with_key_signal(rows: DataFrame, anchor: Column | None) -> DataFrame:
     """Adds struct ``key_signal``: scores, reasons, gate failures, eligibility."""
-    b, c = (lambda k: F.col(f"breakdown.{k}")), F.col
+    b, c = (lambda k: F.col(f"_b_{k}")), F.col
     user = bounded(total([b("target_relevance") * 0.25, b("engineering_applicability") * 0.20, b("decision_impact") * 0.30, b("product_industry_impact") * 0.25]))
     change = bounded(total([b("event_significance") * 0.65, b("technical_advancement") * 0.20, b("adoption_momentum") * 0.15]))
     action = bounded(total([b("decision_impact") * 0.50, b("engineering_applicability") * 0.25, b("product_industry_impact") * 0.25]))
@@ -183,7 +183,7 @@ def with_key_signal(rows: DataFrame, anchor: Column | None) -> DataFrame:
     )
     scored = scored.withColumn("_durable", durable)
     size = F.length(F.trim(F.coalesce("abstract", F.lit(""))))
-    academic = (c("_type") == "academic") & (~F.array_contains("event.types", "technical_breakthrough") | (b("target_relevance") < 0.65) | (b("technical_generality") < 0.55))
+    academic = (c("_type") == "academic") & (~F.array_contains("_e_types", "technical_breakthrough") | (b("target_relevance") < 0.65) | (b("technical_generality") < 0.55))
     gates = (
         c("_type").isin(*T.CORROBORATED_TYPES), b("event_significance") < 0.7, F.greatest(b("decision_impact"), b("adoption_momentum"), b("technical_advancement")) < 0.6,
         _weak_relation(b), ~c("_inside"), (b("evidence_maturity") < 0.5) | (size < 120), academic, (c("_score") < 0.65) & ~c("_durable"),
@@ -193,9 +193,9 @@ def with_key_signal(rows: DataFrame, anchor: Column | None) -> DataFrame:
         F.when(c("_user") >= 0.7, "目标用户价值较高"), F.when(c("_change") >= 0.7, "变化幅度较大"), F.when(c("_action") >= 0.65, "具备可行动性"),
         F.when(b("technical_generality") >= 0.65, "技术普适性较强"), F.when(b("freshness") >= 0.85, "24 小时内发布").when(c("_durable"), "重大一手事件仍在 5 日观察窗"),
     ))
-    return scored.withColumn("key_signal", F.struct(
-        (F.size(failures) == 0).alias("eligible"), c("_score").alias("score"), c("_user").alias("user_value"), c("_change").alias("change_magnitude"), c("_action").alias("actionability"),
-        b("technical_generality").alias("generality"), b("freshness").alias("freshness"), c("event.types").alias("event_types"), F.slice(reasons, 1, 5).alias("reasons"), F.slice(failures, 1, 8).alias("gate_failures"),
+    return scored.withColumn("_failures", failures).withColumn("key_signal", F.struct(
+        (F.size("_failures") == 0).alias("eligible"), c("_score").alias("score"), c("_user").alias("user_value"), c("_change").alias("change_magnitude"), c("_action").alias("actionability"),
+        b("technical_generality").alias("generality"), b("freshness").alias("freshness"), c("_e_types").alias("event_types"), F.slice(reasons, 1, 5).alias("reasons"), F.slice("_failures", 1, 8).alias("gate_failures"),
     ))
 
 
@@ -218,6 +218,10 @@ def score_articles(rows: DataFrame, anchor: Column, topics=T.TOPICS) -> DataFram
     if "topic_scores" not in rows.columns:
         rows = rows.withColumn("topic_scores", topic_scores(haystack(F.col("title"), F.col("abstract")), topics))
     scored = with_key_signal(with_reasons(with_breakdown(with_events(rows), anchor)), anchor)
+    # structs come last: the steps above share plain columns, which the optimizer computes once
+    event = F.struct(*[F.col(f"_e_{k}").alias(k) for k in ("types", "significance", "decision", "adoption")])
+    breakdown = F.struct(*[F.col(c).alias(c[3:]) for c in scored.columns if c.startswith("_b_")])
+    scored = scored.withColumns({"event": event, "breakdown": breakdown})
     return scored.select(*[c for c in scored.columns if not c.startswith("_")])
 
 
@@ -225,6 +229,3 @@ def relevance_filter() -> Column:
     """The academic source needs relevance of 0.60, in narrow domains 0.65."""
     narrow = contains_any(haystack(F.col("title"), F.col("abstract")), T.NARROW)
     return (F.col("source_id") != T.ACADEMIC_SOURCE) | (F.col("breakdown.target_relevance") >= F.when(narrow, F.lit(0.65)).otherwise(F.lit(0.6)))
-
-
-__all__ = ["or_all", "score_articles", "select_by_topics", "topic_scores"]

@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.arrow import hashing_embedder
@@ -29,7 +30,7 @@ class Completion(Protocol):
 
 def complete(rows: DataFrame, prompt: str, make_client: Callable[[], Completion], out: str = "completion", attempts: int = 3) -> DataFrame:
     """``rows`` with a model's answer, or null after ``attempts`` failures."""
-    schema = rows.schema.add(out, "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()

@@ -205,7 +205,9 @@ def read_html(pages: DataFrame, reader: str, html: str = "html", base: str = "ur
     parse = READERS[reader]
     kept = [c for c in pages.columns if c not in (html, "url", "title", "summary", "published_at", "ord")]
     rows = pages.select(*kept, F.col(html).cast("string").alias("_html"), F.coalesce(F.col(base), F.lit("")).alias("_base"))
-    schema = rows.select(*kept, F.lit("").alias("url"), F.lit("").alias("title"), F.lit("").alias("summary"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(0).alias("ord")).schema
+    schema = rows.select(*kept).schema
+    for name, kind in (("url", "string"), ("title", "string"), ("summary", "string"), ("published_at", "timestamp"), ("ord", "integer")):
+        schema = schema.add(name, kind, True)
 
     def run(batches):
         for batch in batches:
