@@ -150,6 +150,8 @@ def _ranges(rows: DataFrame, parts: int) -> tuple[DataFrame, int]:
     wanted = [i / parts for i in range(1, parts)]
     found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, wanted)), 100 * parts).alias("q")).first().q if wanted else None
     bounds = sorted({float(x) for x in found or []})
+    if not bounds:
+        return rows.withColumn("_range", F.lit(0)), 1
     splits = [float("-inf"), *bounds, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")
     dealt = cut.transform(rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))).drop("_key")
