@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: all characters that count as white space.
@@ -58,9 +58,24 @@ def quoted(pattern: str) -> str:
     return "".join(c if c.isalnum() or ord(c) > 127 else f"\\x{ord(c):02x}" for c in pattern)
 
 
+def alternation(patterns) -> str:
+    """Any of the literals; their first characters are tested before them."""
+    heads = "".join(quoted(c) for c in dict.fromkeys(p[0] for p in patterns))
+    return f"(?=[{heads}])(?:{'|'.join(map(quoted, patterns))})"
+
+
 def contains_any(text: Column, patterns) -> Column:
-    """Is any of the patterns a substring of the (lower-case) text."""
-    return text.rlike("|".join(map(quoted, patterns)))
+    """Is any of the patterns a substring of the (lower-case) text; plain searches, no regex."""
+    return or_all([F.contains(text, F.lit(p)) for p in patterns])
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once, whatever is built on them.
+
+    A one-row generator keeps the optimizer from copying the expressions into
+    filters and other expressions above.
+    """
+    return rows.select("*", F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
 #: Words that negate what follows in the same sentence.
@@ -68,17 +83,17 @@ NEGATORS = r"(?:\bno\b|\bnot\b|\bwithout\b|\blacks?\b|\bdoes not\b|\bdid not\b|
 
 
 def contains_affirmed(text: Column, patterns) -> Column:
-    """Is any pattern there as a whole term, with no negator before it in its sentence.
+    """Is any pattern in the lower-case text as a whole term, with no negator before it in its sentence.
 
-    One regular expression a table: a look-ahead finds candidates, then a
-    bounded look-behind rejects negated ones.
+    Plain searches find the texts that have a pattern at all.  For those, one
+    regular expression a table: a look-ahead finds candidates, then a bounded
+    look-behind rejects negated ones.
     """
-    terms = []
+    groups: dict[tuple[bool, bool], list[str]] = {}
     for p in patterns:
-        left = "(?<![a-z0-9])" if p[0].isascii() and p[0].isalnum() else ""
-        right = "(?![a-z0-9])" if p[-1].isascii() and p[-1].isalnum() else ""
-        terms.append(f"{left}{quoted(p)}{right}")
-    return text.rlike(f"(?i)(?={'|'.join(terms)})(?<!{NEGATORS})")
+        groups.setdefault((p[0].isascii() and p[0].isalnum(), p[-1].isascii() and p[-1].isalnum()), []).append(p)
+    terms = [f"{'(?<![a-z0-9])' if left else ''}{alternation(own)}{'(?![a-z0-9])' if right else ''}" for (left, right), own in groups.items()]
+    return contains_any(text, patterns) & text.rlike(f"(?={'|'.join(terms)})(?<!{NEGATORS})")
 
 
 def has_chinese(text: Column) -> Column:

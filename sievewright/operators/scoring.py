@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.numbers import age_hours, bonus, bounded, rounded, total
-from ..functions.text import contains_affirmed, contains_any, has_chinese, haystack, normalize_text, not_blank
+from ..functions.text import computed, contains_affirmed, contains_any, has_chinese, haystack, normalize_text, not_blank
 
 ARTICLE = {
     "id": "string", "source_id": "string", "source_type": "string", "evidence_tier": "string", "language": "string", "title": "string", "abstract": "string",
@@ -39,8 +39,8 @@ def select_by_topics(rows: DataFrame, topics=T.TOPICS, least: float = 0.1) -> Da
     """Rows with a topic score of ``least`` or more; all rows if there are no topics."""
     if not topics:
         return rows.withColumn("topic_scores", F.create_map().cast("map<string,double>"))
-    scored = rows.withColumn("topic_scores", topic_scores(haystack(F.col("title"), F.col("abstract")), topics))
-    return scored.where(F.array_max(F.map_values("topic_scores")) >= least)
+    scored = computed(computed(rows, _hay=haystack(F.col("title"), F.col("abstract"))), topic_scores=topic_scores(F.col("_hay"), topics))
+    return scored.drop("_hay").where(F.array_max(F.map_values("topic_scores")) >= least)
 
 
 def effective_type() -> Column:
@@ -56,13 +56,13 @@ def display_ready() -> Column:
 
 def with_events(rows: DataFrame) -> DataFrame:
     """Adds the columns ``_e_types``, ``_e_significance``, ``_e_decision`` and ``_e_adoption``."""
-    lead = normalize_text(F.concat(F.col("title"), F.lit(". "), F.substring(F.coalesce("abstract", F.lit("")), 1, 500)))
-    base = rows.withColumns({
-        "_text": haystack(F.col("title"), F.col("abstract")), "_lead": lead, "_title": normalize_text(F.col("title")), "_type": effective_type(),
-        "_primary": F.coalesce(F.col("evidence_tier") == "primary", F.lit(False)),
-    })
+    lead = F.lower(normalize_text(F.concat(F.col("title"), F.lit(". "), F.substring(F.coalesce("abstract", F.lit("")), 1, 500))))
+    base = computed(
+        rows, _text=haystack(F.col("title"), F.col("abstract")), _lead=lead, _title=F.lower(normalize_text(F.col("title"))), _type=effective_type(),
+        _primary=F.coalesce(F.col("evidence_tier") == "primary", F.lit(False)),
+    )
     text, lead, title = F.col("_text"), F.col("_lead"), F.col("_title")
-    base = base.withColumns({
+    base = computed(base, **{
         "_auth": F.col("_type").isin("official", "research_institute") & F.col("_primary"), "_res": F.col("_type").isin("academic", "research_institute") & F.col("_primary"),
         "_q": text.rlike(T.QUANTITATIVE), "_aq": text.rlike(T.ADOPTION_QUANTITY), "_bench": contains_affirmed(text, T.BENCHMARK), "_comp": contains_affirmed(text, T.COMPARISON),
         "_art": contains_affirmed(text, T.ARTIFACT), "_broad": contains_affirmed(lead, T.BROAD), "_dec": contains_affirmed(text, T.DECISION), "_major": contains_affirmed(lead, T.MAJOR_SUBJECT),
@@ -103,25 +103,26 @@ def with_events(rows: DataFrame) -> DataFrame:
 
 def with_breakdown(rows: DataFrame, anchor: Column) -> DataFrame:
     """Adds the eleven scores as columns ``_b_<name>``, and ``content_score``; needs topic_scores and events."""
-    c, text = F.col, F.col("_text")
-    nd = contains_any(text, T.NARROW)
+    c = F.col
+    tables = {"_p_narrow": T.NARROW, "_p_adv": T.ADVANCEMENT, "_p_comp": T.COMPARISON, "_p_bench": T.BENCHMARK, "_p_art": T.ARTIFACT, "_p_eng": T.ENGINEERING, "_p_eff": T.EFFICIENCY, "_p_gen": T.GENERALITY, "_p_impact": T.PRODUCT_IMPACT}
+    rows = computed(rows, **{k: contains_any(c("_text"), v) for k, v in tables.items()})
+    nd = c("_p_narrow")
     topics = F.size(F.map_keys("topic_scores"))
     affinity = F.create_map(*[F.lit(x) for k, v in T.AFFINITY.items() for x in (k, v)])
     relevance = F.coalesce(F.array_max(F.transform(F.map_entries("topic_scores"), lambda e: F.least(F.lit(1.0), e["value"]) * F.coalesce(F.try_element_at(affinity, e["key"]), F.lit(T.OTHER_AFFINITY)))), F.lit(0.0))
     relevance = relevance + F.least(F.lit(0.08), F.greatest(F.lit(0), topics - 1) * F.lit(0.03))
     primary = F.arrays_overlap(F.map_keys("topic_scores"), F.array(*[F.lit(t) for t in T.PRIMARY_TOPICS]))
-    any_ = lambda p: contains_any(text, p)
     size = F.length(F.trim(F.coalesce("abstract", F.lit(""))))
     based = lambda table: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), c("_type")), F.lit(0.0))
-    engineering = total([F.lit(0.08), bonus(any_(T.ENGINEERING), 0.30), bonus(any_(T.EFFICIENCY), 0.22), bonus(any_(T.ARTIFACT), 0.18), bonus(any_(T.PRODUCT_IMPACT), 0.14)])
-    general = total([F.lit(0.18), bonus(any_(T.GENERALITY), 0.35), bonus(any_(T.ARTIFACT), 0.15), bonus(topics >= 2, 0.12)])
-    impact = total([based(T.IMPACT_BASE), bonus(any_(T.PRODUCT_IMPACT), 0.33), bonus(any_(T.ENGINEERING), 0.16), bonus(c("_q"), 0.14), bonus(c("_e_significance") >= 0.7, 0.16), F.lit(0.12) * c("_e_adoption")])
+    engineering = total([F.lit(0.08), bonus(c("_p_eng"), 0.30), bonus(c("_p_eff"), 0.22), bonus(c("_p_art"), 0.18), bonus(c("_p_impact"), 0.14)])
+    general = total([F.lit(0.18), bonus(c("_p_gen"), 0.35), bonus(c("_p_art"), 0.15), bonus(topics >= 2, 0.12)])
+    impact = total([based(T.IMPACT_BASE), bonus(c("_p_impact"), 0.33), bonus(c("_p_eng"), 0.16), bonus(c("_q"), 0.14), bonus(c("_e_significance") >= 0.7, 0.16), F.lit(0.12) * c("_e_adoption")])
     trusted = (c("_e_significance") >= 0.7) & c("_primary") & c("_type").isin("official", "research_institute", "academic")
-    evidence = total([based(T.EVIDENCE_BASE), bonus(c("_q"), 0.18), bonus(any_(T.BENCHMARK), 0.16), bonus(any_(T.ARTIFACT), 0.14), bonus(size >= 500, 0.07), bonus(trusted, 0.12)])
+    evidence = total([based(T.EVIDENCE_BASE), bonus(c("_q"), 0.18), bonus(c("_p_bench"), 0.16), bonus(c("_p_art"), 0.14), bonus(size >= 500, 0.07), bonus(trusted, 0.12)])
     age = age_hours(anchor, F.coalesce("published_at", "collected_at"))
     parts = {
         "target_relevance": F.when(nd, F.least(relevance, F.lit(0.45))).otherwise(relevance),
-        "technical_advancement": total([F.lit(0.12), bonus(any_(T.ADVANCEMENT), 0.23), bonus(c("_q"), 0.22), bonus(any_(T.COMPARISON), 0.18), bonus(any_(T.BENCHMARK), 0.15), bonus(any_(T.ARTIFACT), 0.10)]),
+        "technical_advancement": total([F.lit(0.12), bonus(c("_p_adv"), 0.23), bonus(c("_q"), 0.22), bonus(c("_p_comp"), 0.18), bonus(c("_p_bench"), 0.15), bonus(c("_p_art"), 0.10)]),
         "engineering_applicability": F.when(nd & ~F.coalesce(primary, F.lit(False)), F.least(engineering, F.lit(0.4))).otherwise(engineering),
         "technical_generality": F.when(nd, general * F.lit(0.45)).otherwise(general),
         "product_industry_impact": F.when(nd, F.least(impact, F.lit(0.35))).otherwise(impact),
@@ -216,7 +217,7 @@ def score_articles(rows: DataFrame, anchor: Column, topics=T.TOPICS) -> DataFram
     """All scores of articles; topic_scores are computed if absent."""
     rows = with_article_columns(rows)
     if "topic_scores" not in rows.columns:
-        rows = rows.withColumn("topic_scores", topic_scores(haystack(F.col("title"), F.col("abstract")), topics))
+        rows = computed(computed(rows, _hay=haystack(F.col("title"), F.col("abstract"))), topic_scores=topic_scores(F.col("_hay"), topics)).drop("_hay")
     scored = with_key_signal(with_reasons(with_breakdown(with_events(rows), anchor)), anchor)
     # structs come last: the steps above share plain columns, which the optimizer computes once
     event = F.struct(*[F.col(f"_e_{k}").alias(k) for k in ("types", "significance", "decision", "adoption")])

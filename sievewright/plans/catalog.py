@@ -54,11 +54,11 @@ ARTICLES = rf"""a AS (SELECT doc_id AS ord, 'doc-' || doc_id AS id, source AS so
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     head = F.substring_index("text", "\n", 1)
-    return d.select(
-        F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("source_id"), F.col("lang").alias("language"),
-        text.normalize_text(head).alias("title"), F.substring(text.normalize_text(F.substring(F.col("text"), F.length(head) + 2, F.length("text"))), 1, 2500).alias("abstract"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 744 * 3600).alias("published_at"), F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), (F.col("doc_id") % 389).cast("string")).alias("canonical_url"),
-    )
+    return text.computed(
+        d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("source_id"), F.col("lang").alias("language"), "text"),
+        title=text.normalize_text(head), abstract=F.substring(text.normalize_text(F.substring(F.col("text"), F.length(head) + 2, F.length("text"))), 1, 2500),
+        published_at=F.timestamp_seconds(F.lit(1704067200) + F.col("ord") % 744 * 3600), canonical_url=F.concat(F.lit("https://"), F.col("source_id"), F.lit(".example.org/"), (F.col("ord") % 389).cast("string")),
+    ).drop("text")
 
 
 def hashed(rows: DataFrame) -> DataFrame:
