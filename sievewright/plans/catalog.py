@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrow, numbers, text, urls
+from ..functions import arrow, numbers, text, urls, validation
 from ..functions import tables as T
-from ..operators import briefs, dedup, evaluation, ledger, reports, retrieval, scoring, selection
+from ..operators import briefs, dedup, evaluation, ledger, reports, retrieval, scoring, selection, views
 from ..sources import benchmarks, store
 from ..sources.html import html_text, read_html
 
@@ -686,3 +686,37 @@ def status_counts(spark, sf):
 def lexical_tokens(spark, sf):
     rows = articles(spark, sf).select("id", text.lexical_tokens(F.col("title")).alias("t"))
     return rows.select("id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n"))
+
+
+@query(TOPIC_SQL + f""", {SOURCES} SELECT count(*) AS articles, count(DISTINCT source_id) AS sources, count(DISTINCT region) AS regions, count_if(ord % 3 = 0) AS enriched,
+  count_if(published_at BETWEEN {ANCHOR} - INTERVAL 24 HOUR AND {ANCHOR}) AS day, count_if(published_at BETWEEN {ANCHOR} - INTERVAL 168 HOUR AND {ANCHOR}) AS week FROM a LEFT JOIN src ON src.id = a.source_id""")
+def home_signals(spark, sf):
+    return views.home_signals(with_ready(articles(spark, sf), 3), sources(spark, sf), F.expr(ANCHOR)).drop("newest")
+
+
+@query(TOPIC_SQL + ", e AS (" + " UNION ALL ".join(f"SELECT '{n}' AS topic FROM s WHERE best >= 0.1 AND t_{n} > 0" for n, _, _ in TOPICS) + ") SELECT topic, count(*) AS n FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")
+def top_topics(spark, sf):
+    return views.top_topic_counts(topical(articles(spark, sf)))
+
+
+@query("SELECT /*a*/ id, title AS shown_title, CASE WHEN ord % 3 = 0 THEN '标题' ELSE trim(abstract, ' ') END AS shown_summary, CASE WHEN ord % 3 = 0 THEN 'ready' ELSE 'pending' END AS status FROM a WHERE ord % 3 <> 0 UNION ALL SELECT id, '标题', '标题', 'ready' FROM a WHERE ord % 3 = 0")
+def display_rows(spark, sf):
+    rows = with_ready(articles(spark, sf), 3).withColumn("topic_scores", F.create_map().cast("map<string,double>"))
+    return views.shown(rows).select("id", "shown_title", "shown_summary", "status")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(trim(text, ' ')) < 2 OR length(trim(text, ' ')) > 500 THEN 'question_length' WHEN role NOT IN ('7d', 'all', 'user') THEN 'range' END AS problem FROM conversations""")
+def question_checks(spark, sf):
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("question"), F.when(F.col("role") == "user", "7d").otherwise(F.col("role")).alias("range"), F.lit("a-1").alias("article_id"), F.lit("en").alias("language"))
+    return validation.check_questions(asked).select("conv_id", "turn", "problem")
+
+
+@query(SECTIONS + " SELECT count(DISTINCT source_id) AS sources FROM a WHERE ord IN (SELECT n FROM sec)")
+def brief_sources(spark, sf):
+    return views.brief_sources(sections(spark, sf), evidence(spark, sf))
+
+
+@query()
+def query_trace(spark, sf):
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
+    return views.trace_rows(asked, "test secret")

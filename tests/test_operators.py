@@ -267,3 +267,28 @@ def test_streams(spark, tmp_path):
 
 def test_numbers(spark):
     assert one(spark, numbers.rounded(F.lit(0.12345))) == 0.1235 and one(spark, numbers.bounded(F.lit(1.7))) == 1.0
+
+
+def test_validation(spark):
+    from sievewright.functions import validation
+
+    row = spark.createDataFrame([(" ab ", ["x", "", " x ", "y"], "-3", "7", " 12.5 ", "junk")], "s string, l array<string>, m string, n string, d string, j string").select(
+        validation.bounded_string(F.col("s"), 1).alias("s"), validation.string_list(F.col("l"), 5, 9).alias("l"), validation.nonnegative(F.col("m")).alias("m"), validation.nonnegative(F.col("n")).alias("n"),
+        validation.setting(F.col("d"), 1, 0, 10).alias("d"), validation.setting(F.col("j"), 1, 0, 10).alias("j"),
+    ).first()
+    assert tuple(row) == ("a", ["x", "y"], 0, 7, 10.0, 1.0)
+    asked = spark.createDataFrame([(None, "7d", None, "en"), ("a good question", "1y", None, "en"), ("a good question", None, "bad id", None), ("a good question", "30d", "a-1", "zh-CN")], "question string, range string, article_id string, language string")
+    assert [r.problem for r in validation.check_questions(asked).collect()] == ["question_missing", "range", "article_id", None]
+    profiles = spark.createDataFrame([({"a": 3},), ({"z": 3},), ({"a": 9},), (None,)], "interests map<string,int>")
+    assert [r.problem for r in validation.check_profiles(profiles, ["a"]).collect()] == [None, "unknown_topic", "weight", "interests_missing"]
+    answers = spark.createDataFrame([('```json\n{"summary": " S ", "interests": [{"topic": "a", "weight": 2}, {"topic": "q", "weight": 2}]}\n```',), ("junk",)], "t string")
+    got = [r.p for r in answers.select(validation.profile_completion(F.col("t"), ["a"]).alias("p")).collect()]
+    assert got[0].summary == "S" and got[0].topics == ["a"] and got[1] is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sievewright.__main__ import main
+
+    assert main(["list"]) == 0 and "bm25_topk" in capsys.readouterr().out
+    assert main(["run", "nothing", "--tables", "x"]) == 2 and main(["run", "set_difference", "--tables", str(tmp_path)]) == 2
+    assert main(["run", "set_difference", "--tables", "/root/testdata/sf0.001", "--out", str(tmp_path / "o")]) == 0 and main(["doctor"]) == 0
