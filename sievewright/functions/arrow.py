@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import json
 import math
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -28,23 +30,31 @@ def matcher_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 def reads_alike(threshold: float, containment: float):
     """(later, earlier) -> do they share enough trigrams and match by ``threshold``.
 
-    Cheap upper bounds come first; texts under three characters need no trigram.
+    Cheap upper bounds come first (see operators.dedup.similar_pairs for the
+    one on q-grams); texts under three characters need no trigram.
     """
 
-    def grams(t: str) -> set[str]:
-        return {t[i : i + 3] for i in range(max(1, len(t) - 2))}
+    q = next(k for k in (5, 4, 3, 2, 1) if k == 1 or threshold / 2 - (k - 1) * (1 - threshold) > 0.1)
 
-    def one(a: str, b: str) -> bool:
-        if len(a) >= 3 and len(b) >= 3:
-            x, y = grams(a), grams(b)
-            if len(x & y) / max(1, min(len(x), len(y))) < containment:
-                return False
+    def grams(t: str) -> tuple[frozenset[str], Counter]:
+        """Its trigrams, and its q-grams with their counts."""
+        return frozenset(t[i : i + 3] for i in range(max(1, len(t) - 2))), Counter(t[i : i + q] for i in range(len(t) - q + 1))
+
+    def one(a: str, b: str, known) -> bool:
+        (x, many_x), (y, many_y) = known(a), known(b)
+        if len(a) >= 3 and len(b) >= 3 and len(x & y) / max(1, min(len(x), len(y))) < containment:
+            return False
+        whole = len(a) + len(b)
+        least = threshold * whole / 2 - ((q - 1) * ((1 - threshold) * whole + 1) if q > 1 else 0)
+        if least > 0 and sum(min(n, many_y[g]) for g, n in many_x.items() if g in many_y) < least - 1e-9:
+            return False
         m = SequenceMatcher(None, a, b, autojunk=False)
         return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
 
     @F.pandas_udf(T.BooleanType())
     def alike(later: pd.Series, earlier: pd.Series) -> pd.Series:
-        return pd.Series([one(a, b) for a, b in zip(later, earlier)], dtype=bool)
+        known = functools.lru_cache(maxsize=4096)(grams)
+        return pd.Series([one(a, b, known) for a, b in zip(later, earlier)], dtype=bool)
 
     return alike
 
