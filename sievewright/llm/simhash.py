@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in slices(batches):
             fps = np.fromiter((simhash(t, shingle) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -141,6 +142,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     def compare(key, table):
         sides = {s: np.frombuffer(f, np.uint64) for s, f in zip(table.column("side").to_pylist(), table.column("fps").to_pylist())}
         found = np.array(link_blocks(sides[0], sides.get(1), radius), np.uint64).reshape(-1, 2).view(np.int64)
+        del sides
+        release()
         return pa.table({"u": found[:, 0], "v": found[:, 1]})
 
     paired = banded.groupBy("a", "b", "s").applyInArrow(deal, "pair string, side int, fps binary")
