@@ -1,0 +1,257 @@
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+1. Each text gives the set of its shingles' 64-bit hashes.  Texts with equal
+   sets are one node.
+2. Two sets of similarity ``SIMILAR`` share c(n) members or more among the
+   first n - ceil(SIMILAR * n) + c(n) of each (n the smaller set's size), for
+   any c, in any order that all sets share.  The order here is by count in a
+   sample of the texts, then by hash, so lines that many texts hold come last;
+   the sample decides speed only.
+3. Nodes that share such a member are a bucket.  First each bucket's smallest
+   node is compared with the others; then all pairs that these links leave in
+   different components and that share c(n) buckets.  A dense group of n nodes
+   costs about n comparisons a bucket, and no pair is left out.
+4. The links' connected components name the groups.
+
+Every comparison is of whole sets.  The driver sees the sample's most frequent
+shingles, HEAVY of them at most, and the first WANTED bits of the names of
+nodes to be compared.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import release, slices, stage, utf8
+from .components import connected_components
+from .simhash import keep_groups, label_groups
+
+SHINGLE = 5
+#: Least similarity, as a fraction.
+SIMILAR = (4, 5)
+#: Texts that are sampled for the order, and how many shingles are remembered.
+SAMPLE, HEAVY = 5_000, 100_000
+WANTED = 24
+
+_MIX = (np.random.default_rng(42).integers(0, 1 << 63, 16, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles; none if wordless.
+
+    Words are those of :func:`.simhash.simhash`; a text of ``size`` words or
+    fewer is one shingle.
+    """
+    words = utf8(text).lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = (out ^ hashes[i : i + n]) * _MIX[i]
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def node_of(members: np.ndarray) -> int:
+    """The signed 64-bit name of a set; of the empty set: 0."""
+    return int(np.uint64(xxhash.xxh64_intdigest(members.tobytes(), 42)).view(np.int64)) if len(members) else 0
+
+
+def least_overlap(n: int, similar: tuple[int, int] = SIMILAR) -> int:
+    """Members that a set of n shares with any set similar to it, at least."""
+    return -(-similar[0] * n // similar[1])
+
+
+def least_shared(n):
+    """Members that the prefixes of two similar sets share at least, n the smaller set's size: c(n)."""
+    return 1 + n // 32
+
+
+def _each(docs: DataFrame, make, schema: str) -> DataFrame:
+    """``make(doc_ids, texts)`` -> columns, over slices of docs(doc_id, text)."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches):
+        release()
+        for batch in slices(batches):
+            columns = make(batch.column("doc_id"), batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(columns, names)
+        release()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def nodes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, fp long), fp naming the shingle set."""
+    return _each(docs, lambda ids, texts: [ids, pa.array([node_of(shingles(t, shingle)) for t in texts], pa.int64())], "doc_id long, fp long")
+
+
+def frequent(docs: DataFrame, count: int, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that a sample of ``count`` nodes repeats, and their counts in it."""
+    some = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(max(1, count // SAMPLE))) == 0)
+
+    def make(ids, texts):
+        sets = [shingles(t, shingle) for t in texts]
+        own = np.array([node_of(s) for s in sets], np.int64)
+        return [pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)), pa.array(np.repeat(own, [len(s) for s in sets]))]
+
+    counts = _each(some, make, "h long, fp long").distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(HEAVY).collect()
+    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(members: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], similar: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """The members of a set among which a similar set of size m shares c(min(n, m)) with it."""
+    h, n = heavy
+    weight = np.zeros(len(members), np.int64)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, members), len(h) - 1)
+        weight = np.where(h[at] == members, n[at], 0)
+    return members[np.lexsort((members, weight))[: len(members) - least_overlap(len(members), similar) + least_shared(len(members))]]
+
+
+def buckets(docs: DataFrame, heavy, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(fps array<long>, sizes array<int>, times long): lists of nodes that share so many prefix members."""
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def make(ids, texts):
+        sets = [shingles(t, shingle) for t in texts]
+        first = [prefix(s, shared.value, similar) if len(s) else s for s in sets]
+        sizes = [len(p) for p in first]
+        return [
+            pa.array(np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)), pa.array(np.repeat(np.array([node_of(s) for s in sets], np.int64), sizes)),
+            pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes)),
+        ]
+
+    def gather(batches):
+        left = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+
+        def lists(h, fp, n):
+            if not len(h):
+                return
+            fresh = np.r_[True, (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])]  # copies of a node are one
+            h, fp, n = h[fresh], fp[fresh], n[fresh]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            ends = np.r_[starts[1:], len(h)]
+            many = np.flatnonzero(ends - starts > 1)
+            fps = [fp[a:b] for a, b in zip(starts[many], ends[many])]
+            for low in range(0, len(fps), 500):
+                some = fps[low : low + 500]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some, pa.list_(pa.int64())),
+                    pa.array([n[a:b] for a, b in zip(starts[many][low : low + 500], ends[many][low : low + 500])], pa.list_(pa.int32())),
+                ], ["fps", "sizes"])
+
+        for batch in batches:
+            now = [np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(left)]
+            if not len(now[0]):
+                continue
+            stop = np.searchsorted(now[0], now[0][-1])  # the last group may go on
+            yield from lists(*(x[:stop] for x in now))
+            left = [x[stop:] for x in now]
+        yield from lists(*left)
+
+    rows = _each(docs, make, "h long, fp long, n int").repartition("h").sortWithinPartitions("h", "fp")
+    return rows.mapInArrow(gather, "fps array<long>, sizes array<int>").groupBy("fps", "sizes").agg(F.count("*").alias("times"))
+
+
+def _pairs(frame: DataFrame, star: bool, similar: tuple[int, int]) -> DataFrame:
+    """(u, v) of one bucket a row, its first node with the others or all of different ``roots``, that share enough buckets."""
+    few, many = similar
+
+    def batched(held):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["u", "v", "n", "need"])
+
+    def run(batches):
+        for batch in slices(batches, 100):
+            held, size = [], 0
+            for row in batch.to_pylist():
+                fps, sizes = np.array(row["fps"], np.int64), np.array(row["sizes"], np.int64)
+                roots = None if star else np.array(row["roots"], np.int64)
+                for i in range(1 if star else len(fps)):
+                    fits = np.minimum(sizes[i + 1 :], sizes[i]) * many >= np.maximum(sizes[i + 1 :], sizes[i]) * few
+                    if not star:
+                        fits &= roots[i + 1 :] != roots[i]
+                    found = fps[i + 1 :][fits]
+                    if len(found):
+                        need = least_shared(np.minimum(sizes[i + 1 :][fits], sizes[i]))
+                        out = [np.minimum(found, fps[i]), np.maximum(found, fps[i]), np.full(len(found), row["times"], np.int64), need]
+                        held, size = [*held, out], size + len(found)
+                        if size >= 10_000:
+                            yield batched(held)
+                            held, size = [], 0
+            if held:
+                yield batched(held)
+
+    return frame.mapInArrow(run, "u long, v long, n long, need long").groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("u", "v")
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Those of (u, v) whose whole sets, read from docs(doc_id, text, ...), are similar."""
+    few, many = similar
+    pairs = stage(pairs, "jaccard-pairs")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    some = np.zeros(1 << WANTED, bool)
+    some[named.select(F.shiftrightunsigned("fp", 64 - WANTED).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(some))
+
+    def wanted(bits, at):
+        return bits[at >> 3] >> (7 - (at & 7)) & 1
+
+    def members(ids, texts):
+        bits = shared.value
+        sets = [(node_of(s), s) for s in (shingles(t, shingle) for t in texts)]
+        sets = [(f, s) for f, s in sets if wanted(bits, (f & (1 << 64) - 1) >> (64 - WANTED))]
+        return [pa.array([f for f, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())]
+
+    sets = _each(docs, members, "fp long, members binary").join(named.hint("merge"), "fp", "left_semi").dropDuplicates(["fp"])
+    sets = stage(sets, "jaccard-sets")
+
+    def run(batches):
+        for batch in slices(batches):
+            u, v = batch.column("u"), batch.column("v")
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both * many >= (len(a) + len(b) - both) * few)
+            yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (sets.select(F.col("fp").alias(k), F.col("members").alias(m)) for k, m in (("u", "a"), ("v", "b")))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, similar: tuple[int, int] = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, fingerprint, component_id), a row for each row.
+
+    As :func:`.simhash.near_duplicates`, with links between all texts whose
+    shingle sets have a Jaccard similarity of ``similar`` or more; wordless
+    texts are linked to each other.
+    """
+    marked = stage(nodes(docs, shingle), "jaccard")
+    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "jaccard-distinct")
+    shared = stage(buckets(docs, frequent(docs, distinct.count(), shingle), shingle, similar), "jaccard-buckets")
+    first = stage(similar_pairs(_pairs(shared, True, similar), docs, shingle, similar), "jaccard-first")
+    roots = connected_components(first).select(F.col("node").alias("fp"), "root")
+    spread = shared.withColumn("bucket", F.xxhash64("fps")).select("bucket", "times", F.posexplode(F.arrays_zip("fps", "sizes")).alias("at", "m"))
+    spread = spread.select("bucket", "times", "at", F.col("m.fps").alias("fp"), F.col("m.sizes").alias("n")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    again = spread.groupBy("bucket", "times").agg(F.array_sort(F.collect_list(F.struct("at", "fp", "n", "root"))).alias("m")).where(F.size(F.array_distinct(F.col("m.root"))) > 1)
+    again = again.select(F.col("m.fp").alias("fps"), F.col("m.n").alias("sizes"), F.col("m.root").alias("roots"), "times")
+    second = stage(similar_pairs(_pairs(again, False, similar), docs, shingle, similar), "jaccard-second")
+    return label_groups(marked, distinct, first.unionByName(second))
+
+
+def keep_one(docs: DataFrame, similar: tuple[int, int] = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of near copies, as :func:`.simhash.keep_one`."""
+    return keep_groups(docs, near_copies(docs, similar, shingle), lambda t: node_of(shingles(t, shingle)))

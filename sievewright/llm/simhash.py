@@ -161,7 +161,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     marked = stage(fingerprints(docs, shingle), "simhash")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    found = stage(links(distinct.select("fp"), radius, block), "simhash-links")
+    return label_groups(marked, distinct, stage(links(distinct.select("fp"), radius, block), "simhash-links"))
+
+
+def label_groups(marked: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """marked(doc_id, fp) with the components of links found(u, v) between distinct(fp, rep)."""
     member = connected_components(found)
     joined = member.join(distinct, member.node == distinct.fp).select("root", "fp", "rep")
     root = joined.groupBy("root").agg(F.min("rep").alias("component"))
@@ -178,19 +182,24 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     doc_id stay only in components in which none has one, one row for each
     fingerprint.
     """
-    groups = near_duplicates(docs, **options)
+    shingle = options.get("shingle", SHINGLE)
+    return keep_groups(docs, near_duplicates(docs, **options), lambda t: simhash(t, shingle))
+
+
+def keep_groups(docs: DataFrame, groups: DataFrame, name) -> DataFrame:
+    """The rows that :func:`keep_one` keeps of ``groups``; ``name`` gives a text's fingerprint."""
     ids = stage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
     # always the same kind of join: what it moves then grows with the input, not by a step
     single = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     others = [c for c in docs.columns if c != "doc_id"]
     repeated = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row"))
     repeated = repeated.select([F.col("doc_id") if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in docs.columns])
-    return single.unionByName(repeated).unionByName(_nameless(docs, groups, options.get("shingle", SHINGLE)))
+    return single.unionByName(repeated).unionByName(_nameless(docs, groups, name))
 
 
-def _nameless(docs: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
+def _nameless(docs: DataFrame, groups: DataFrame, name) -> DataFrame:
     """Rows without doc_id whose components have none: one for each fingerprint."""
-    print_one = F.udf(lambda t: f"{simhash(t, shingle):016x}", "string")
+    print_one = F.udf(lambda t: f"{name(t) & (1 << 64) - 1:016x}", "string")
     left = groups.where("doc_id is null and component_id is null").select("fingerprint").distinct()
     rows = docs.where("doc_id is null").withColumn("fingerprint", print_one("text"))
     return rows.join(left, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(docs.columns)

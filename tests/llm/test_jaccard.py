@@ -1,0 +1,72 @@
+import random
+
+import corpus_pipeline as pipeline
+from sievewright.llm import jaccard
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def slow_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_groups(rows):
+    sets, up = [slow_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 10 * len(a & b) >= 8 * len(a | b):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(((d, least.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def groups(frame, **options):
+    return sorted(((r.doc_id, r.component_id) for r in jaccard.near_copies(frame, **options).collect()), key=str)
+
+
+def test_documents(spark):
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert groups(table) == slow_groups([(r.doc_id, r.text) for r in table.collect()])
+
+
+def test_near_copies_around_the_threshold(spark):
+    """Chains, a common line, short texts and a dense group, with pairs on both sides of 0.8."""
+    draw, rows = random.Random(5), []
+    line = " ".join(f"line{i}" for i in range(12))
+    for base in range(12):
+        words = [f"w{draw.randrange(4000)}" for _ in range(draw.choice((3, 5, 9, 13, 40, 90)))]
+        for _ in range(8):
+            again = list(words)
+            for _ in range(draw.randrange(4)):
+                again[draw.randrange(len(again))] = f"x{draw.randrange(4000)}"
+            rows.append(" ".join(again) + f" {line}" * (base % 2))
+            words = draw.choice((words, again))
+    dense = [f"d{i}" for i in range(60)]
+    rows += [" ".join([*dense, f"end{i}"]) for i in range(40)]
+    rows = [*enumerate(rows, 1), (None, rows[0]), (7, "another text with a doc_id that another row has"), (None, "no other row has this text of no doc_id"), (None, None), (500, "")]
+    assert groups(spark.createDataFrame(rows, "doc_id long, text string")) == slow_groups(rows)
+
+
+def test_odd_rows(docs, empty):
+    assert groups(docs) == slow_groups([(r.doc_id, r.text) for r in docs.collect()])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 5, 7, 8]
+    assert jaccard.keep_one(empty).count() == 0
+
+
+def test_pipeline_stage(spark):
+    """One changed word in sixty: similarity 0.8 or more, fingerprints over 3 bits apart."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:57], "other", *words[58:]]), " ".join(f"u{i}" for i in range(60))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, frame, SMALL).collect()) == [0, 2]
