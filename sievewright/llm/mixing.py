@@ -89,8 +89,8 @@ def mix(docs: DataFrame, weights: dict[tuple, float] | None = None, share: float
     ``share`` of all tokens.  Null lang and source are leaves of their own
     (named ``null``); a null doc_id is ordered by its text; a text without
     words has no tokens and follows the prefix of its leaf: it stays if it
-    comes before the budget is met.  Rows that repeat a doc_id and text share
-    their place.  An empty table gives an empty result.
+    comes before the budget is met.  Rows that repeat a doc_id (or have none and
+    repeat a text) share their place and are taken together.  An empty table gives an empty result.
 
     The driver sees one row for each leaf: the tree that the weights describe.
     """
@@ -118,8 +118,10 @@ def mix(docs: DataFrame, weights: dict[tuple, float] | None = None, share: float
     order = Window.partitionBy("_leaf").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     cut = ranges.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where("before < _rest and _rest <= before + n")
     cut = cut.groupBy("_leaf").agg(F.min(F.struct("_range", "before")).alias("c")).select("_leaf", F.col("c._range").alias("_cut"), F.col("c.before").alias("before"))
-    place = Window.partitionBy("_leaf").orderBy("_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = keyed.join(cut, "_leaf").where("_range = _cut").select("_leaf", "_key", "_rest", (F.col("before") + F.sum("mix_tokens").over(place) - F.col("mix_tokens")).alias("at"))
+    # rows of one key are one step: all of them have the tokens of smaller keys before them
+    steps = keyed.join(cut, "_leaf").where("_range = _cut").groupBy("_leaf", "_key").agg(F.sum("mix_tokens").alias("n"), F.first("_rest").alias("_rest"), F.first("before").alias("before"))
+    place = Window.partitionBy("_leaf").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = steps.select("_leaf", "_key", "_rest", (F.col("before") + F.coalesce(F.sum("n").over(place), F.lit(0))).alias("at"))
     last = inside.where("at < _rest").groupBy("_leaf").agg(F.max("_key").alias("_last"))
     chosen = stage(leaf.join(last, "_leaf", "left").select("_leaf", "_full", F.coalesce("_last", F.lit("")).alias("_last")), "mix-plan")
     taken = marked.join(chosen, "_leaf").withColumn("_times", F.col("_full") + (key <= F.col("_last")).cast("int")).where("_times > 0")

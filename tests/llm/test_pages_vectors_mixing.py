@@ -208,3 +208,22 @@ def test_mixing_odd_rows(docs, empty):
     got = mixing.mix(docs, share=1.0)
     assert got.columns[: len(docs.columns)] == docs.columns and {r.doc_id for r in got.collect()} >= {1, 2, 5}
     assert mixing.mix(empty).count() == 0
+
+
+@pytest.mark.parametrize("epochs", [1, 2])
+@pytest.mark.parametrize("named", [True, False])
+def test_mixing_repeats_across_the_budget(spark, named, epochs):
+    """A doc_id (or a text without one) that holds a third of the leaf, wherever its place is; all its rows share that place."""
+    for again in (0, 3):
+        rows = [(i if named or i != again else None, f"text {i} " + "w " * 8) for i in range(12) for _ in range(6 if i == again else 1)]
+        place = {t: hashlib.md5(t.encode()).hexdigest() if d is None else str(d) for d, t in rows}
+        held = {}
+        for _, t in rows:
+            held[t] = held.get(t, 0) + 10
+        for total in (5, 95, 169):
+            want, at, goal = [], 0, total + 170 * (epochs - 1)
+            for t in sorted(held, key=lambda t: hashlib.md5(f"{mixing.SEED}:{epochs - 1}:{place[t]}".encode()).hexdigest()):
+                want += [(t, e) for e in range(epochs - 1 + (at < total)) for _ in range(held[t] // 10)]
+                at += held[t]
+            frame = spark.createDataFrame([(d, t, "en", "s") for d, t in rows], "doc_id long, text string, lang string, source string")
+            assert sorted((r.text, r.mix_epoch) for r in mixing.mix(frame, total=goal, epochs=epochs).collect()) == sorted(want)
