@@ -39,11 +39,16 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "body": {"head"},
 }
+#: Elements that can stand in a head; any other ends it, as text does.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Elements in which, and in whose content, a tag can close itself.
+FOREIGN_TAGS = frozenset("svg math".split())
 PATHS, WORDS, SHAPES = 1024, 2048, 8
 WORD_SCALE = 3.0
 
 _TAG = re.compile(r"<(?:!--(?:.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>?|[!?/][^>]*>?)", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"']*\Z")
 _PART = re.compile(r"[^\W_]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW_TAGS}
 
@@ -74,8 +79,14 @@ def leaves(html: str | None) -> list[Leaf]:
             held.clear()
         link = 0
 
+    def pop() -> None:
+        nonlocal hidden
+        hidden -= stack.pop()[0] in HIDDEN_TAGS
+
     def keep(raw: str) -> None:
         nonlocal link
+        if stack and stack[-1][0] == "head" and raw.strip():
+            pop()
         if raw and not hidden:
             text = html_lib.unescape(raw) if "&" in raw else raw
             held.append(text)
@@ -104,6 +115,8 @@ def leaves(html: str | None) -> list[Leaf]:
                         del stack[i:]
                         break
             continue
+        if stack and stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            pop()
         if tag == "a":
             linked = True
         if tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS:
@@ -111,9 +124,11 @@ def leaves(html: str | None) -> list[Leaf]:
         flush()
         if tag in VOID_TAGS:
             continue
+        if found[3].endswith("/") and not _UNQUOTED_END.search(found[3]) and (tag in FOREIGN_TAGS or any(t in FOREIGN_TAGS for t, _ in stack)):
+            continue
         ends = CLOSES.get(tag, ())
         while stack and (stack[-1][0] in ends or stack[-1][0] == "p"):
-            stack.pop()
+            pop()
         if tag in RAW_TAGS:
             end = _RAW_END[tag].search(html, at)
             body, at = (html[at : end.start()], end.end()) if end else (html[at:], len(html))

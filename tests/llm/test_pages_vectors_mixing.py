@@ -67,6 +67,18 @@ def test_surroundings_are_left_out(model):
     assert html_blocks.main_text([page], model) == ["A title of this page\nA first paragraph with several words in it.\nA second paragraph, also with words."]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><meta charset=utf-8><body><p>One two.</p><p>Three.</p></body></html>", "<html><head><title>t</title><script>x</script><p>One two.</p><p>Three.</p></html>",
+        "<head><title>t</title>One two.<p>Three.", "<head><title>t</title><span>One two.</span><p>Three.", "<div><p><svg viewBox='0 0 1 1'/>One two.</p><p>Three.</p></div>",
+        "<div><p><math/>One two.</p><p>Three.</p></div>", "<p><svg><title/><style/><path d='M0'/><g>hidden</g></svg>One two.</p><p>Three.</p>", "<p><svg id=a/>hidden</svg>One two.</p><p>Three.</p>",
+    ],
+)
+def test_open_heads_and_self_closed_elements(page):
+    assert [b.text for b in html_blocks.leaves(page)] == ["One two.", "Three."]
+
+
 def test_archive(spark, pages):
     for table in (spark.read.parquet(f"{SMALL}/pages.parquet"), pages):
         rows = table.collect()
