@@ -30,8 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .tokens import END_ID, MEMO, default_path, encoder
+from .tokens import END_ID, default_path, encoder
 
 TIERS = (1024, 512, 256, 128)
 POOL = 2_000_000
@@ -134,15 +133,14 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, pool: int = POOL, step: int = STEP, memo: int = MEMO) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, pool: int = POOL, step: int = STEP) -> DataFrame:
     """docs(doc_id, text, ...) -> one row for each piece.
 
     Every id of every row, the end id included, lies in exactly one piece.  A
     null text is empty (its end id alone); a null doc_id stays null; rows that
     repeat a doc_id are packed as separate documents.  ``sequence_id`` and
     ``step_id`` are unique over the result, with gaps between partitions.
-    ``tier`` is the window length that the sequence is padded to.  ``memo``
-    bounds the encoder's memory, and never changes the ids.  Other columns are
+    ``tier`` is the window length that the sequence is padded to.  Other columns are
     ignored; an empty table gives an empty result.
     """
     path = tokenizer or default_path()
@@ -154,9 +152,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
 
     def run(batches):
         packer = Packer(TaskContext.get().partitionId() << 40, tiers, pool, step)
-        encode = encoder(path, END_ID, memo)
-        for batch in slices(batches):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").to_pylist())):
+        encode = encoder(path, END_ID)
+        for batch in batches:
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.each(batch.column("text"))):
                 packer.add(doc_id, ids)
                 if len(packer.out) >= 20_000:
                     yield table(packer.rows())

@@ -28,7 +28,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_read, open_write, scratch, slices, stage
+from .common import open_read, open_write, scratch, stage
 from .tokens import END_ID, default_path, encoder
 
 MAGIC = b"SVPLANE1"
@@ -173,8 +173,8 @@ def write_planes(docs: DataFrame, tokenizer: str | None = None, mode: str = "byt
     def run(batches):
         part, count, writer = TaskContext.get().partitionId(), 0, None
         encode = encoder(path, END_ID)
-        for batch in slices(batches):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").to_pylist())):
+        for batch in batches:
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.each(batch.column("text"))):
                 if writer is None:
                     writer = PlaneWriter(f"{base}/part-{part:06d}-{count:04d}-{uuid.uuid4().hex}.planes", mode, chunk)
                 writer.add(doc_id, ids)
