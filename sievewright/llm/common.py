@@ -9,10 +9,12 @@ which resolves the same URI on every executor.
 from __future__ import annotations
 
 import ctypes
+import io
 import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +59,8 @@ def discard(spark: SparkSession, path: str) -> None:
 def _resolve(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3://" + uri.partition("://")[2]
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
     return pafs.FileSystem.from_uri(uri)
@@ -79,6 +83,21 @@ def open_read(uri: str) -> pa.NativeFile:
     return store.open_input_file(path)
 
 
+def put_arrays(uri: str, /, **arrays: np.ndarray) -> None:
+    """Write named arrays as one file."""
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    with open_write(uri) as out:
+        out.write(held.getbuffer())
+
+
+def get_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of :func:`put_arrays`."""
+    with open_read(uri) as file:
+        held = np.load(io.BytesIO(file.read()))
+        return {k: held[k] for k in held.files}
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "replace")

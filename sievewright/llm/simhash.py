@@ -1,25 +1,36 @@
-"""SimHash near-duplicate groups by tiled exact comparison.
-
-1. Every whole text gets a 64-bit fingerprint (:func:`fingerprints`).
-2. Distinct fingerprints fall into bands by the population counts of their
-   upper and lower halves; a band is dealt into blocks of about ``block``
-   fingerprints.  Two fingerprints within ``radius`` bits have halves whose
-   population counts differ by ``radius`` at most in sum, so only blocks of
-   such neighbouring bands are paired.
-3. One task compares one pair of blocks, tile against tile, by numpy
-   exclusive-or and bit counts.  Tiles whose population-count bounds (of all
-   four 16-bit words) are farther apart than the radius are skipped.  It
-   returns a spanning forest of the links it found, so a dense cluster of n
-   fingerprints gives fewer than n edges and loses no connection.
+"""SimHash near-duplicates by tiled exact comparison.
+
+1. Every whole text gets a fingerprint: of 64 bits (:func:`fingerprints`), or
+   of 256 bits over its set of shingles (:func:`keep_one`).
+2. Distinct fingerprints fall into bands by the population counts of their two
+   halves; a band is dealt into blocks of about ``block`` fingerprints.  Two
+   fingerprints within ``radius`` bits have halves whose population counts
+   differ by ``radius`` at most in sum, so only blocks of such neighbouring
+   bands are paired.  A block is written once to the shared folder, and only
+   the names of a pair's two blocks are shuffled.
+3. One task compares one pair of blocks after another, tile against tile, by
+   numpy exclusive-or and bit counts.  Tiles whose population-count bounds (of
+   four words) are farther apart than the radius are skipped.  A pair gives a
+   spanning forest of its links, so a dense cluster of n fingerprints gives
+   fewer than n edges and loses no connection.
 4. The links' connected components name the groups.
 
-The only thing that reaches the driver is the histogram of bands, 33 x 33
-rows at most.  Equal fingerprints are one node, so exact copies, however
-many, are compared once.
+With ``similar``, a link must also have an exact Jaccard similarity of its two
+whole shingle sets.  Sets lie in the shared folder, written by the task that
+makes them; a comparing task reads those of fingerprints within the radius
+that nothing has connected yet.
+
+The driver sees the histogram of population counts alone, whose size doesn't
+depend on the data.  Equal fingerprints, or sets, are one node, so exact
+copies, however many, are compared once.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections import Counter
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -28,16 +39,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, stage, utf8
+from .common import get_arrays, held_by_worker, open_read, open_write, put_arrays, release, scratch, slices, stage, utf8
 from .components import Forest, connected_components
 
 RADIUS = 3
 SHINGLE = 3
-BLOCK = 32_768
+BLOCK = 16_384
 TILE = 512
+#: Of :func:`keep_one`: words of a shingle, least similarity, 64-bit words of a fingerprint, and the radius.  A bit of
+#: two sets of that similarity differs with a probability of 3/16 at most (four shingles of five; less for larger sets),
+#: so of 256 bits 48 are expected and 80 are five standard deviations off; unlike texts differ in 128.
+SET_SHINGLE = 5
+SIMILAR = (4, 5)
+WIDE = 4
+WIDE_RADIUS = 80
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
-_BYTE = np.arange(8) * 256
+_ODD = (np.random.default_rng(42).integers(0, 1 << 63, 16 + WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of hashes (m, w) of 64-bit words: the w words whose bits are set in over half of the rows."""
+    octets = hashes.astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), -1)
+    width = octets.shape[1]
+    counts = np.bincount((octets + np.arange(width) * 256).ravel(), minlength=width * 256).reshape(width, 256)
+    return np.packbits((counts @ _BITS).ravel() * 2 > len(hashes), bitorder="little").view("<u8")
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -54,9 +80,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return digest(b" ".join(words), 42)
     hashes = np.fromiter(map(digest, map(b" ".join, zip(*(words[i:] for i in range(shingle)))), repeat(42)), np.uint64)
-    counts = np.bincount((hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + _BYTE).ravel(), minlength=2048).reshape(8, 256)
-    set_bits = (counts @ _BITS).ravel() * 2 > len(hashes)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+    return int(majority(hashes[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -72,82 +96,208 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _neighbours(radius: int) -> list[tuple[int, int]]:
-    """One of each pair of opposite band offsets within the radius, (0, 0) first."""
-    near = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if abs(a) + abs(b) <= radius]
-    return [(0, 0)] + [d for d in near if d > (0, 0)]
+def shingle_set(text: str | None, size: int = SET_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles; none if wordless.
+
+    Words are those of :func:`simhash`; a text of ``size`` words or fewer is
+    one shingle.
+    """
+    words = utf8(text).lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = (out ^ hashes[i : i + n]) * _ODD[i % 16]
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def wide_print(members: np.ndarray) -> np.ndarray:
+    """The 256-bit fingerprint of a set, as WIDE words; zero for the empty set."""
+    if not len(members):
+        return np.zeros(WIDE, np.uint64)
+    mixed = (members ^ (members >> np.uint64(33)))[:, None] * _ODD[16:]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD[0]
+    return majority(mixed ^ (mixed >> np.uint64(32)))
+
+
+def node_of(members: np.ndarray) -> int:
+    """The signed 64-bit name of a set; of the empty set: 0."""
+    return int(np.uint64(xxhash.xxh64_intdigest(members.tobytes(), 42)).view(np.int64)) if len(members) else 0
 
 
-def _tiles(fps: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Order by the words' population counts; tiles' slices and count bounds."""
-    words = np.bitwise_count(fps.astype("<u8").view("<u2").reshape(-1, 4)).astype(np.int64)
-    order = np.lexsort(words.T[::-1])
-    words = words[order]
-    cuts = [(i, min(i + TILE, len(fps))) for i in range(0, len(fps), TILE)]
-    low = np.array([words[i:j].min(0) for i, j in cuts])
-    high = np.array([words[i:j].max(0) for i, j in cuts])
-    return order, cuts, low, high
+def similar_sets(a: np.ndarray, b: np.ndarray, similar: tuple[int, int]) -> bool:
+    """Is the Jaccard similarity of two sorted sets ``similar`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * similar[1] >= (len(a) + len(b) - both) * similar[0]
 
 
-def link_blocks(one: np.ndarray, two: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Spanning links (fingerprint pairs) within ``one``, or between it and ``two``."""
+class Block:
+    """Fingerprints (n, w), their nodes and, if sets are to be compared, the sets' places."""
+
+    def __init__(self, prints: np.ndarray, node: np.ndarray, uris=(), uri: np.ndarray | None = None, at: np.ndarray | None = None, n: np.ndarray | None = None):
+        words = np.bitwise_count(prints.view("<u2") if prints.shape[1] == 1 else prints).astype(np.int64)
+        order = np.lexsort(words.T[::-1])
+        words = words[order]
+        self.prints, self.node = prints[order], node[order]
+        self.uris, self.uri, self.at, self.n = uris, *(None if x is None else x[order] for x in (uri, at, n))
+        self.cuts = [(i, min(i + TILE, len(order))) for i in range(0, len(order), TILE)]
+        self.low = np.array([words[i:j].min(0) for i, j in self.cuts])
+        self.high = np.array([words[i:j].max(0) for i, j in self.cuts])
+
+    def members(self, i: int) -> np.ndarray:
+        return _read_set(str(self.uris[self.uri[i]]), int(self.at[i]), int(self.n[i]))
+
+
+@held_by_worker
+@functools.lru_cache(maxsize=32)
+def _open_sets(uri: str):
+    return open_read(uri)
+
+
+@held_by_worker
+@functools.lru_cache(maxsize=64)
+def _read_set(uri: str, at: int, n: int) -> np.ndarray:
+    return np.frombuffer(_open_sets(uri).read_at(8 * n, at), np.uint64)
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each of a (m, w) and each of b (n, w)."""
+    out = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    for k in range(1, a.shape[1]):
+        out = np.add(out, np.bitwise_count(a[:, None, k] ^ b[None, :, k]), dtype=np.uint16)
+    return out
+
+
+def link_blocks(one: Block, two: Block | None, radius: int = RADIUS, similar: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (node, node) within ``one``, or between it and ``two``."""
     same = two is None
     other = one if same else two
-    order_a, cuts_a, low_a, high_a = _tiles(one)
-    order_b, cuts_b, low_b, high_b = (order_a, cuts_a, low_a, high_a) if same else _tiles(other)
-    a, b = one[order_a], other[order_b]
-    trees = Forest(len(a) if same else len(a) + len(b))
-    shift = 0 if same else len(a)
-    out = []
-    for s, (i, j) in enumerate(cuts_a):
-        apart = np.maximum(np.maximum(low_b - high_a[s], low_a[s] - high_b), 0).sum(1)
+    shift = 0 if same else len(one.node)
+    trees = Forest(shift + len(other.node))
+    us, vs = [], []
+
+    def join(x: np.ndarray, y: np.ndarray) -> None:
+        new = trees.join_all(x, y + shift)
+        us.append(one.node[x[new]])
+        vs.append(other.node[y[new]])
+
+    def join_similar(x: np.ndarray, y: np.ndarray) -> None:
+        """Join the similar ones: in each turn a spanning forest of what is still apart is compared."""
+        n, m = one.n[x].astype(np.int64), other.n[y].astype(np.int64)
+        fits = np.minimum(n, m) * similar[1] >= np.maximum(n, m) * similar[0]
+        x, y = x[fits], y[fits]
+        while len(x):
+            p, q = trees.roots(x.copy()), trees.roots(y + shift)
+            open_ = p != q
+            x, y, p, q = x[open_], y[open_], p[open_], q[open_]
+            if not len(x):
+                break
+            names, place = np.unique(np.concatenate([p, q]), return_inverse=True)
+            tried = Forest(len(names)).join_all(place[: len(p)], place[len(p) :])
+            hit = [similar_sets(one.members(i), other.members(k), similar) for i, k in zip(x[tried].tolist(), y[tried].tolist())]
+            join(x[tried][hit], y[tried][hit])
+            x, y = np.delete(x, tried), np.delete(y, tried)
+
+    for s, (i, j) in enumerate(one.cuts):
+        apart = np.maximum(np.maximum(other.low - one.high[s], one.low[s] - other.high), 0).sum(1)
         for t in np.flatnonzero(apart <= radius):
             if same and t < s:
                 continue
-            k, m = cuts_b[t]
-            x, y = np.nonzero(np.bitwise_count(a[i:j, None] ^ b[None, k:m]) <= radius)
+            k, m = other.cuts[t]
+            x, y = np.nonzero(_distance(one.prints[i:j], other.prints[k:m]) <= radius)
             if same and s == t:
                 x, y = x[x < y], y[x < y]
-            new = trees.join_all(x + i, y + k + shift)
-            out += zip(a[x[new] + i].tolist(), b[y[new] + k].tolist())
-    return out
+            if len(x):
+                (join if similar is None else join_similar)(x + i, y + k)
+    return np.concatenate([np.empty(0, np.int64), *us]), np.concatenate([np.empty(0, np.int64), *vs])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """distinct(fp long) without repeats -> (u, v) spanning links of fingerprints."""
-    half = F.lit(0xFFFFFFFF)
-    banded = distinct.select(
-        "fp", F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int").alias("a"), F.bit_count(F.col("fp").bitwiseAND(half)).cast("int").alias("b")
-    )
-    blocks = {(r.a, r.b): -(-r.n // block) for r in banded.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
-    offsets = _neighbours(radius)
-    many = F.create_map(*[F.lit(x) for (p, q), n in blocks.items() if n > 1 for x in (p * 64 + q, n)]) if any(n > 1 for n in blocks.values()) else None
-    count = F.lit(1) if many is None else F.coalesce(F.try_element_at(many, F.col("a") * 64 + F.col("b")), F.lit(1))
-    banded = banded.withColumn("s", F.pmod(F.xxhash64("fp"), count).cast("int"))
+def _layout(histogram: dict[tuple[int, int], int], block: int, radius: int) -> tuple[int, dict[tuple[int, int], int]]:
+    """How many counts a band spans in each half, and the blocks of each band.
+
+    Bands are as narrow as lets them fill a quarter of a block on average, but
+    a quarter of the radius at least; this settles how much is compared, never
+    what is linked.
+    """
+    width, total = max(1, radius // 4), sum(histogram.values())
+    while True:
+        bands = Counter()
+        for (a, b), n in histogram.items():
+            bands[a // width, b // width] += n
+        if len(bands) < 2 or len(bands) * block <= 4 * total:
+            return width, {k: -(-n // block) for k, n in bands.items()}
+        width *= 2
+
+
+def _offsets(radius: int, width: int) -> list[tuple[int, int]]:
+    """One of each pair of opposite band offsets that the radius can span, (0, 0) first."""
+    def gap(d: int) -> int:
+        return max(0, (abs(d) - 1) * width + 1) if d else 0
+
+    reach = range(-(radius // width) - 1, radius // width + 2)
+    near = [(a, b) for a in reach for b in reach if gap(a) + gap(b) <= radius]
+    return [(0, 0)] + [d for d in near if d > (0, 0)]
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, similar: tuple[int, int] | None = None) -> DataFrame:
+    """nodes(node long, p0 long, ...) without repeats -> (u, v) spanning links of nodes.
+
+    p0, p1, ... are a fingerprint's words, one or an even number.  With
+    ``similar``, ``nodes`` also has its sets' places: uri, at and n.
+    """
+    spark = nodes.sparkSession
+    base = scratch(spark, "simhash-blocks")
+    words = sorted((c for c in nodes.columns if c[0] == "p" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    if len(words) == 1:
+        halves = F.bit_count(F.shiftrightunsigned("p0", 32)), F.bit_count(F.col("p0").bitwiseAND(F.lit(0xFFFFFFFF)))
+    else:
+        middle = len(words) // 2
+        halves = [functools.reduce(lambda x, y: x + y, [F.bit_count(c) for c in part]) for part in (words[:middle], words[middle:])]
+    banded = nodes.select("*", *(h.cast("int").alias(c) for h, c in zip(halves, "ab")))
+    width, counts = _layout({(r.a, r.b): r.n for r in banded.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}, block, radius)
+    many = [x for (a, b), n in counts.items() if n > 1 for x in (a * 512 + b, n)]
+    a, b = (F.floor(F.col(c) / width).cast("int") for c in "ab")
+    dealt = banded.withColumns({"a": a, "b": b})
+    parts = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, many)), F.col("a") * 512 + F.col("b")), F.lit(1)) if many else F.lit(1)
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("node"), parts).cast("int"))
 
     def deal(key, table):
-        p, q, s = (k.as_py() for k in key)
-        payload = table.column("fp").to_numpy().tobytes()
-        own, rows = f"{p}.{q}.{s}", []
-        for da, db in offsets:
-            for t in range(blocks.get((p + da, q + db), 0)):
-                if (da, db) > (0, 0) or t >= s:
-                    rows.append((f"{own}|{p + da}.{q + db}.{t}", 0))
-                if (da, db) == (0, 0) and t < s:
-                    rows.append((f"{p}.{q}.{t}|{own}", 1))
-            if (da, db) > (0, 0):
-                rows += [(f"{p - da}.{q - db}.{t}|{own}", 1) for t in range(blocks.get((p - da, q - db), 0))]
-        return pa.table({"pair": [r[0] for r in rows], "side": pa.array([r[1] for r in rows], pa.int32()), "fps": pa.array([payload] * len(rows), pa.binary())})
-
-    def compare(key, table):
-        sides = {s: np.frombuffer(f, np.uint64) for s, f in zip(table.column("side").to_pylist(), table.column("fps").to_pylist())}
-        found = np.array(link_blocks(sides[0], sides.get(1), radius), np.uint64).reshape(-1, 2).view(np.int64)
-        del sides
+        uri = f"{base}/{uuid.uuid4().hex}.npz"
+        held = {"prints": np.stack([table.column(c).to_numpy() for c in words], 1).view(np.uint64), "node": table.column("node").to_numpy()}
+        if similar is not None:
+            uris, own = np.unique(np.array(table.column("uri").to_pylist(), str), return_inverse=True)
+            held |= {"uris": uris, "uri": own, "at": table.column("at").to_numpy(), "n": table.column("n").to_numpy()}
+        put_arrays(uri, **held)
+        return pa.table({"a": [key[0].as_py()], "b": [key[1].as_py()], "s": [key[2].as_py()], "block": [uri]}, pa.schema([("a", pa.int32()), ("b", pa.int32()), ("s", pa.int32()), ("block", pa.string())]))
+
+    written = stage(dealt.groupBy("a", "b", "s").applyInArrow(deal, "a int, b int, s int, block string"), "simhash-deal")
+    return compare_blocks(written, _offsets(radius, width), Block, lambda one, two: link_blocks(one, two, radius, similar))
+
+
+def compare_blocks(written: DataFrame, offsets: list[tuple[int, int]], load: Callable, compare: Callable) -> DataFrame:
+    """written(a, b, s, block): blocks s of bands (a, b) -> (u, v) of all pairs of blocks of bands ``offsets`` apart."""
+    near = written.withColumn("d", F.explode(F.array(*(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in offsets))))
+    near = near.select((F.col("a") + F.col("d.a")).alias("a"), (F.col("b") + F.col("d.b")).alias("b"), F.col("s").alias("t"), F.col("block").alias("one"), ((F.col("d.a") == 0) & (F.col("d.b") == 0)).alias("own"))
+    pairs = stage(near.join(written, ["a", "b"]).where("not own or t <= s").select("one", F.col("block").alias("two")), "block-pairs")
+
+    def run(batches):
+        release()
+        at, block = None, None
+        for batch in batches:
+            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+                if one != at:
+                    at, block = one, load(**get_arrays(one))
+                u, v = compare(block, None if one == two else load(**get_arrays(two)))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
         release()
-        return pa.table({"u": found[:, 0], "v": found[:, 1]})
 
-    paired = banded.groupBy("a", "b", "s").applyInArrow(deal, "pair string, side int, fps binary")
-    return paired.groupBy("pair").applyInArrow(compare, "u long, v long")
+    n = pairs.count()
+    parts = max(1, min(n, int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))), min(n // 8, 20_000))
+    return pairs.repartition(parts, "one", "two").sortWithinPartitions("one").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -161,12 +311,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     marked = stage(fingerprints(docs, shingle), "simhash")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    return label_groups(marked, distinct, stage(links(distinct.select("fp"), radius, block), "simhash-links"))
-
-
-def label_groups(marked: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
-    """marked(doc_id, fp) with the components of links found(u, v) between distinct(fp, rep)."""
-    member = connected_components(found)
+    member = connected_components(stage(links(distinct.select(F.col("fp").alias("node"), F.col("fp").alias("p0")), radius, block), "simhash-links"))
     joined = member.join(distinct, member.node == distinct.fp).select("root", "fp", "rep")
     root = joined.groupBy("root").agg(F.min("rep").alias("component"))
     grouped = joined.select("root", "fp").join(root, "root").select("fp", "component")
@@ -174,32 +319,59 @@ def label_groups(marked: DataFrame, distinct: DataFrame, found: DataFrame) -> Da
     return marked.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each near-duplicate group.
-
-    The row whose doc_id names its component stays; where several rows repeat
-    that doc_id, the smallest of them by its other columns.  Rows without a
-    doc_id stay only in components in which none has one, one row for each
-    fingerprint.
-    """
-    shingle = options.get("shingle", SHINGLE)
-    return keep_groups(docs, near_duplicates(docs, **options), lambda t: simhash(t, shingle))
+def _with_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row struct of the columns of docs, doc_id, place, node, p0.., uri, at, n), written; sets go to files."""
+    base = scratch(docs.sparkSession, "simhash-sets")
+    places = ["node", *(f"p{k}" for k in range(WIDE)), "uri", "at", "n"]
 
+    def run(batches):
+        release()
+        uri, seen, end = f"{base}/{uuid.uuid4().hex}.sets", {}, 0
+        out = open_write(uri)
+        for batch in slices(batches):
+            found = []
+            for text in batch.column("text").to_pylist():
+                members = shingle_set(text, shingle)
+                node = node_of(members)
+                if node not in seen:
+                    seen[node] = (node, *wide_print(members).view(np.int64).tolist(), uri, end, len(members))
+                    end += out.write(members.tobytes())
+                found.append(seen[node])
+            kinds = [pa.int64()] * (1 + WIDE) + [pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("row", "doc_id", "place")), *(pa.array(c, t) for c, t in zip(zip(*found), kinds))], ["row", "doc_id", "place", *places]
+            )
+        out.close()
+        release()
 
-def keep_groups(docs: DataFrame, groups: DataFrame, name) -> DataFrame:
-    """The rows that :func:`keep_one` keeps of ``groups``; ``name`` gives a text's fingerprint."""
-    ids = stage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("place"), F.col("text").cast("string").alias("text"),
+    )
+    schema = rows.drop("text").schema
+    for c in places:
+        schema = schema.add(c, "string" if c == "uri" else "long")
+    return stage(rows.mapInArrow(run, schema), "simhash-rows")
+
+
+def keep_one(docs: DataFrame, shingle: int = SET_SHINGLE, similar: tuple[int, int] = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of near duplicates.
+
+    Texts are linked if their sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``similar`` or more: 256-bit fingerprints within WIDE_RADIUS
+    bits are candidates, whole sets decide.  Texts without words (null and
+    empty ones too) are one group.  Of a group's rows that with the smallest
+    doc_id stays, nulls last; of rows that repeat it, one.  A group is told by
+    its texts alone, so rows of unlike texts that repeat a doc_id all stay.
+    Columns pass through unchanged, whatever their names; an empty table gives
+    an empty result.
+    """
+    rows = _with_sets(docs, shingle)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
+    places = F.struct("uri", "at", "n", *(f"p{k}" for k in range(WIDE)))
+    distinct = stage(rows.groupBy("node").agg(F.min(places).alias("x"), F.min(first).alias("first")), "simhash-sets-distinct")
+    member = connected_components(stage(links(distinct.select("node", "x.*"), WIDE_RADIUS, block, similar), "simhash-set-links"))
+    lead = distinct.select("node", "first").join(member, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     # always the same kind of join: what it moves then grows with the input, not by a step
-    single = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    others = [c for c in docs.columns if c != "doc_id"]
-    repeated = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row"))
-    repeated = repeated.select([F.col("doc_id") if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in docs.columns])
-    return single.unionByName(repeated).unionByName(_nameless(docs, groups, name))
-
-
-def _nameless(docs: DataFrame, groups: DataFrame, name) -> DataFrame:
-    """Rows without doc_id whose components have none: one for each fingerprint."""
-    print_one = F.udf(lambda t: f"{name(t) & (1 << 64) - 1:016x}", "string")
-    left = groups.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    rows = docs.where("doc_id is null").withColumn("fingerprint", print_one("text"))
-    return rows.join(left, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(docs.columns)
+    kept = stage(lead.select(F.col("first.place").alias("place")), "simhash-kept").hint("merge")
+    return rows.select("row", "place").join(kept, "place", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -1,5 +1,7 @@
 import corpus_pipeline as pipeline
-from sievewright.llm import langid, simhash
+from sievewright.llm import langid
+
+from test_simhash import check_kept
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,8 +14,8 @@ def test_stages(spark, docs):
     marked = {r.doc_id: r for r in langid.identify(table).collect()}
     assert kept == {d for d, r in marked.items() if r.lang_pred != "und" and r.score >= pipeline.MIN_SCORE} and len(kept) > 0.95 * table.count()
     second = pipeline.drop_near_duplicates(spark, first, SMALL)
-    groups = {r.component_id for r in simhash.near_duplicates(first).collect()}
-    assert sorted(r.doc_id for r in second.collect()) == sorted(groups)
+    groups = {r.doc_id for r in second.collect()}
+    check_kept([(r.doc_id, r.text) for r in first.collect()], [(r.doc_id, r.text) for r in second.collect()])
     third = pipeline.mix_sources(spark, second, SMALL)
     assert third.columns == list(pipeline.COLUMNS) and {r.doc_id for r in third.collect()} <= groups
     assert [name for name, _ in pipeline.STAGES] == ["language_id", "near_duplicates", "mixing", "packing"]
