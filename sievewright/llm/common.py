@@ -122,8 +122,14 @@ def release() -> None:
         pass  # another C library keeps its own counsel
 
 
-def slices(batches, rows: int = 500):
-    """Arrow batches in pieces of few rows: only those become Python objects at once."""
+def slices(batches, rows: int = 500, most: int = 16 << 20):
+    """Arrow batches in pieces of few rows, and of ``most`` bytes if they have two rows or more: only those become Python objects at once."""
     for batch in batches:
-        for low in range(0, batch.num_rows, rows):
-            yield batch.slice(low, rows)
+        todo = [batch.slice(low, rows) for low in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            piece = todo.pop()
+            half = piece.num_rows // 2
+            if half and piece.nbytes > most:
+                todo += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece

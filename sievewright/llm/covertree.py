@@ -9,7 +9,8 @@ For unit vectors, cosine >= c is Euclidean distance <= sqrt(2 - 2c) = r.
    ``block`` vectors.  Two cells whose pivots lie farther apart than the sum
    of their covering radii plus r share no link, and their blocks never meet.
 3. Each block gets a cover tree: nested levels with halving radii, every
-   node's centre also a centre of the next level (:class:`CoverTree`).
+   node's centre also a centre of the next level (:class:`CoverTree`).  It is
+   written once to the shared folder; only names of blocks are shuffled.
 4. One task walks one pair of blocks' trees.  A pair of nodes is pruned when
    their centres lie farther apart than both covering radii plus r, taken
    whole when even the farthest members are within r, and else replaced by
@@ -21,14 +22,14 @@ links, so the output is linear in the blocks however dense a cluster is.
 
 from __future__ import annotations
 
-import io
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import get_arrays, put_arrays, release, scratch, slices, stage
 from .components import Forest, connected_components
 
 THRESHOLD = 0.95
@@ -108,17 +109,14 @@ class CoverTree:
 
     FIELDS = ("order", "centre", "lo", "hi", "child", "children", "radius")
 
-    def dump(self, **more: np.ndarray) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, **{k: getattr(self, k) for k in self.FIELDS}, **more)
-        return out.getvalue()
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {k: getattr(self, k) for k in self.FIELDS}
 
 
 class Block:
-    """A tree with its points in tree order, read from :meth:`CoverTree.dump`."""
+    """A tree with its points in tree order, of :meth:`CoverTree.arrays` with node, mult and points."""
 
-    def __init__(self, data: bytes):
-        held = np.load(io.BytesIO(data))
+    def __init__(self, held: dict[str, np.ndarray]):
         for k in CoverTree.FIELDS:
             setattr(self, k, held[k])
         self.node, self.mult, self.points = (held[k][self.order] for k in ("node", "mult", "points"))
@@ -227,12 +225,13 @@ def _vectors(table: DataFrame) -> DataFrame:
     """(vec_id, dim, v binary): v is null where a vector can't be linked."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             held = []
             for x in batch.column("embedding").to_pylist():
                 v = None if x is None or not x or any(c is None for c in x) else np.array(x, np.float64)
-                with np.errstate(over="ignore"):
-                    held.append(v.tobytes() if v is not None and np.isfinite(v).all() and 0 < np.linalg.norm(v) < np.inf else None)
+                usable = v is not None and np.isfinite(v).all() and v.any()
+                # a power of two changes no cosine, and keeps squares from running over or under
+                held.append(np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])).tobytes() if usable else None)
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "dim": pa.array([None if v is None else len(v) // 8 for v in held], pa.int32()), "v": pa.array(held, pa.binary())})
 
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -266,39 +265,50 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
 
     settled = stage(distinct.select("node", "mult", "dim", "v").mapInArrow(settle, "node long, mult long, dim int, v binary, cell int, far double"), "cover-cells")
     cells = {(r.dim, r.cell): (r.n, r.far) for r in settled.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    blocks = {(dim, cell): -(-n // max(256, min(block, (4 << 20) // (8 * dim)))) for (dim, cell), (n, _) in cells.items()}
+    counts = {(dim, cell): -(-n // max(256, min(block, (4 << 20) // (8 * dim)))) for (dim, cell), (n, _) in cells.items()}
     partners: dict[tuple[int, int], list[int]] = {}
     for dim, i in cells:
         hub = hubs.get(dim)
         partners[dim, i] = [
             j for d, j in cells if d == dim and (hub is None or np.linalg.norm(hub[i] - hub[j]) <= cells[dim, i][1] + cells[dim, j][1] + reach + SLACK)
         ]
-    sizes = F.create_map(*[F.lit(x) for (dim, cell), n in blocks.items() for x in (f"{dim}.{cell}", n)]) if blocks else F.lit(None)
-    salted = settled.withColumn("s", F.pmod(F.xxhash64("v"), F.try_element_at(sizes, F.concat_ws(".", "dim", "cell"))).cast("int") if blocks else F.lit(0))
+    sizes = F.create_map(*[F.lit(x) for (dim, cell), n in counts.items() for x in (f"{dim}.{cell}", n)]) if counts else F.lit(None)
+    salted = settled.withColumn("s", F.pmod(F.xxhash64("v"), F.try_element_at(sizes, F.concat_ws(".", "dim", "cell"))).cast("int") if counts else F.lit(0))
+
+    base = scratch(distinct.sparkSession, "cover-blocks")
 
     def deal(key, table):
         dim, cell, s = (k.as_py() for k in key)
         points = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(-1, dim)
         unit = points / np.linalg.norm(points, axis=1, keepdims=True)
-        data = CoverTree(unit).dump(node=table.column("node").to_numpy(), mult=table.column("mult").to_numpy(), points=points)
-        own, pairs = (cell, s), []
-        for j in partners[dim, cell]:
-            for t in range(blocks[dim, j]):
-                first, second = sorted((own, (j, t)))
-                pairs.append((f"{dim}|{first}|{second}", 0 if own == first else 1))
-        return pa.table({"pair": [p for p, _ in pairs], "side": pa.array([x for _, x in pairs], pa.int32()), "tree": pa.array([data] * len(pairs), pa.binary())})
-
-    def compare(key, table):
-        sides = {s: Block(t) for s, t in zip(table.column("side").to_pylist(), table.column("tree").to_pylist())}
-        counts, edges = walk(sides[0], sides.get(1), threshold)
-        return pa.table({
-            "node": pa.array([n for n, _ in counts] + [u for u, _ in edges], pa.int64()),
-            "other": pa.array([None] * len(counts) + [v for _, v in edges], pa.int64()),
-            "links": pa.array([c for _, c in counts] + [None] * len(edges), pa.int64()),
-        })
-
-    paired = salted.groupBy("dim", "cell", "s").applyInArrow(deal, "pair string, side int, tree binary")
-    return paired.groupBy("pair").applyInArrow(compare, "node long, other long, links long")
+        uri = f"{base}/{uuid.uuid4().hex}.npz"
+        put_arrays(uri, node=table.column("node").to_numpy(), mult=table.column("mult").to_numpy(), points=points, **CoverTree(unit).arrays())
+        return pa.table({"dim": pa.array([dim], pa.int32()), "cell": pa.array([cell], pa.int32()), "s": pa.array([s], pa.int32()), "block": [uri]})
+
+    def compare(batches):
+        release()
+        at, one = None, None
+        for batch in batches:
+            for first, second in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+                if first != at:
+                    at, one = first, Block(get_arrays(first))
+                counts, edges = walk(one, None if first == second else Block(get_arrays(second)), threshold)
+                yield pa.RecordBatch.from_pydict({
+                    "node": pa.array([n for n, _ in counts] + [u for u, _ in edges], pa.int64()),
+                    "other": pa.array([None] * len(counts) + [v for _, v in edges], pa.int64()),
+                    "links": pa.array([c for _, c in counts] + [None] * len(edges), pa.int64()),
+                })
+        release()
+
+    spark = distinct.sparkSession
+    blocks = stage(salted.groupBy("dim", "cell", "s").applyInArrow(deal, "dim int, cell int, s int, block string"), "cover-deal")
+    near_cells = spark.createDataFrame([(d, i, j) for (d, i), js in partners.items() for j in js if i <= j], "dim int, cell int, other int")
+    one = blocks.join(near_cells, ["dim", "cell"]).select("dim", "cell", "s", F.col("other").alias("cell2"), F.col("block").alias("one"))
+    two = blocks.select("dim", F.col("cell").alias("cell2"), F.col("s").alias("s2"), F.col("block").alias("two"))
+    pairs = stage(one.join(two, ["dim", "cell2"]).where("cell < cell2 or s <= s2").select("one", "two"), "cover-pairs")
+    n = pairs.count()
+    parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), min(n // 8, 20_000))
+    return pairs.repartition(parts, "one", "two").sortWithinPartitions("one").mapInArrow(compare, "node long, other long, links long")
 
 
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:

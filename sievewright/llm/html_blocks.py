@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held_by_worker, release, slices
+
 #: Elements that start and end blocks, by the HTML standard's rendering rules, and br.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -46,26 +48,49 @@ FOREIGN_TAGS = frozenset("svg math".split())
 PATHS, WORDS, SHAPES = 1024, 2048, 8
 WORD_SCALE = 3.0
 
-_TAG = re.compile(r"<(?:!--(?:.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>?|[!?/][^>]*>?)", re.S)
+#: A comment (closed at once by > or ->), a tag with its attributes (quotes count only at the start of a value), or a declaration.
+_TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]++)?+)*+)>?|[!?/][^>]*>?)", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _UNQUOTED_END = re.compile(r"=\s*[^\s\"']*\Z")
 _PART = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW_TAGS}
 
 
+class Path:
+    """The open elements' parts: an element's own (tag, then class, id and role words) and the path above it."""
+
+    __slots__ = ("above", "own", "size")
+
+    def __init__(self, above: Path | None, own: tuple[str, ...]):
+        self.above, self.own, self.size = above, own, len(own) + (above.size if above else 0)
+
+    def buckets(self) -> list[int]:
+        """Hashed parts, each once, and the last two together."""
+        found, last, at = {}, [], self
+        while at:
+            if len(last) < 2:
+                last = [*at.own, *last][-2:]
+            for part in at.own:
+                found[_part_bucket(part)] = None
+            at = at.above
+        return list(dict.fromkeys([*found, zlib.crc32(b"leaf:" + "/".join(last).encode("utf-8", "replace")) % PATHS]))
+
+
 class Leaf:
-    """A block's text, its path parts and how many of its characters are links."""
+    """A block's text, its path and how many of its characters are links."""
 
     __slots__ = ("link", "path", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], link: int):
+    def __init__(self, text: str, path: Path, link: int):
         self.text, self.path, self.link = text, path, link
 
 
 def leaves(html: str | None) -> list[Leaf]:
     """The leaf sequence of a page; blocks without text are left out."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    top = Path(None, ())
+    stack: list[tuple[str, Path]] = []
     held: list[str] = []
     at, hidden, linked, link = 0, 0, False, 0
     html = html or ""
@@ -75,7 +100,7 @@ def leaves(html: str | None) -> list[Leaf]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Leaf(text, stack[-1][1] if stack else (), link))
+                out.append(Leaf(text, stack[-1][1] if stack else top, link))
             held.clear()
         link = 0
 
@@ -137,35 +162,30 @@ def leaves(html: str | None) -> list[Leaf]:
                 flush()
             continue
         named = [p.lower() for m in _NAMED.findall(found[3]) for p in _PART.findall("".join(m))] if "=" in found[3] else []
-        parts = (*(stack[-1][1] if stack else ()), tag, *(f".{p}" for p in named))
-        stack.append((tag, parts))
+        stack.append((tag, Path(stack[-1][1] if stack else None, (tag, *(f".{p}" for p in named)))))
         hidden += tag in HIDDEN_TAGS
     flush()
     return out
 
 
-_buckets: dict[str, int] = {}
-
-
+@held_by_worker
+@functools.lru_cache(maxsize=100_000)
 def _bucket(word: str) -> int:
-    found = _buckets.get(word)
-    if found is None:
-        if len(_buckets) > 200_000:
-            _buckets.clear()
-        found = _buckets[word] = zlib.crc32(word.encode("utf-8", "replace")) % WORDS
-    return found
+    return zlib.crc32(word.encode("utf-8", "replace")) % WORDS
 
 
-@functools.lru_cache(maxsize=50_000)
-def _path_buckets(path: tuple[str, ...]) -> tuple[int, ...]:
-    return tuple(dict.fromkeys([*(zlib.crc32(p.encode("utf-8", "replace")) % PATHS for p in path), zlib.crc32(b"leaf:" + "/".join(path[-2:]).encode("utf-8", "replace")) % PATHS]))
+@held_by_worker
+@functools.lru_cache(maxsize=10_000)
+def _part_bucket(part: str) -> int:
+    return zlib.crc32(part.encode("utf-8", "replace")) % PATHS
 
 
 class Page:
     """A page's features: path and word buckets of each block, and shapes."""
 
     def __init__(self, blocks: list[Leaf]):
-        self.paths = [_path_buckets(b.path) for b in blocks]
+        known: dict[int, list[int]] = {}
+        self.paths = [known[id(b.path)] if id(b.path) in known else known.setdefault(id(b.path), b.path.buckets()) for b in blocks]
         self.words = [[_bucket(w) for w in b.text.lower().split()] for b in blocks]
         n = len(blocks)
         self.shapes = np.zeros((n, SHAPES), np.float32)
@@ -173,7 +193,7 @@ class Page:
             size, words = len(b.text), len(self.words[i])
             self.shapes[i] = (
                 min(1.0, size / 400), min(1.0, words / 60), min(1.0, b.link / size), b.text[-1] in ".!?:;\"'”…",
-                len(b.path) / 16, i / n, any(c.isdigit() for c in b.text[:40]), 1.0,
+                b.path.size / 16, i / n, _DIGIT.search(b.text) is not None, 1.0,
             )
 
 
@@ -277,10 +297,9 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model or labeller())
 
     def run(batches):
-        for batch in batches:
-            html, texts = batch.column("html").to_pylist(), []
-            for low in range(0, len(html), 500):
-                texts += main_text(html[low : low + 500], shared.value)
+        release()
+        for batch in slices(batches):
+            texts = main_text(batch.column("html").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -34,7 +34,9 @@ CELLS = 1 << 17
 CHUNK = 300
 SEED = 7
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that \\w takes and that are neither letters nor decimal digits: superscripts, fractions, Roman and circled numbers.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,19 +191,23 @@ class Model:
         return names, [float(min(1.0, m[k])) if n != UNKNOWN else 0.0 for m, k, n in zip(means, best, names)]
 
 
+def windows_of(text: str | None) -> list[list[str]]:
+    """Up to TRAIN_WINDOWS windows of WINDOW words, spread evenly over the text."""
+    words = words_of(text)
+    count = min(TRAIN_WINDOWS, -(-len(words) // WINDOW))
+    return [words[low : low + WINDOW] for low in np.linspace(0, max(0, len(words) - WINDOW), count).astype(int)]
+
+
 def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
     """rows: (text, language), a bounded sample.  Deterministic."""
+    return train_windows([(windows_of(text), lang) for text, lang in rows], seed)
+
+
+def train_windows(rows: list[tuple[list[list[str]], str]], seed: int = SEED) -> Model:
+    """rows: (windows of words, language).  Deterministic."""
     languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
-    windows: list[tuple[list[str], np.ndarray]] = []
-    for text, lang in rows:
-        words = words_of(text)
-        if not words:
-            continue
-        count = min(TRAIN_WINDOWS, -(-len(words) // WINDOW))
-        for low in np.linspace(0, max(0, len(words) - WINDOW), count).astype(int):
-            part = words[low : low + WINDOW]
-            windows.append((part, np.full(len(part), languages.index(lang))))
+    windows = [(part, np.full(len(part), languages.index(lang))) for parts, lang in rows for part in parts]
     for i in np.flatnonzero(rng.random(len(windows)) < SPLICED) if windows else []:
         other, cut = windows[rng.integers(len(windows))], int(rng.integers(1, WINDOW))
         windows[i] = (windows[i][0][:cut] + other[0][cut:], np.concatenate([windows[i][1][:cut], other[1][cut:]]))
@@ -249,7 +255,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     Only rows that are not held out and have a text and a lang are used.  The
     sample's expected size is ``rows`` times the number of languages,
-    whatever the table's size; it goes to the driver with whole texts.
+    whatever the table's size; of each text TRAIN_WINDOWS windows go to the
+    driver.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(docs)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -257,8 +264,15 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return train([])
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < F.try_element_at(share, "lang") * (1 << 30)
-    sample = usable.where(drawn).collect()
-    return train([(r.text, r.lang) for r in sorted(sample, key=lambda r: (r.doc_id, r.text))])
+
+    def cut(batches):
+        for batch in batches:
+            parts = [windows_of(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(parts, pa.list_(pa.list_(pa.string())))], ["lang", "doc_id", "parts"])
+
+    rows = usable.where(drawn).select("lang", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = rows.mapInArrow(cut, "lang string, doc_id string, parts array<array<string>>").collect()
+    return train_windows([(r.parts, r.lang) for r in sorted(sample, key=lambda r: (r.doc_id, r.parts))])
 
 
 def identify(docs: DataFrame, model: Model | None = None, rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
@@ -268,10 +282,15 @@ def identify(docs: DataFrame, model: Model | None = None, rows: int = TRAIN_ROWS
     language over the text's words.  A text that is null or has no letter is
     ``und`` with score 0, and so is every text if no labelled row exists.
     lang, source and doc_id play no part in a prediction.  With ``keep``,
-    those columns of ``docs`` replace doc_id in the result.
+    those columns of ``docs`` replace doc_id in the result; names that the
+    result has itself (held_out, lang_pred, score) can't be kept and raise
+    ValueError.  Other columns of ``docs`` are ignored, whatever their names;
+    an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, rows))
     keep = keep or ["doc_id"]
+    if {"held_out", "lang_pred", "score"} & set(keep):
+        raise ValueError("the result has columns of its own of these names")
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, rows))
     own = [F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep]
     extra = [] if "text" in keep else [F.col("text").cast("string").alias("text")]
     source = docs.select(*own, *extra, held_out(docs).alias("held_out"))

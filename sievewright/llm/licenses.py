@@ -7,19 +7,22 @@ that is no letter or digit separates, one space between words.  Then
 * each notice is split into k + 1 seeds, k being its error bound.  A match
   within k edits leaves one seed intact (pigeonhole), so exact seed hits
   locate all candidates, and the ``regex`` library's bounded-error matching
-  verifies each candidate window and reports its span and edits.
+  verifies each candidate window and reports its span and edits;
+* a notice's distinguishing words (a licence's name, a clause's letters) must
+  stand in a match as they are, so that edits can't make one licence another.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8
 
 #: Phrases and their labels.
 BASE = (
@@ -28,18 +31,18 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Short notices in the words of the licences' own texts.
+#: Short notices in the words of the licences' own texts, their labels and their distinguishing words.
 NOTICES = (
-    ("licensed under the apache license version 2 0", "apache"),
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the gnu general public license", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("licensed under cc by 4 0", "cc-by"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("redistribution and use in source and binary forms with or without modification", "bsd"),
-    ("subject to the terms of the mozilla public license", "mpl"),
+    ("licensed under the apache license version 2 0", "apache", "apache"),
+    ("released under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", ""),
+    ("licensed under the gnu general public license", "gpl", "gnu"),
+    ("gnu lesser general public license", "lgpl", "lesser"),
+    ("licensed under cc by 4 0", "cc-by", "cc by 4"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "cc by nc"),
+    ("licensed under cc by sa 4 0", "cc-by-sa", "cc by sa"),
+    ("redistribution and use in source and binary forms with or without modification", "bsd", ""),
+    ("subject to the terms of the mozilla public license", "mpl", "mozilla"),
 )
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
@@ -54,8 +57,9 @@ def error_bound(notice: str) -> int:
 class Notice:
     """A notice, its seeds with their places in it, and its verifier."""
 
-    def __init__(self, text: str, label: str):
+    def __init__(self, text: str, label: str, exact: str = ""):
         self.label, self.text, self.k = label, text.encode(), error_bound(text)
+        self.exact = f" {exact} ".encode() if exact else b" "
         n, parts = len(self.text), self.k + 1
         cuts = [n * i // parts for i in range(parts + 1)]
         self.seeds = [(self.text[i:j], i) for i, j in zip(cuts, cuts[1:])]
@@ -63,7 +67,9 @@ class Notice:
 
     def find(self, words: bytes) -> list[tuple[int, int, int]]:
         """(start, end, edits) of the matches in a text of words."""
-        windows = []
+        windows: list[tuple[int, int]] = []
+        if self.exact not in words:
+            return []
         for seed, place in self.seeds:
             at = words.find(seed)
             while at >= 0:
@@ -78,7 +84,9 @@ class Notice:
             else:
                 merged.append([low, high])
         for low, high in merged:
-            found += [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.match.finditer(words, low, high)]
+            if self.exact in words[max(0, low - 1) : high + 1]:
+                # overlapping matches too: one without the exact words may begin in front of one with them
+                found += [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.match.finditer(words, low, high, overlapped=True) if self.exact in words[m.start() - 1 : m.end() + 1]]
         return found
 
 
@@ -92,7 +100,7 @@ def normalise(text: str | None) -> tuple[bytes, int]:
 class Scanner:
     def __init__(self, base=BASE, notices=NOTICES):
         self.base = [(f" {p} ".encode(), label) for p, label in base]
-        self.notices = [Notice(p, label) for p, label in notices]
+        self.notices = [Notice(*x) for x in notices]
 
     def scan(self, text: str | None) -> dict:
         """Counts, labels, score and the spans of one whole text.
@@ -101,26 +109,39 @@ class Scanner:
         edits.  ``score`` is the best match's share of unedited characters.
         """
         words, n = normalise(text)
+        spaces = np.flatnonzero(np.frombuffer(words, np.uint8) == 0x20)
+
+        def word_at(places: list[int]) -> list[int]:
+            """How many words begin before each byte."""
+            return (np.searchsorted(spaces, places) - 1).tolist()
+
         spans, places, base_labels, best = [], [], set(), 0.0
         for phrase, label in self.base:
-            at = words.find(phrase)
+            own, at = [], words.find(phrase)
             while at >= 0:
-                places.append(words.count(b" ", 0, at))
-                spans.append((label, places[-1], phrase.count(b" ") - 1, 0))
+                own.append(at + 1)
+                at = words.find(phrase, at + 1)
+            if own:
+                own = word_at(own)
+                places += own
+                spans += [(label, at, phrase.count(b" ") - 1, 0) for at in own]
                 base_labels.add(label)
                 best = 1.0
-                at = words.find(phrase, at + 1)
         labels = set(base_labels)
         matches = sorted((edits, start - end, start, end, x.label, len(x.text)) for x in self.notices for start, end, edits in x.find(words))
         taken: list[tuple[int, int]] = []  # the closest of overlapping matches counts
+        fuzzy: list[tuple[str, int, int, int]] = []
         for edits, _, start, end, label, size in matches:
             at = bisect_right(taken, (start, end))
             if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
                 continue
             taken.insert(at, (start, end))
-            spans.append((label, words.count(b" ", 0, start) - 1, words.count(b" ", start, end) + 1, edits))
+            fuzzy.append((label, start, end, edits))
             labels.add(label)
             best = max(best, 1.0 - edits / size)
+        if fuzzy:
+            first, after = word_at([x[1] for x in fuzzy]), word_at([x[2] for x in fuzzy])
+            spans += [(label, a, b - a + 1, edits) for (label, _, _, edits), a, b in zip(fuzzy, first, after)]
         return {
             "n_words": n, "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
             "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels)), "score": best, "spans": sorted(spans),
@@ -143,7 +164,7 @@ def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
 
     def run(batches):
         scanner = Scanner(base, notices)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scanner.scan(t) for t in batch.column("text").to_pylist()]
             columns = {"doc_id": batch.column("doc_id")} | {k: pa.array([x[k] for x in found], t) for k, t in kinds.items()}
             columns["spans"] = pa.array([[dict(zip(("label", "first_word", "n_words", "edits"), s)) for s in x["spans"]] for x in found], span)

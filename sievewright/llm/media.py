@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import slices, stage, utf8
 
 WIDTH = 64
 TILE = 16
+STRIP = 4096
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -44,6 +45,11 @@ def encode_bmp(samples: np.ndarray) -> bytes:
     return head + palette.tobytes() + rows.tobytes()
 
 
+def _samples(data: bytes, kind, count: int, at: int) -> np.ndarray:
+    """``count`` samples from byte ``at`` on; none if none are wanted."""
+    return np.frombuffer(data, kind, count, at) if count else np.zeros(0, kind)
+
+
 _HEAD = re.compile(rb"(?:\s|#[^\n]*\n)*([0-9]+)")
 
 
@@ -59,20 +65,26 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     top = numbers[2] if len(numbers) > 2 else 1
     planes = 3 if kind in (3, 6) else 1
     n = width * height * planes
+    if not 0 < top < 65_536:
+        raise ValueError("maxval is 1 to 65535")
+    if n > 8 * len(data):  # no form has more than eight samples a byte
+        raise ValueError("short Netpbm body")
     if kind <= 3:
         body = re.sub(rb"#[^\n]*", b" ", data[at:])
         values = [c - 48 for c in body if c in b"01"] if kind == 1 else [int(x) for x in body.split()]
-        flat = np.array(values[:n], np.uint16)
+        flat = np.array(values[:n], np.int64) if max(values[:n], default=0) <= top else None
     elif kind == 4:
         stride = -(-width // 8)
-        rows = np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride)
+        rows = _samples(data, np.uint8, stride * height, at + 1).reshape(height, stride)
         flat = np.unpackbits(rows, axis=1, count=width).ravel()
     else:
-        flat = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at + 1)
-    if kind in (1, 4):
-        return ((1 - flat) * 255).astype(np.uint8).reshape(height, width)
+        flat = _samples(data, ">u2" if top > 255 else np.uint8, n, at + 1)
+    if flat is None or (flat.size and flat.max() > top):
+        raise ValueError("a sample over maxval")
     if flat.size < n:
         raise ValueError("short Netpbm body")
+    if kind in (1, 4):
+        return ((1 - flat) * 255).astype(np.uint8).reshape(height, width)
     flat = flat if top == 255 else (flat.astype(np.float64) * 255 / top).round()
     return flat.astype(np.uint8).reshape((height, width, 3) if planes == 3 else (height, width))
 
@@ -82,14 +94,20 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     size, width, height, _, bits, packing = struct.unpack_from("<IiiHHI", data, 14)
     if packing or bits not in (8, 24):
         raise ValueError("only uncompressed 8- and 24-bit BMP")
+    if width < 0:
+        raise ValueError("negative BMP width")
     down, height = height < 0, abs(height)
     stride = -(-width * bits // 32) * 4
-    rows = np.frombuffer(data, np.uint8, stride * height, start).reshape(height, stride)
+    if stride * height > len(data) or not 40 <= size <= start - 14:
+        raise ValueError("broken BMP header")
+    rows = _samples(data, np.uint8, stride * height, start).reshape(height, stride)
     rows = rows if down else rows[::-1]
     if bits == 24:
         return np.ascontiguousarray(rows[:, : width * 3].reshape(height, width, 3)[:, :, ::-1])
     colours = (start - 14 - size) // 4
-    palette = np.frombuffer(data, np.uint8, colours * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
+    palette = _samples(data, np.uint8, colours * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
+    if rows.size and rows[:, :width].max(initial=0) >= colours:
+        raise ValueError("a colour outside the palette")
     if (palette == palette[:, :1]).all():
         return palette[:, 0][rows[:, :width]]
     return palette[rows[:, :width]]
@@ -105,20 +123,33 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas of the source, as float64, by an integral image."""
-    grey = samples.mean(2) if samples.ndim == 3 else samples
-    total = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
-    np.cumsum(np.cumsum(grey, 0, dtype=np.float64), 1, out=total[1:, 1:])
-
-    def along(table: np.ndarray, cells: int) -> np.ndarray:
-        """The table's first axis read at cells + 1 even, fractional borders."""
-        at = np.arange(cells + 1) * (table.shape[0] - 1) / cells
-        low = np.minimum(at.astype(np.int64), table.shape[0] - 2)
-        part = (at - low)[:, None]
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    borders = along(along(total, height).T, width).T
-    area = (grey.shape[0] / height) * (grey.shape[1] / width)
+    """Means over equal areas of the source, as float64, by an integral image.
+
+    Only the image's rows at the areas' borders are kept, and STRIP rows are
+    summed at once, so memory doesn't grow with the picture's height.
+    """
+    tall, wide = samples.shape[:2]
+
+    def borders_of(size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """cells + 1 even, fractional borders: the whole part and the fraction."""
+        at = np.arange(cells + 1) * size / cells
+        low = np.minimum(at.astype(np.int64), size - 1)
+        return low, at - low
+
+    low, part = borders_of(tall, height)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    total, above = np.zeros((len(wanted), wide + 1)), np.zeros(wide)  # the integral image's rows at borders
+    for top in range(0, tall, STRIP):
+        strip = samples[top : top + STRIP]
+        sums = np.cumsum(strip.mean(2) if strip.ndim == 3 else strip, 0, dtype=np.float64) + above
+        inside = (wanted > top) & (wanted <= top + len(strip))
+        total[inside, 1:] = sums[wanted[inside] - top - 1]
+        above = sums[-1]
+    np.cumsum(total[:, 1:], 1, out=total[:, 1:])
+    rows = total[np.searchsorted(wanted, low)] * (1 - part)[:, None] + total[np.searchsorted(wanted, low + 1)] * part[:, None]
+    low, part = borders_of(wide, width)
+    borders = rows[:, low] * (1 - part) + rows[:, low + 1] * part
+    area = (tall / height) * (wide / width)
     return np.diff(np.diff(borders, axis=0), axis=1) / area
 
 
@@ -145,11 +176,16 @@ def payload_of(text: str | None) -> bytes:
 
 
 def store_texts(docs: DataFrame, form: str = "pgm") -> DataFrame:
-    """docs(doc_id, text, ...) -> written table (doc_id, n_bytes, media binary)."""
+    """docs(doc_id, text, ...) -> written table (doc_id, n_bytes, media binary).
+
+    A row for each row; a null text is empty, and an empty one has a row of 64
+    samples 0.  Null and repeated doc_ids pass through, other columns don't;
+    an empty table gives an empty one.
+    """
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             media = [encode(np.frombuffer(payload_of(t), np.uint8).reshape(-1, WIDTH)) for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(utf8(t)) for t in texts], pa.int64()), "media": pa.array(media, pa.binary())})
@@ -171,7 +207,7 @@ def read_media(media: DataFrame) -> DataFrame:
     def features(data: bytes | None) -> tuple:
         try:
             samples = decode(data or b"")
-        except (ValueError, struct.error):
+        except (ValueError, struct.error):  # decode() raises no other errors
             return (None,) * 7
         payload = samples.tobytes()
         return (
@@ -183,7 +219,7 @@ def read_media(media: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in FEATURES.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = list(zip(*map(features, batch.column("media").to_pylist()))) or [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(found, kinds))], names)
 

@@ -16,6 +16,8 @@ one range in which a leaf's budget ends, and only that range is ordered.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ EPOCHS = 1
 SHARE = 0.8
 SEED = 17
 DOMAINS = 4
+_SELF = object()
 
 
 def domain_of(column: str = "source"):
@@ -42,37 +45,39 @@ def allocate(leaves: dict[tuple, int], total: float, weights: dict[tuple, float]
     """Budget of each leaf.
 
     leaves: path -> tokens held.  weights: path of a node -> its weight among
-    its siblings; a node without one weighs 1.  The budgets sum to ``total``,
-    or to all that ``epochs`` passes hold where that is less.
+    its siblings; a node without one weighs 1.  A leaf whose path goes on in
+    other leaves' paths stands beside these, with weight 1.  The budgets sum to
+    ``total``, or to all that ``epochs`` passes hold where that is less.
     """
     weights = weights or {}
-    children: dict[tuple, list[tuple]] = {}
+    inner = {path[:n] for path in leaves for n in range(len(path))}
+    children: dict[tuple, dict[tuple, None]] = {}
     capacity: dict[tuple, float] = {}
-    for path in sorted(leaves):
-        for n in range(len(path) + 1):
-            capacity[path[:n]] = capacity.get(path[:n], 0) + leaves[path] * epochs
-            if n and path[:n] not in children.setdefault(path[: n - 1], []):
-                children[path[: n - 1]].append(path[:n])
+    for path in sorted(leaves, key=lambda p: [(x is None, str(x)) for x in p]):
+        full = (*path, _SELF) if path in inner else path
+        for n in range(len(full) + 1):
+            capacity[full[:n]] = capacity.get(full[:n], 0) + leaves[path] * epochs
+            if n:
+                children.setdefault(full[: n - 1], {})[full[:n]] = None
     out: dict[tuple, float] = {}
 
     def share(node: tuple, budget: float) -> None:
-        below = children.get(node)
+        below = list(children.get(node, ()))
         if not below:
-            out[node] = budget
+            out[node[:-1] if node and node[-1] is _SELF else node] = budget
             return
-        given, open_ = {}, list(below)
+        given, open_ = {}, below
         while open_:
             weight = sum(weights.get(c, 1.0) for c in open_)
             part = {c: budget * weights.get(c, 1.0) / weight if weight > 0 else budget / len(open_) for c in open_}
-            short = [c for c in open_ if capacity[c] <= part[c]]
+            short = {c for c in open_ if capacity[c] <= part[c]}
             if not short:
                 given |= part
                 break
             for c in short:
                 given[c] = capacity[c]
-                budget -= capacity[c]
-                open_.remove(c)
-            budget = max(0.0, budget)
+            budget = max(0.0, budget - sum(capacity[c] for c in open_ if c in short))
+            open_ = [c for c in open_ if c not in short]
         for c in below:
             share(c, given[c])
 
@@ -84,45 +89,50 @@ def allocate(leaves: dict[tuple, int], total: float, weights: dict[tuple, float]
 def mix(docs: DataFrame, weights: dict[tuple, float] | None = None, share: float = SHARE, total: int | None = None, epochs: int = EPOCHS, seed: int = SEED, domain=None) -> DataFrame:
     """docs(doc_id, text, lang, source, ...) -> the chosen rows.
 
-    Columns: those of ``docs``, then mix_domain, mix_tokens and mix_epoch (a
-    row appears once for each epoch that takes it).  ``total`` defaults to
-    ``share`` of all tokens.  Null lang and source are leaves of their own
-    (named ``null``); a null doc_id is ordered by its text; a text without
-    words has no tokens and follows the prefix of its leaf: it stays if it
-    comes before the budget is met.  Rows that repeat a doc_id (or have none and
-    repeat a text) share their place and are taken together.  An empty table gives an empty result.
+    Columns: those of ``docs``, whatever their names, then mix_domain,
+    mix_tokens and mix_epoch (a row appears once for each epoch that takes
+    it); columns of ``docs`` with these three names are left out.  ``total``
+    defaults to ``share`` of all tokens.  ``weights`` are by path: (domain,),
+    (domain, lang) or (domain, lang, source); None stands for a null there,
+    which is a node of its own, apart from the text "null".  A null doc_id is
+    ordered by its text; a text without words has no tokens and follows the
+    prefix of its leaf: it stays if it comes before the budget is met.  Rows
+    that repeat a doc_id (or have none and repeat a text) share their place and
+    are taken together.  An empty table gives an empty result.
 
     The driver sees one row for each leaf: the tree that the weights describe.
     """
     base = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    own = [c for c in docs.columns if c not in ("mix_domain", "mix_tokens", "mix_epoch")]
+    path = F.to_json(F.array(F.col("mix_domain").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")))
+    # the columns of docs travel in a struct, where their names can't meet those made here
     marked = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns], (domain if domain is not None else domain_of()).alias("mix_domain"), tokens_of().alias("mix_tokens"),
-        base.alias("_base"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(f"_{c}") for c in ("lang", "source")],
-    ).withColumn("_leaf", F.concat_ws("\x01", "mix_domain", "_lang", "_source")).drop("_lang", "_source")
-    light = stage(marked.select("_leaf", "_base", "mix_tokens"), "mix-light")
-    held = {tuple(r["_leaf"].split("\x01")): r["n"] for r in light.groupBy("_leaf").agg(F.sum("mix_tokens").alias("n")).collect()}
+        F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), (domain if domain is not None else domain_of()).alias("mix_domain"), tokens_of().alias("mix_tokens"), base.alias("base"), F.col("lang"), F.col("source")
+    ).select("row", "mix_domain", "mix_tokens", "base", path.alias("leaf"))
+    light = stage(marked.select("leaf", "base", "mix_tokens"), "mix-light")
+    names = {tuple(json.loads(r["leaf"])): (r["leaf"], r["n"]) for r in light.groupBy("leaf").agg(F.sum("mix_tokens").alias("n")).collect()}
+    held = {k: n for k, (_, n) in names.items()}
     budgets = allocate(held, sum(held.values()) * share if total is None else total, weights, epochs)
-    if not budgets:
-        return marked.drop("_leaf", "_base").withColumn("mix_epoch", F.lit(0)).limit(0)
     plan = []
-    for path, budget in budgets.items():
-        n = held[path]
+    for k, budget in budgets.items():
+        n = held[k]
         full = min(epochs, int(budget // n)) if n else epochs
-        plan.append(("\x01".join(path), full, max(0.0, budget - full * n) if full < epochs else 0.0))
+        plan.append((names[k][0], full, max(0.0, budget - full * n) if full < epochs else 0.0))
     spark = docs.sparkSession
-    leaf = spark.createDataFrame(plan, "_leaf string, _full int, _rest double")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_full").cast("string"), F.col("_base")).cast("binary"))
-    keyed = light.join(leaf, "_leaf").select("_leaf", "_rest", "mix_tokens", key.alias("_key"))
-    keyed = keyed.withColumn("_range", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"))
-    ranges = keyed.groupBy("_leaf", "_range").agg(F.sum("mix_tokens").alias("n"), F.first("_rest").alias("_rest"))
-    order = Window.partitionBy("_leaf").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    cut = ranges.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where("before < _rest and _rest <= before + n")
-    cut = cut.groupBy("_leaf").agg(F.min(F.struct("_range", "before")).alias("c")).select("_leaf", F.col("c._range").alias("_cut"), F.col("c.before").alias("before"))
+    leaf = spark.createDataFrame(plan, "leaf string, full int, rest double")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.col("base")).cast("binary"))
+    keyed = light.join(leaf, "leaf").select("leaf", "rest", "mix_tokens", key.alias("key"))
+    keyed = keyed.withColumn("range", F.conv(F.substring("key", 1, 4), 16, 10).cast("int"))
+    ranges = keyed.groupBy("leaf", "range").agg(F.sum("mix_tokens").alias("n"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("leaf").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    cut = ranges.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where("before < rest and rest <= before + n")
+    cut = cut.groupBy("leaf").agg(F.min(F.struct("range", "before")).alias("c")).select("leaf", F.col("c.range").alias("cut"), F.col("c.before").alias("before"))
     # rows of one key are one step: all of them have the tokens of smaller keys before them
-    steps = keyed.join(cut, "_leaf").where("_range = _cut").groupBy("_leaf", "_key").agg(F.sum("mix_tokens").alias("n"), F.first("_rest").alias("_rest"), F.first("before").alias("before"))
-    place = Window.partitionBy("_leaf").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    inside = steps.select("_leaf", "_key", "_rest", (F.col("before") + F.coalesce(F.sum("n").over(place), F.lit(0))).alias("at"))
-    last = inside.where("at < _rest").groupBy("_leaf").agg(F.max("_key").alias("_last"))
-    chosen = stage(leaf.join(last, "_leaf", "left").select("_leaf", "_full", F.coalesce("_last", F.lit("")).alias("_last")), "mix-plan")
-    taken = marked.join(chosen, "_leaf").withColumn("_times", F.col("_full") + (key <= F.col("_last")).cast("int")).where("_times > 0")
-    return taken.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_leaf", "_base", "_full", "_last", "_times")
+    steps = keyed.join(cut, "leaf").where("range = cut").groupBy("leaf", "key").agg(F.sum("mix_tokens").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    place = Window.partitionBy("leaf").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = steps.select("leaf", "key", "rest", (F.col("before") + F.coalesce(F.sum("n").over(place), F.lit(0))).alias("at"))
+    last = inside.where("at < rest").groupBy("leaf").agg(F.max("key").alias("last"))
+    chosen = stage(leaf.join(last, "leaf", "left").select("leaf", "full", F.coalesce("last", F.lit("")).alias("last")), "mix-plan")
+    taken = marked.join(chosen, "leaf").withColumn("times", F.col("full") + (key <= F.col("last")).cast("int")).where("times > 0")
+    taken = taken.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in own), "mix_domain", "mix_tokens", "mix_epoch")

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import covertree, html_blocks, langid, licenses, media, mixing, packing, planes, simhash, warc_zip
 
 
+#: Target weights of op7's query: domains by 4:3:2:1; languages and sources are even.
+MIX_WEIGHTS = {(f"domain{i}",): 4.0 - i for i in range(mixing.DOMAINS)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,7 +40,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = mixing.mix(table(spark, sf_dir, "documents"), epochs=2)
+    chosen = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, epochs=2)
     return chosen.select("doc_id", "mix_domain", "lang", "source", "mix_tokens", "mix_epoch")
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_read, open_write, scratch, stage
+from .common import open_read, open_write, scratch, slices, stage
 
 WARC_MEMBER = "archive/data.warc.gz"
 LEVEL = 2
@@ -40,7 +40,7 @@ def digest32(payload: bytes) -> str:
 
 
 def url_key(url: str | None) -> str:
-    """Host labels reversed, then the path: the index's sort key."""
+    """Host labels reversed, then the path, without spaces: the index's sort key."""
     try:
         parts = urlsplit(url or "")
         host = ",".join(reversed((parts.hostname or "").split(".")))
@@ -53,18 +53,27 @@ def _clean(value: str) -> str:
     return "".join(c for c in value if c >= " ")
 
 
-def record_bytes(kind: str, url: str | None, page_id: int | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit holds the HTTP headers only."""
+def record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(map(str, parts)))}>"
+
+
+def record_bytes(kind: str, url: str | None, page_id: int | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
+    """One WARC/1.1 record; a revisit holds the HTTP headers only.
+
+    A response's id comes from its page_id and digest, so that revisits can
+    name it; a revisit's, and that of a page without page_id, from its place.
+    """
+    own = record_id("page", page_id, digest) if kind == "response" and page_id is not None else record_id("place", place)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}",
         f"WARC-Date: {STAMP}", f"WARC-Target-URI: {_clean(url or '')}", f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Page-ID: {'' if page_id is None else page_id}", "Content-Type: application/http;msgtype=response",
     ]
     if kind == "revisit":
         head += [
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"WARC-Refers-To-Page-ID: {refers_to}",
+            f"WARC-Refers-To: {record_id('page', refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}",
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
         ]
     head.append(f"Content-Length: {len(block)}")
@@ -94,9 +103,9 @@ class PackageWriter:
 
     def add(self, kind: str, url: str | None, page_id: int | None, payload: bytes, refers_to: int | None) -> None:
         digest = digest32(payload)
-        data = gzip.compress(record_bytes(kind, url, page_id, payload, digest, refers_to), LEVEL, mtime=0)
+        data = gzip.compress(record_bytes(kind, url, page_id, payload, digest, refers_to, f"{self.uri}:{self.at}"), LEVEL, mtime=0)
         self.member.write(data)
-        self.lines.append(f"{_clean(url_key(url))} {json.dumps({'url': url, 'page_id': page_id, 'type': kind, 'digest': digest, 'offset': self.at, 'length': len(data)})}")
+        self.lines.append(f"{_clean(url_key(url)).replace(' ', '%20')} {json.dumps({'url': url, 'page_id': page_id, 'type': kind, 'digest': digest, 'offset': self.at, 'length': len(data)})}")
         self.at += len(data)
 
     def close(self) -> None:
@@ -180,7 +189,7 @@ class PackageReader:
     def index(self) -> list[dict]:
         at, size = self.locate(INDEX_MEMBER)
         lines = self.file.read_at(size, at).decode("utf-8").split("\n") if size else []
-        return [json.loads(line[line.index(" {") + 1 :]) for line in lines]
+        return [json.loads(line.split(" ", 1)[1]) for line in lines]  # a key has no space
 
     def records(self, entries: list[dict]) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
         """The records of index entries, each by a range read."""
@@ -220,7 +229,7 @@ def write_packages(pages: DataFrame, min_bytes: int = 0, package_bytes: int = PA
             writer.close()
             return pa.RecordBatch.from_pydict({"uri": [writer.uri], "n_records": pa.array([len(writer.lines)], pa.int64())})
 
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
                 if writer is None:
                     writer = PackageWriter(f"{base}/part-{part:06d}-{uuid.uuid4().hex}.wacz")

@@ -79,6 +79,53 @@ def test_open_heads_and_self_closed_elements(page):
     assert [b.text for b in html_blocks.leaves(page)] == ["One two.", "Three."]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p title=don't>One two.</p><p title=won't>Three.</p>", "<!--><p>One two.</p><p>Three.</p>", "<!---><p>One two.<p>Three.", "<!-- a > b <p>no</p> --><p>One two.</p><p>Three.</p>",
+        "<p title=\"a>b\">One two.</p><p data-x='</p>'>Three.</p>", "<p title=\"it's\" class = 'x\"y'>One two.</p><p a=1 b=\"'\">Three.", "<p>One two.</p><p a= b=c/>Three.", "<P CLASS=X>One two.</P><br><!doctype html><p>Three.",
+        "<p>One <b>two</i>.</p></div></section><p>Three.</p></body>", "<p>One&#32;two.<table><td>Three.</table>", "<p>One\n\n two.</p><![CDATA[ x ]]><p>Three.</p>",
+    ],
+)
+def test_broken_markup(page):
+    assert [b.text for b in html_blocks.leaves(page)] == ["One two.", "Three."]
+
+
+def test_deep_nesting_shares_paths():
+    blocks = html_blocks.leaves("<div class=x>a" * 3000)
+    assert len(blocks) == 3000 and blocks[-1].path.size == 6000 and blocks[-1].path.above is blocks[-2].path
+    own = html_blocks.leaves("<section id=main-part><p>a")[0].path
+    parts = ["section", ".main", ".part", "p"]
+    assert sorted(own.buckets()) == sorted({*(zlib.crc32(p.encode()) % html_blocks.PATHS for p in parts), zlib.crc32(b"leaf:.part/p") % html_blocks.PATHS})
+
+
+def test_main_text_of_generated_pages(model):
+    """Whole texts against the generator's marks, on pages that training doesn't see, in whole and broken markup."""
+    right, n = 0, 120
+    for i in range(n):
+        page = html_training.Generator(70_000 + i).page()
+        if i % 2:
+            page = page.replace("</p>", "").replace("</li>", "").replace("</head>", "").replace("</html>", "")
+        want = "\n".join(" ".join(b.text.replace(html_training.MAIN, "").split()) for b in html_blocks.leaves(page) if html_training.MAIN in b.text)
+        clean = page.replace(html_training.MAIN, "").replace(html_training.REST, "")
+        right += html_blocks.main_text([clean], model) == [want]
+    assert right >= 0.9 * n
+
+
+@pytest.mark.parametrize("url", ["http://x.org/a {b", 'http://x.org/{"a": 1} {', "no url at all", "http://[bad", "", "http://x.org/\u2028 ü"])
+def test_odd_urls(tmp_path, url):
+    writer = warc_zip.PackageWriter(str(tmp_path / "x.wacz"))
+    writer.add("response", url, 1, b"one", None)
+    writer.add("response", url, None, b"two", None)
+    writer.add("revisit", url, 2, b"one", 1)
+    writer.close()
+    reader = warc_zip.PackageReader(str(tmp_path / "x.wacz"))
+    found = list(reader.records(sorted(reader.index(), key=lambda x: x["offset"])))
+    assert [x["url"] for x in reader.index()] == [url] * 3 and [b for _, _, b in found] == [b"one", b"two", b""]
+    heads = [h for h, _, _ in found]
+    assert len({h["WARC-Record-ID"] for h in heads}) == 3 and heads[2]["WARC-Refers-To"] == heads[0]["WARC-Record-ID"]
+
+
 def test_archive(spark, pages):
     for table in (spark.read.parquet(f"{SMALL}/pages.parquet"), pages):
         rows = table.collect()
@@ -132,7 +179,7 @@ def test_zip64_directory(tmp_path):
 
 
 def slow_links(vectors, ids, threshold=0.95):
-    ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and np.linalg.norm(v) > 0 for v in vectors]
+    ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in vectors]
     up = list(range(len(ids)))
 
     def find(x):
@@ -144,7 +191,7 @@ def slow_links(vectors, ids, threshold=0.95):
     for i in range(len(ids)):
         for j in range(i):
             if ok[i] and ok[j] and len(vectors[i]) == len(vectors[j]):
-                a, b = np.array(vectors[i], float), np.array(vectors[j], float)
+                a, b = (np.array(x, float) / np.abs(x).max() for x in (vectors[i], vectors[j]))
                 if a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= threshold:
                     links[i] += 1
                     links[j] += 1
@@ -161,6 +208,7 @@ def test_vectors(spark, block):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(3, 8))
     vectors = [(base[i % 3] + rng.normal(size=8) * 0.25).tolist() for i in range(90)] + [None, [], [0.0] * 8, [float("nan")] * 8, [None] * 8, [1.0], [2.0], base[0].tolist(), base[0].tolist()]
+    vectors += [(base[1] * 1e300).tolist(), (base[1] * 1e-310).tolist(), [1e308, 1e308] + [0.0] * 6, [1e-320] * 8]
     ids = [*range(1, len(vectors)), None]
     frame = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<double>")
     got = [tuple(r) for r in covertree.near_vectors(frame, block=block).collect()]
@@ -216,9 +264,27 @@ def test_mixing_is_a_prefix_of_each_leaf(spark, epochs):
     assert sorted(got) == sorted(want)
 
 
+def test_leaves_of_unlike_depth_and_nulls():
+    assert mixing.allocate({("d", "l", "s"): 10, ("d", "l", "s", "x"): 20}, 24) == {("d", "l", "s"): 10, ("d", "l", "s", "x"): 14}
+    assert mixing.allocate({("d", None): 10, ("d", "null"): 10}, 12, {("d", None): 2.0}) == {("d", None): 8, ("d", "null"): 4}
+
+
+def test_mixing_columns_of_clashing_names(spark):
+    rows = [(i, f"t{i} " + "w " * 9, lang, f"s\x01{i % 2}") for i, lang in enumerate((None, "null", "en") * 8)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    clash = plain.selectExpr("*", "1 as mix_tokens", "2 as mix_domain", "3 as mix_epoch", "4 as _leaf", "5 as leaf", "6 as base", "7 as row", "8 as times", "9 as key", "10 as last", "11 as `a.b`")
+    weights = {(f"domain{k}", None): 5.0 for k in range(mixing.DOMAINS)}
+    one, two = (mixing.mix(f, weights, share=0.5) for f in (plain, clash))
+    assert two.columns == ["doc_id", "text", "lang", "source", "_leaf", "leaf", "base", "row", "times", "key", "last", "a.b", "mix_domain", "mix_tokens", "mix_epoch"]
+    got = sorted(r.doc_id for r in two.collect())
+    assert got == sorted(r.doc_id for r in one.collect()) and {r["leaf"] for r in two.collect()} == {5}
+    picked = [sum(rows[i][2] == lang for i in got) for lang in (None, "null", "en")]
+    assert picked[0] > picked[1]
+
+
 def test_mixing_odd_rows(docs, empty):
     got = mixing.mix(docs, share=1.0)
-    assert got.columns[: len(docs.columns)] == docs.columns and {r.doc_id for r in got.collect()} >= {1, 2, 5}
+    assert got.columns == [*docs.columns, "mix_domain", "mix_tokens", "mix_epoch"] and {r.doc_id for r in got.collect()} >= {1, 2, 5}
     assert mixing.mix(empty).count() == 0
 
 
