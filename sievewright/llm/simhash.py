@@ -39,12 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_arrays, held_by_worker, open_read, open_write, put_arrays, release, scratch, slices, stage, utf8
+from .common import discard, get_arrays, held_by_worker, open_read, open_write, put_arrays, release, scratch, slices, stage, utf8
 from .components import Forest, connected_components
 
 RADIUS = 3
 SHINGLE = 3
-BLOCK = 16_384
+BLOCK = 8_192
 TILE = 512
 #: Of :func:`keep_one`: words of a shingle, least similarity, 64-bit words of a fingerprint, and the radius.  A bit of
 #: two sets of that similarity differs with a probability of 3/16 at most (four shingles of five; less for larger sets),
@@ -55,6 +55,7 @@ WIDE = 4
 WIDE_RADIUS = 80
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
+_HIGH = ~np.uint64((1 << 24) - 1)
 _ODD = (np.random.default_rng(42).integers(0, 1 << 63, 16 + WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -97,7 +98,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def shingle_set(text: str | None, size: int = SET_SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a whole text's shingles; none if wordless.
+    """The sorted distinct hashes of a whole text's shingles, 40 bits each; none if wordless.
 
     Words are those of :func:`simhash`; a text of ``size`` words or fewer is
     one shingle.
@@ -112,7 +113,7 @@ def shingle_set(text: str | None, size: int = SET_SHINGLE) -> np.ndarray:
     for i in range(size):
         out = (out ^ hashes[i : i + n]) * _ODD[i % 16]
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return np.unique(out & _HIGH)
 
 
 def wide_print(members: np.ndarray) -> np.ndarray:
@@ -161,7 +162,9 @@ def _open_sets(uri: str):
 @held_by_worker
 @functools.lru_cache(maxsize=64)
 def _read_set(uri: str, at: int, n: int) -> np.ndarray:
-    return np.frombuffer(_open_sets(uri).read_at(8 * n, at), np.uint64)
+    octets = np.zeros((n, 8), np.uint8)
+    octets[:, 3:] = np.frombuffer(_open_sets(uri).read_at(5 * n, at), np.uint8).reshape(n, 5)
+    return octets.view("<u8").ravel()
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -319,9 +322,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return marked.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row struct of the columns of docs, doc_id, place, node, p0.., uri, at, n), written; sets go to files."""
-    base = scratch(docs.sparkSession, "simhash-sets")
+def _with_sets(docs: DataFrame, shingle: int, base: str) -> DataFrame:
+    """(row struct of the columns of docs, doc_id, place, node, p0.., uri, at, n), written; sets go to files in ``base``."""
     places = ["node", *(f"p{k}" for k in range(WIDE)), "uri", "at", "n"]
 
     def run(batches):
@@ -335,7 +337,7 @@ def _with_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 node = node_of(members)
                 if node not in seen:
                     seen[node] = (node, *wide_print(members).view(np.int64).tolist(), uri, end, len(members))
-                    end += out.write(members.tobytes())
+                    end += out.write(members.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes())  # the upper 40 bits
                 found.append(seen[node])
             kinds = [pa.int64()] * (1 + WIDE) + [pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -366,11 +368,14 @@ def keep_one(docs: DataFrame, shingle: int = SET_SHINGLE, similar: tuple[int, in
     Columns pass through unchanged, whatever their names; an empty table gives
     an empty result.
     """
-    rows = _with_sets(docs, shingle)
+    base = scratch(docs.sparkSession, "simhash-sets")
+    rows = _with_sets(docs, shingle, base)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
     places = F.struct("uri", "at", "n", *(f"p{k}" for k in range(WIDE)))
     distinct = stage(rows.groupBy("node").agg(F.min(places).alias("x"), F.min(first).alias("first")), "simhash-sets-distinct")
-    member = connected_components(stage(links(distinct.select("node", "x.*"), WIDE_RADIUS, block, similar), "simhash-set-links"))
+    found = stage(links(distinct.select("node", "x.*"), WIDE_RADIUS, block, similar), "simhash-set-links")
+    discard(docs.sparkSession, base)  # the links are written: nothing reads sets any more
+    member = connected_components(found)
     lead = distinct.select("node", "first").join(member, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     # always the same kind of join: what it moves then grows with the input, not by a step
     kept = stage(lead.select(F.col("first.place").alias("place")), "simhash-kept").hint("merge")
