@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import hmac
+import itertools
 import json
-import math
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,18 +61,30 @@ def reads_alike(threshold: float, containment: float):
     return alike
 
 
+@functools.lru_cache(maxsize=100_000)
+def _slot(gram: str, dimensions: int) -> int:
+    """A trigram's dimension, or -1 minus it for a negative sign."""
+    digest = hashlib.blake2b(gram.encode("utf-8", "replace"), digest_size=8).digest()
+    slot = int.from_bytes(digest[:4], "big") % dimensions
+    return slot if digest[4] & 1 else -1 - slot
+
+
 def hashing_embedder(dimensions: int = 384):
-    """text -> unit vector of signed, hashed character trigram counts."""
+    """text -> unit vector of signed, hashed character trigram counts.
+
+    Fixed values: trigrams of the case-folded text with single spaces; of a
+    trigram's BLAKE2b digest of eight bytes, the first four (big-endian) give
+    the dimension and the last bit of the fifth the sign.
+    """
 
-    def one(text: str | None) -> list[float] | None:
+    def one(text: str | None) -> np.ndarray | None:
         if text is None:
             return None
-        plain, vector = " ".join(text.casefold().split()), [0.0] * dimensions
-        for i in range(max(1, len(plain) - 2)):
-            digest = hashlib.blake2b(plain[i : i + 3].encode(), digest_size=8).digest()
-            vector[int.from_bytes(digest[:4], "big") % dimensions] += 1.0 if digest[4] % 2 else -1.0
-        length = math.sqrt(sum(v * v for v in vector))
-        return [v / length for v in vector] if length else vector
+        plain = " ".join(text.casefold().split())
+        grams = map("".join, zip(plain, plain[1:], plain[2:])) if len(plain) > 2 else [plain]
+        slots = np.array([_slot(g, dimensions) for g in grams])
+        vector = np.bincount(slots[slots >= 0], minlength=dimensions) - np.bincount(-1 - slots[slots < 0], minlength=dimensions)
+        return vector / (np.sqrt((vector * vector).sum()) or 1.0)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(text: pd.Series) -> pd.Series:
@@ -118,16 +132,25 @@ def split_paragraphs(text: pd.Series) -> pd.Series:
 
 
 def chunk_text(text: str, longest: int = 900, shared: int = 120) -> list[str]:
+    """Pieces of ``longest`` characters at most; neighbours share ``shared``.
+
+    A piece ends at the last paragraph break of its second half, if it has
+    one, and the text's last piece at its end.
+    """
     if longest < 200 or not 0 <= shared < longest:
         raise ValueError("chunks: at least 200 characters, and a smaller overlap")
-    text = "\n\n".join(filter(None, (p.strip() for p in text.split("\n\n"))))
-    chunks, at = [], 0
-    while at < len(text):
-        stop = at + longest
-        if stop < len(text):
-            stop = max(stop if (b := text.rfind("\n\n", at + longest // 2, stop)) <= at else b, at + 1)
-        chunks.append(text[at:stop].strip())
-        if stop >= len(text):
-            break
-        at = max(at + 1, stop - shared)
-    return [c for c in chunks if c]
+    paragraphs = [p for p in map(str.strip, text.split("\n\n")) if p]
+    whole = "\n\n".join(paragraphs)
+    breaks = list(itertools.accumulate((len(p) + 2 for p in paragraphs), initial=-2))[1:-1]  # where each paragraph but the last ends
+
+    def spans():
+        start = 0
+        while start + longest < len(whole):
+            fitting = bisect.bisect_right(breaks, start + longest - 2)
+            end = breaks[fitting - 1] if fitting and breaks[fitting - 1] >= start + longest // 2 else start + longest
+            yield start, end
+            start = max(start + 1, end - shared)
+        if start < len(whole):
+            yield start, len(whole)
+
+    return [piece for a, b in spans() if (piece := whole[a:b].strip())]

@@ -47,6 +47,16 @@ def content_hash(title: Column, abstract: Column) -> Column:
     return F.sha2(F.concat(F.lower(title), F.lit("\n"), F.lower(F.coalesce(abstract, F.lit("")))), 256)
 
 
+def fnv1a(text: Column) -> Column:
+    """The unsigned 32-bit FNV-1a hash over a text's UTF-16 code units.
+
+    Fixed values: the hash's offset basis and prime.
+    """
+    octets = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.filter(F.sequence(F.lit(0), (F.length(octets) / 4).cast("int")), lambda i: i > 0), lambda i: F.conv(F.substring(octets, (i - 1) * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: h.bitwiseXOR(u) * F.lit(0x01000193) % F.lit(1 << 32))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

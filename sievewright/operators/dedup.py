@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import reads_alike
-from ..functions.text import comparison_text, trigrams
+from ..functions.text import comparison_text
 
-ROUNDS = 200
 
 
 def first_by(rows: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
@@ -29,14 +28,12 @@ def first_by(rows: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
 def accept_greedily(rows: DataFrame, edges: DataFrame, order: str = "ord") -> DataFrame:
     """Accepted rows.  edges(hi, lo): row hi conflicts with the earlier row lo.
 
-    Rows without an edge are accepted at once.  Raises after ROUNDS rounds
-    rather than cut a chain short.
+    Rows without an edge are accepted at once.  A round settles at least the
+    earliest open rows, so a chain of any length comes to its end.
     """
     edges = edges.where("hi > lo").distinct()
     rejected, open_edges = None, edges.checkpoint()
-    for _ in range(ROUNDS):
-        if open_edges.isEmpty():
-            break
+    while not open_edges.isEmpty():
         waiting = open_edges.select(F.col("hi").alias("id")).distinct()
         # earlier rows with no open edge of their own are accepted: what conflicts with them is out
         free = open_edges.join(waiting, open_edges.lo == waiting.id, "left_anti")
@@ -44,8 +41,6 @@ def accept_greedily(rows: DataFrame, edges: DataFrame, order: str = "ord") -> Da
         rejected = out if rejected is None else rejected.unionByName(out)
         left = open_edges.join(out, open_edges.hi == out.id, "left_anti")
         open_edges = left.join(out, left.lo == out.id, "left_anti").checkpoint()
-    else:
-        raise RuntimeError(f"deduplication did not settle in {ROUNDS} rounds")
     return rows if rejected is None else rows.join(rejected.select(F.col("id").alias(order)), order, "left_anti")
 
 
@@ -58,9 +53,7 @@ def accept_by_keys(rows: DataFrame, keys, order: str = "ord") -> DataFrame:
     """
     bare = rows.select(F.col(order).alias("o"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     undecided, accepted = bare.checkpoint(), None
-    for _ in range(ROUNDS):
-        if undecided.isEmpty():
-            break
+    while not undecided.isEmpty():
         marked = undecided
         for i in range(len(keys)):
             head = undecided.groupBy(f"k{i}").agg(F.min("o").alias(f"m{i}"))
@@ -72,8 +65,6 @@ def accept_by_keys(rows: DataFrame, keys, order: str = "ord") -> DataFrame:
         for i in range(len(keys)):
             undecided = undecided.join(new.select(f"k{i}").where(F.col(f"k{i}").isNotNull()).distinct(), f"k{i}", "left_anti")
         undecided = undecided.select(bare.columns).checkpoint()
-    else:
-        raise RuntimeError(f"deduplication did not settle in {ROUNDS} rounds")
     return rows.limit(0) if accepted is None else rows.join(accepted.select(F.col("o").alias(order)), order, "left_semi").select(rows.columns)
 
 
@@ -86,16 +77,6 @@ def exact_deduplicate(rows: DataFrame, url: str = "canonical_url", content: str
     return accept_by_keys(rows, (url, content), order)
 
 
-def trigram_pairs(rows: DataFrame, text: str = "compared", order: str = "ord", containment: float = 0.45) -> DataFrame:
-    """(hi, lo, shared, containment) of rows whose trigram sets overlap enough."""
-    grams = rows.select(F.col(order).alias("o"), F.explode(trigrams(F.col(text))).alias("g"))
-    size = rows.select(F.col(order).alias("o"), F.size(trigrams(F.col(text))).alias("n"))
-    pairs = grams.alias("a").join(grams.alias("b"), "g").where("a.o > b.o").groupBy(F.col("a.o").alias("hi"), F.col("b.o").alias("lo")).agg(F.count("*").alias("shared"))
-    sized = pairs.join(size.select(F.col("o").alias("hi"), F.col("n").alias("n1")), "hi").join(size.select(F.col("o").alias("lo"), F.col("n").alias("n2")), "lo")
-    share = F.col("shared") / F.greatest(F.lit(1), F.least("n1", "n2"))
-    return sized.where(share >= containment).select("hi", "lo", "shared", share.alias("containment"))
-
-
 def similar_pairs(rows: DataFrame, threshold: float = 0.92, containment: float = 0.45, text: str = "compared", order: str = "ord") -> DataFrame:
     """(hi, lo) of all pairs of distinct texts that read alike, exactly.
 

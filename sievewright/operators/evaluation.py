@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,18 +89,50 @@ def claims(answers: DataFrame, answer: str = "answer", count: str = "citation_co
     })
 
 
-def review_summary(rows: DataFrame) -> DataFrame:
-    """One row over claims with review marks: coverage, validity, faithfulness, gate.
+#: The least shares that a reviewed set of answers passes with.
+REVIEW = {"citation_coverage": 0.95, "citation_validity": 1.0, "citation_faithfulness": 0.9, "answer_correctness": 0.9, "answer_completeness": 0.9}
+
+
+def review_summary(cases: DataFrame, claims: DataFrame) -> DataFrame:
+    """One row over answer cases and their claims: counts, shares and the gate.
 
-    Faithfulness is null until every claim is reviewed (``faithful`` not null).
+    cases(case_id, answerable, generated, pending, answer_correct,
+    answer_complete); the last two are a reviewer's, null while open.
+    claims(case_id, requires_citation, citation_present, citation_valid, cited,
+    valid, supported), ``supported`` being a reviewer's.  Claims count if they
+    need a citation and their case is answerable and has an answer; a claim is
+    cited if its citation is there and valid.  A share is null without a basis
+    or before all of it is reviewed.  The gate is pending until every
+    answerable case has an answer and a whole review, then pass or fail.
     """
-    out = rows.agg(
-        F.count("*").alias("claims"), rounded(ratio(F.count_if(F.col("requires_citation") & F.col("citation_present")), F.count_if("requires_citation"))).alias("citation_coverage"),
-        rounded(ratio(F.count_if("citation_valid"), F.count_if("citation_present"))).alias("citation_validity"), (F.count("faithful") == F.count("*")).alias("review_complete"),
-        F.when(F.count("faithful") == F.count("*"), rounded(F.avg(F.col("faithful").cast("double")))).alias("faithfulness"),
+    case = cases.where("answerable").agg(
+        F.count("*").alias("answerable_cases"), F.count_if("generated").alias("generated_cases"), F.count_if("pending").alias("pending_cases"),
+        F.count_if(F.col("generated") & F.col("answer_correct").isNotNull() & F.col("answer_complete").isNotNull()).alias("_seen"),
+        F.count_if(F.col("generated") & F.col("answer_correct")).alias("_correct"), F.count_if(F.col("generated") & F.col("answer_complete")).alias("_complete"),
     )
-    ok = (F.col("citation_coverage") >= 0.95) & (F.col("citation_validity") >= 1.0) & (F.col("faithfulness") >= 0.9)
-    return out.withColumn("gate", F.when(~F.col("review_complete"), "pending").when(ok, "pass").otherwise("fail"))
+    counted = claims.where("requires_citation").join(cases.where("answerable and generated").select("case_id"), "case_id", "left_semi")
+    claim = counted.agg(
+        F.count("*").alias("claims"), F.count_if(F.col("citation_present") & F.col("citation_valid")).alias("cited_claims"), F.coalesce(F.sum(F.size("cited")), F.lit(0)).alias("citations"),
+        F.coalesce(F.sum(F.size("valid")), F.lit(0)).alias("valid_citations"), F.count("supported").alias("_marked"), F.count_if("supported").alias("_supported"),
+    )
+    both = case.crossJoin(claim)  # one row by one row
+
+    def share(part: str, whole: str, ready: Column = F.lit(True)) -> Column:
+        return F.when((F.col(whole) > 0) & ready, rounded(F.col(part) / F.col(whole)))
+
+    seen, marked = F.col("_seen") == F.col("generated_cases"), F.col("_marked") == F.col("claims")
+    both = both.withColumns({
+        "citation_coverage": share("cited_claims", "claims"), "citation_validity": share("valid_citations", "citations"), "citation_faithfulness": share("_supported", "claims", marked),
+        "answer_correctness": share("_correct", "generated_cases", seen), "answer_completeness": share("_complete", "generated_cases", seen),
+        "review_complete": (F.col("generated_cases") > 0) & seen & marked,
+    })
+    whole = F.col("review_complete") & (F.col("pending_cases") == 0) & (F.col("generated_cases") == F.col("answerable_cases"))
+    passed = F.coalesce(_all(F.col(c) >= least for c, least in REVIEW.items()), F.lit(False))
+    return both.withColumn("gate", F.when(~whole, "pending").when(passed, "pass").otherwise("fail")).drop("_seen", "_correct", "_complete", "_marked", "_supported")
+
+
+def _all(conditions) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def terminology(articles: DataFrame, terms: DataFrame, original: str, translated: str) -> DataFrame:
@@ -106,7 +140,7 @@ def terminology(articles: DataFrame, terms: DataFrame, original: str, translated
 
     terms(source, preferred, aliases) is the dictionary, a few rows.
     """
-    pairs = articles.select(F.lower(F.col(original)).alias("o"), F.lower(F.col(translated)).alias("t")).join(F.broadcast(terms), F.contains("o", F.lower("source")))
+    pairs = articles.select(F.lower(F.col(original)).alias("o"), F.lower(F.col(translated)).alias("t")).join(terms, F.contains("o", F.lower("source")))
     forms = F.concat(F.array("source", "preferred"), F.col("aliases"))
     good = F.exists(forms, lambda f: F.contains(F.col("t"), F.lower(f)))
     return pairs.agg(F.count("*").alias("checked"), F.count_if(good).alias("matched")).withColumn("score", F.when(F.col("checked") == 0, F.lit(1.0)).otherwise(rounded(F.col("matched") / F.col("checked"))))

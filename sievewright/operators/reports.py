@@ -15,14 +15,23 @@ from .selection import within
 def story_clusters(articles: DataFrame, least_shared: int = 2, least_overlap: float = 0.45, n: int = 20) -> DataFrame:
     """Pairs of articles of different sources whose titles share enough terms.
 
-    Terms meet by an equi-join; the n strongest pairs are numbered.
+    The smaller title of a pair (n terms) shares s = max(least_shared, the
+    overlap's part of n) terms, so one of its n - s + 1 rarest is among the
+    other's, of which the least_shared - 1 most frequent can be left out too.
+    Only those meet by an equi-join; a term that many titles have is seldom
+    among them.  Whole term lists decide.  The n first pairs are numbered.
     """
-    terms = articles.select("id", "source_id", "ord", title_terms(F.col("title")).alias("t"))
-    rows = terms.select("id", "source_id", "ord", F.size("t").alias("n"), F.explode("t").alias("term"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, "term").where("a.ord < b.ord and a.source_id <> b.source_id").groupBy(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).agg(
-        F.count("*").alias("shared"), F.first("a.n").alias("n1"), F.first("b.n").alias("n2"), F.slice(F.sort_array(F.collect_set("term")), 1, 6).alias("terms"), F.min("a.ord").alias("o1"), F.min("b.ord").alias("o2"),
-    )
+    terms = articles.select("id", "source_id", "ord", title_terms(F.col("title")).alias("t")).where(F.size("t") >= least_shared)
+    each = terms.select("ord", F.explode("t").alias("term"))
+    ranked = each.join(each.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("t"))
+    rows = ranked.join(terms.select("id", "source_id", "ord"), "ord").withColumn("n", F.size("t"))
+    need = F.greatest(F.lit(least_shared), F.ceil(F.col("n") * (least_overlap - 0.0001))).cast("int")  # shares are rounded to four places
+    few = rows.select("ord", "source_id", "n", F.explode(F.slice("t", F.lit(1), F.col("n") - need + 1)).alias("term"))
+    most = rows.select("ord", "source_id", "n", F.explode(F.slice("t", F.lit(1), F.col("n") - (least_shared - 1))).alias("term"))
+    met = few.alias("a").join(most.alias("b"), "term").where("a.n <= b.n and a.ord <> b.ord and a.source_id <> b.source_id").select(F.least("a.ord", "b.ord").alias("o1"), F.greatest("a.ord", "b.ord").alias("o2")).distinct()
+    side = lambda k: rows.select(F.col("ord").alias(f"o{k}"), F.col("id").alias("left_id" if k == 1 else "right_id"), F.col("t").alias(f"t{k}"), F.col("n").alias(f"n{k}"))
+    both = F.array_intersect("t1", "t2")
+    pairs = met.join(side(1), "o1").join(side(2), "o2").select("o1", "o2", "left_id", "right_id", "n1", "n2", F.size(both).cast("long").alias("shared"), F.slice(F.array_sort(both), 1, 6).alias("terms"))
     share = rounded(F.col("shared") / F.least("n1", "n2"))
     kept = pairs.where(F.col("shared") >= least_shared).withColumn("overlap", share).where(F.col("overlap") >= least_overlap)
     top = kept.orderBy("o1", "o2").limit(n)

@@ -49,7 +49,7 @@ class Bm25:
     """Posting, frequency and length tables of a corpus (chunk_id, text)."""
 
     def __init__(self, corpus: DataFrame, chunk: str = "chunk_id", text: str = "text"):
-        tokens = corpus.select(F.col(chunk).alias("chunk_id"), lexical_tokens(F.col(text)).alias("t"))
+        self.tokens = tokens = corpus.select(F.col(chunk).alias("chunk_id"), lexical_tokens(F.col(text)).alias("t"))
         self.lengths = tokens.select("chunk_id", F.size("t").cast("long").alias("length"))
         self.postings = tokens.select("chunk_id", F.explode("t").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("f"))
         self.frequency = self.postings.groupBy("token").agg(F.count("*").alias("df"))
@@ -58,10 +58,15 @@ class Bm25:
     def scores(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """(query_id, chunk_id, score) of all chunks that share a token with a query.
 
-        queries(query_id, text).  Repeated query tokens count once.
+        queries(query_id, text).  Repeated query tokens count once.  Only the
+        queries' tokens are counted, with their text's length beside them, so
+        neither the other tokens nor a table of lengths is shuffled.
         """
         asked = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("token"))
-        hits = asked.join(self.frequency, "token").join(self.postings, "token").join(self.lengths, "chunk_id").crossJoin(F.broadcast(self.shape))
+        each = self.tokens.select("chunk_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("token"))
+        postings = each.join(asked.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "token", "length").agg(F.count("*").alias("f"))
+        frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
+        hits = asked.join(frequency, "token").join(postings, "token").crossJoin(F.broadcast(self.shape))  # one row
         idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         tf = F.col("f") * F.lit(k1 + 1) / (F.col("f") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("mean")))
         return hits.groupBy("query_id", "chunk_id").agg(F.sum(idf * tf).alias("score"))
@@ -121,27 +126,29 @@ def retrieve(mode: str, queries: DataFrame, index: Bm25 | None = None, vectors:
     raise ValueError(f"unknown retrieval mode: {mode}")
 
 
-def fuse_rounds(rows: DataFrame) -> DataFrame:
-    """Rank the rows of up to a few rounds: each round's leader first, then by score.
+def fuse_rounds(rows: DataFrame, k: int = 10, leaders: bool = True) -> DataFrame:
+    """The k best of a few rounds' rows: the rounds' leaders first, by score, then the others by score.
 
-    rows(query_id, round, chunk_id, article_id, score).  A round's leader is its
-    best chunk, of an article that no earlier leader has if there is one.  The
-    best score of a chunk counts, the earlier round on ties.
+    rows(query_id, round, chunk_id, article_id, score, ...).  A round's leader
+    is its best chunk of an article that leads no earlier round, or else its
+    best chunk, with its score in that round; without ``leaders`` there are
+    none.  Of the others a chunk's best score counts, the earlier round on
+    ties.  Adds rank and leader; ids decide ties.
     """
+    by_score = ["score", "chunk_id"]
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders, used = [], set()
+        pdf = pdf.sort_values(["round", *by_score], ascending=[True, False, True]).reset_index(drop=True)
+        led: dict[int, object] = {}
         for _, part in pdf.groupby("round", sort=True):
-            part = part.sort_values(["score", "chunk_id"], ascending=[False, True])
-            fresh = part[~part["article_id"].isin(used) & ~part["chunk_id"].isin(leaders)]
-            pick = (fresh if len(fresh) else part).iloc[0]
-            if pick["chunk_id"] not in leaders:
-                leaders.append(pick["chunk_id"])
-            used.add(pick["article_id"])
-        best = pdf.sort_values(["score", "round"], ascending=[False, True]).drop_duplicates("chunk_id")
-        best = best.assign(_l=[leaders.index(c) if c in leaders else len(leaders) for c in best["chunk_id"]])
-        best = best.sort_values(["_l", "score", "chunk_id"], ascending=[True, False, True]).reset_index(drop=True)
-        return best.assign(rank=range(1, len(best) + 1), leader=best["_l"] < len(leaders)).drop(columns="_l")
+            if leaders:
+                new = part.index[~part["article_id"].isin(list(led.values()))]
+                first = new[0] if len(new) else part.index[0]
+                led[first] = part.at[first, "article_id"]
+        front = pdf.loc[list(led)].sort_values(by_score, ascending=[False, True])
+        rest = pdf[~pdf["chunk_id"].isin(front["chunk_id"])].sort_values([*by_score, "round"], ascending=[False, True, True]).drop_duplicates("chunk_id")
+        both = pd.concat([front.assign(leader=True), rest.assign(leader=False)]).head(k)
+        return both.assign(rank=range(1, len(both) + 1))[[*pdf.columns, "rank", "leader"]]
 
     return rows.groupBy("query_id").applyInPandas(rank, types.StructType([*rows.schema.fields, types.StructField("rank", types.LongType()), types.StructField("leader", types.BooleanType())]))
 
@@ -167,9 +174,21 @@ def pack_context(rows: DataFrame, budget: int = 8000, per_article: int = 2, sepa
     return folded.select("query_id", F.col("f.ids").alias("chunk_ids"), F.col("f.used").alias("used"))
 
 
-def context_block(rank: Column, title: Column, score: Column, text: Column) -> Column:
-    """A numbered header line and the chunk's text."""
-    return F.concat(F.format_string("[%d] %s (%.4f)\n", rank.cast("long"), title, score), text)
+def context_block(chunk_id: Column, article_id: Column, score: Column, text: Column) -> Column:
+    """A chunk as a prompt shows it: a header line with its ids and score, then its text."""
+    return F.concat(F.format_string("[chunkId=%s;articleId=%s;score=%.4f]\n", chunk_id.cast("string"), article_id.cast("string"), score), text)
+
+
+def assemble_context(ranked: DataFrame, budget: int = 8000, per_article: int = 2) -> DataFrame:
+    """(query_id, chunk_ids, used, context): blocks in rank order that fit, two line feeds between them.
+
+    ranked(query_id, rank, chunk_id, article_id, score, text); headers count.
+    """
+    blocks = ranked.withColumn("block", context_block(F.col("chunk_id"), F.col("article_id"), F.col("score"), F.col("text")))
+    packed = pack_context(blocks.withColumn("size", F.length("block")), budget, per_article, 2)
+    placed = packed.select("query_id", F.posexplode("chunk_ids").alias("place", "chunk_id")).join(blocks.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "block"), ["query_id", "chunk_id"])
+    texts = placed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
+    return packed.join(texts, "query_id", "left").select("query_id", "chunk_ids", "used", F.coalesce("context", F.lit("")).alias("context"))
 
 
 def _any(text: Column, words) -> Column:

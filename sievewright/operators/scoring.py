@@ -209,6 +209,32 @@ def significance_candidate() -> Column:
     return (b("event_significance") >= 0.7) & (b("evidence_maturity") >= floor) & (b("freshness") > 0) & (F.length(F.trim(F.coalesce("abstract", F.lit("")))) >= 120) & ~_weak_relation(b) & ~academic
 
 
+#: Floors of the two translation candidates.
+TRANSLATION_DAYS = 3
+TRUSTED_TYPES = ("official", "research_institute", "professional_media")
+
+
+def trusted_fresh_candidate(anchor: Column) -> Column:
+    """A row of three days at most, of a trusted source type, that readers can use though it isn't in Chinese."""
+    b, at = (lambda k: F.col(f"breakdown.{k}")), F.coalesce("published_at", "collected_at")
+    relevant = (b("target_relevance") >= 0.5) & (F.greatest(b("technical_advancement"), b("engineering_applicability"), b("product_industry_impact")) >= 0.7)
+    useful = (b("engineering_applicability") >= 0.65) & (b("product_industry_impact") >= 0.55) & (b("evidence_maturity") >= 0.6)
+    fresh = at >= anchor - F.expr(f"INTERVAL {TRANSLATION_DAYS} DAYS")
+    return F.coalesce(fresh & F.col("source_type").isin(*TRUSTED_TYPES) & (F.coalesce("content_score", F.lit(0.0)) >= 0.35) & (relevant | useful), F.lit(False))
+
+
+def priority_topic_candidate(anchor: Column, evidence: Column, focus) -> Column:
+    """A row of three days at most, of a focus topic and a trusted or qualified academic source, with 50 characters of evidence."""
+    b, at = (lambda k: F.col(f"breakdown.{k}")), F.coalesce("published_at", "collected_at")
+    value = F.coalesce("content_score", F.lit(0.0))
+    academic = (F.col("source_type") == "academic") & (F.col("evidence_tier") == "primary") & (value >= 0.35) & (b("target_relevance") >= 0.6) & (F.greatest(b("technical_advancement"), b("engineering_applicability")) >= 0.65)
+    fresh = at >= anchor - F.expr(f"INTERVAL {TRANSLATION_DAYS} DAYS")
+    on_topic = F.arrays_overlap(F.map_keys("topic_scores"), F.array(*map(F.lit, focus)))
+    return F.coalesce(
+        fresh & (F.col("source_type").isin("official", "research_institute") | academic) & on_topic & (value >= 0.22) & (b("target_relevance") >= 0.6) & (F.length(F.trim(evidence)) >= 50), F.lit(False)
+    )
+
+
 def waiting_for_chinese() -> Column:
     return F.col("key_signal.gate_failures") == F.array(F.lit(T.NOT_READY))
 

@@ -106,10 +106,6 @@ def dedup_exact_hash(spark, sf):
     return dedup.first_by(hashed(articles(spark, sf)), "content_hash").select("content_hash", "ord", "id")
 
 
-@query()
-def dedup_exact_two_key(spark, sf):
-    return dedup.exact_deduplicate(hashed(articles(spark, sf))).select("ord", "id", "canonical_url", "content_hash")
-
 
 @query()
 def dedup_fuzzy(spark, sf):
@@ -346,17 +342,6 @@ def dense_topk(spark, sf):
     return top.select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
-@query(BM25 + """, ln AS (SELECT b.item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(length(b.text) - n_chars), doc_id) AS rank FROM benchmark b, documents QUALIFY rank <= 10),
-  u AS (SELECT query_id, chunk_id, rank FROM bm UNION ALL SELECT * FROM ln), f AS (SELECT query_id, chunk_id, floor(sum(1.0::DOUBLE / (60 + rank)) * 100000000.0::DOUBLE + 0.5::DOUBLE) / 100000000.0::DOUBLE AS score FROM u GROUP BY 1, 2)
-  SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
-def hybrid_rrf(spark, sf):
-    """BM25 fused with a ranking by closeness of length."""
-    asked = questions(spark, sf)
-    lexical = retrieval.Bm25(corpus(spark, sf)).top(asked)
-    sized = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars").crossJoin(asked.select("query_id", F.length("text").alias("n")))
-    by_length = retrieval.top_k(sized.select("query_id", "chunk_id", (-F.abs(F.col("n") - F.col("n_chars"))).alias("score")), 10)
-    return retrieval.fuse_ranks(lexical, by_length).select("query_id", "chunk_id", "score", "rank")
-
 
 METRICS = """ g AS (SELECT q.vec_id AS query_id, q.label AS kind, v.vec_id AS expected_id FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0),
   e AS (SELECT g.query_id, kind, count(*) AS n, count_if(rank <= 5) AS h5, count_if(rank <= 10) AS h10, min(rank) AS best, coalesce(sum(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / log2(rank + 1.0::DOUBLE) END), 0) AS dcg
@@ -410,11 +395,6 @@ def chunk_paragraph(spark, sf):
     return retrieval.chunk_paragraphs(docs).select("article_id", "position", "id", "token_estimate")
 
 
-@query()
-def context_pack(spark, sf):
-    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("role").alias("article_id"), F.length("text").alias("size"))
-    return retrieval.pack_context(turns, budget=1200).select("query_id", F.array_join("chunk_ids", ",").alias("chunk_ids"), "used")
-
 
 @query()
 def diversify_feed(spark, sf):
@@ -434,18 +414,6 @@ def claims_citations(spark, sf):
     return evaluation.claims(answers).select("conv_id", "turn", "claim", "requires_citation", "citation_present", "citation_valid")
 
 
-@query()
-def answer_review(spark, sf):
-    answers = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" [1].")).alias("answer"), F.lit(1).alias("citation_count"))
-    return evaluation.review_summary(evaluation.claims(answers).withColumn("faithful", F.lit(True)))
-
-
-@query("""SELECT item_id AS query_id, CASE WHEN regexp_matches(lower(text), 'when|何时|最新|时间线') THEN 'timeline' ELSE 'single_fact' END AS route, regexp_matches(lower(text), 'price|pricing|cost|价格|订阅') AS price FROM benchmark
-  WHERE NOT regexp_matches(lower(text), 'weather|sports score|legal advice|guarantee.*stock|和|与|分别|对比|比较|共同')""")
-def plan_route(spark, sf):
-    plans = retrieval.plan_questions(questions(spark, sf), 2024).where("route in ('timeline', 'single_fact')")
-    return plans.select("query_id", "route", F.array_contains("requirements", "price").alias("price"))
-
 
 @query()
 def assess_evidence(spark, sf):
@@ -481,17 +449,6 @@ def capability_state(spark, sf):
     return spent.select("day", reports.capability(F.col("m"), 15_000_000, 20_000_000).alias("state"))
 
 
-@query()
-def budget_admission(spark, sf):
-    rows = requests(spark, sf).withColumn("month", numbers.day_key(F.col("created_at")))
-    return ledger.budget_admission(rows, 10_000_000).select("request_id", "month", "admitted", "committed")
-
-
-@query()
-def budget_rollover(spark, sf):
-    days = table(spark, sf, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("ledger"), F.to_date("ts").alias("day")).agg(F.count("*").alias("calls")).withColumn("run", F.lit(1).cast("long"))
-    return ledger.rollover(days, 5, 10, 10, 5)
-
 
 @query("""WITH m AS (SELECT event_type, ts AS moved, 1 AS d FROM events UNION ALL SELECT event_type, ts + INTERVAL 600 SECOND, -1 FROM events), n AS (SELECT event_type, moved, sum(d) AS d FROM m GROUP BY 1, 2),
   o AS (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY moved) AS n_open FROM n) SELECT event_type, CAST(max(n_open) AS BIGINT) AS peak FROM o GROUP BY 1""")
@@ -500,11 +457,6 @@ def lease_concurrency(spark, sf):
     return ledger.lease_concurrency(leases, "ts", "ended", "event_type")
 
 
-@query()
-def lease_admission(spark, sf):
-    rows = table(spark, sf, "events").select("event_type", F.col("ts").alias("at"), F.col("event_id").alias("ord"))
-    return ledger.lease_admission(rows, "event_type", 3, 1800).select("ord", "granted")
-
 
 @query("""WITH s AS (SELECT user_id AS request_id, min(ts) AS reserved_at, arg_min(CAST(round(value) AS BIGINT), ts) AS e FROM events WHERE event_type = 'view' GROUP BY 1),
   f AS (SELECT user_id AS request_id, min(struct_pack(at := ts, action := CASE event_type WHEN 'purchase' THEN 'settle' WHEN 'signup' THEN 'release' ELSE 'deny' END, micros := CAST(round(value) AS BIGINT))) AS x FROM events WHERE event_type IN ('purchase', 'signup', 'error') GROUP BY 1)
@@ -654,21 +606,12 @@ def feed_key_signal(spark, sf):
     return selection.key_signal_row(scored_articles(spark, sf), F.expr(ANCHOR)).select("id", "key_signal.score")
 
 
-@query("""SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders""")
-def set_difference(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "orders").select("o_custkey"))
-
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersection(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
 
 
-@query("SELECT user_id, count(*) AS calls, count_if(event_type = 'error') AS failed, count_if(event_type = 'purchase') AS completed, CAST(sum(round(value)) AS BIGINT) AS tokens FROM events GROUP BY 1")
-def enrichment_usage(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("event_type") == "purchase").alias("completed"), F.sum(F.round("value").cast("long")).alias("tokens"))
-
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
 def limit_per_customer(spark, sf):
@@ -676,11 +619,6 @@ def limit_per_customer(spark, sf):
     return selection.limit_per(o, "o_custkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
 
 
-@query("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
-def status_counts(spark, sf):
-    li = table(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.expr("TIMESTAMP '1998-09-02 00:00:00'"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
-
 
 @query(f""", t AS (SELECT id, {LEX.replace('lower(text)', "lower(title)")} AS t FROM a) SELECT id, array_to_string(t, ' ') AS tokens, CAST(len(t) AS BIGINT) AS n FROM t""")
 def lexical_tokens(spark, sf):

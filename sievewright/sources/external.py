@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ipaddress
+import socket
 from collections.abc import Callable, Iterator
 from typing import Protocol
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,11 +57,32 @@ def embed(rows: DataFrame, text: str, out: str = "vector", embedder=None) -> Dat
     return rows.withColumn(out, (embedder or hashing_embedder())(F.col(text)))
 
 
+def public_address(url: str) -> bool:
+    """https, and no local host, nor a host that is or resolves to an address that isn't global."""
+    try:
+        parts = urlsplit(url)
+        host = parts.hostname
+    except ValueError:
+        return False
+    if parts.scheme != "https" or not host or host.rstrip(".").lower() in ("localhost", "localhost.localdomain") or host.rstrip(".").lower().endswith(".localhost"):
+        return False
+    try:
+        return ipaddress.ip_address(host).is_global
+    except ValueError:
+        pass
+    try:
+        found = {x[4][0] for x in socket.getaddrinfo(host, parts.port or 443)}
+    except (OSError, ValueError):
+        return True  # the request itself will fail, and say why
+    return all(ipaddress.ip_address(a.partition("%")[0]).is_global for a in found)
+
+
 class FetchSource(DataSource):
     """One row a URL: status, body and error as data; one partition a URL.
 
     Options: ``urls`` (separated by spaces), ``timeout``, ``limit`` (bytes).
-    Only https URLs are fetched; a failure is a row, never an exception.
+    Only public https addresses are fetched, redirects included; a failure is
+    a row, never an exception.
     """
 
     @classmethod
@@ -81,16 +105,24 @@ class _FetchReader(DataSourceReader):
 
     def read(self, partition):
         from urllib.error import HTTPError
-        from urllib.request import urlopen
+        from urllib.request import HTTPRedirectHandler, build_opener
+
+        class Checked(HTTPRedirectHandler):
+            """Follows a redirect only to a public https address."""
+
+            def redirect_request(self, req, fp, code, msg, headers, newurl):
+                if not public_address(newurl):
+                    raise ValueError("redirected to an address that is not public")
+                return super().redirect_request(req, fp, code, msg, headers, newurl)
 
         url = partition.value
         if not url:
             return
-        if not url.startswith("https://"):
-            yield url, None, None, "https only"
+        if not public_address(url):
+            yield url, None, None, "not a public https address"
             return
         try:
-            with urlopen(url, timeout=self.timeout) as answer:
+            with build_opener(Checked()).open(url, timeout=self.timeout) as answer:
                 body = answer.read(self.limit + 1)
                 yield (url, answer.status, None, "too large") if len(body) > self.limit else (url, answer.status, body, None)
         except HTTPError as e:

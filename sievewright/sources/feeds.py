@@ -109,7 +109,7 @@ def read_source(spark: SparkSession, path: str, source: dict) -> DataFrame:
     if source.get("max_items"):
         rows = rows.orderBy("ord").limit(source["max_items"])
     return rows.select(
-        F.lit(source["id"]).alias("source_id"), "url", "title", F.substring("summary", 1, source.get("max_summary_chars", 2000)).alias("summary"), "authors", "published_at",
+        F.lit(source["id"]).alias("source_id"), "url", "title", F.substring("summary", 1, source.get("max_summary_chars", 2500)).alias("summary"), "authors", "published_at",
         F.lit(source.get("language", "en")).alias("language"), "content_html", F.lit(source.get("source_type", "official")).alias("source_type"), F.lit(source.get("evidence_tier", "primary")).alias("evidence_tier"), "ord",
     )
 

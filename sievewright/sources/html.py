@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Tags of headings.
 HEADINGS = {"h1", "h2", "h3", "h4"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ITEMS = "url string, title string, summary string, published_at timestamp, ord int"
@@ -28,18 +29,31 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.parts = tag, attrs, []
 
+    def events(self, enter: Callable[[Node], bool] = lambda node: True) -> Iterator[tuple[str, Node | str]]:
+        """("text", text), ("in", element) and ("out", element) in page order, below this element.
+
+        Elements that ``enter`` refuses have no content and no "out".  A stack
+        is walked, so any depth will do.
+        """
+        left: list[tuple[str, Node | str]] = [("", p) for p in reversed(self.parts)]
+        while left:
+            kind, part = left.pop()
+            if kind:
+                yield kind, part
+            elif isinstance(part, str):
+                yield "text", part
+            else:
+                yield "in", part
+                if enter(part):
+                    left.append(("out", part))
+                    left += [("", p) for p in reversed(part.parts)]
+
     def walk(self) -> Iterator[Node]:
         yield self
-        for p in self.parts:
-            if isinstance(p, Node):
-                yield from p.walk()
+        yield from (p for kind, p in self.events() if kind == "in")
 
     def texts(self) -> Iterator[str]:
-        for p in self.parts:
-            if isinstance(p, Node):
-                yield from p.texts()
-            else:
-                yield p
+        return (p for kind, p in self.events() if kind == "text")
 
     def text(self) -> str:
         return " ".join("".join(self.texts()).split())
@@ -57,7 +71,7 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].parts.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID:
             self.open.append(node)
 
     def handle_endtag(self, tag):
@@ -117,15 +131,10 @@ def cards(html: str, base: str, include=(), exclude=()) -> list[tuple]:
     """One row for each outermost ``article`` or ``div.card-post``."""
     rows, seen = [], set()
 
-    def outermost(node: Node) -> Iterator[Node]:
-        for p in node.parts:
-            if isinstance(p, Node):
-                if p.tag == "article" or (p.tag == "div" and "card-post" in p.attrs.get("class", "").split()):
-                    yield p
-                else:
-                    yield from outermost(p)
+    def is_card(node: Node) -> bool:
+        return node.tag == "article" or (node.tag == "div" and "card-post" in node.attrs.get("class", "").split())
 
-    for card in outermost(tree(html)):
+    for card in (p for kind, p in tree(html).events(lambda node: not is_card(node)) if kind == "in" and is_card(p)):
         inner = [n for n in card.walk() if n is not card]
         links = [(urljoin(base, n.attrs["href"]), n.attrs.get("aria-label", "")) for n in inner if n.tag == "a" and n.attrs.get("href")]
         headings = [n.text() for n in inner if n.tag in HEADINGS or "card-title" in n.attrs.get("class", "").split()]
@@ -141,38 +150,31 @@ def cards(html: str, base: str, include=(), exclude=()) -> list[tuple]:
     return rows
 
 
-def sections(html: str, base: str, heading_tags=("h3",)) -> list[tuple]:
+def sections(html: str, base: str, heading_tags=("h3",), longest: int | None = 4000) -> list[tuple]:
     """One row for each heading with an id: its fragment URL, title and body.
 
     A second-level heading ``Date: yyyy-mm-dd`` dates the rows after it.  A
-    heading or a rule ends the body, which has 4000 characters at most.
+    heading or a rule ends the body, which is cut to ``longest`` characters;
+    None keeps it whole.
     """
     rows: list[list] = []
-    state = {"date": None, "row": None}
-
-    def visit(node: Node) -> None:
-        for p in node.parts:
-            if not isinstance(p, Node):
-                if state["row"] is not None:
-                    state["row"][2].append(p)
-                continue
-            if p.tag == "hr":
-                state["row"] = None
-            elif p.tag == "h2" or p.tag in heading_tags:
-                state["row"] = None
-                title = p.text().replace("​", "")
-                dated = re.fullmatch(r"Date:\s*(\d{4}-\d{2}-\d{2})", title, re.I)
-                if p.tag == "h2" and dated:
-                    state["date"] = parse_date(dated[1])
-                elif p.tag in heading_tags and p.attrs.get("id") and len(title) >= 4:
-                    state["row"] = [urljoin(base, "#" + p.attrs["id"]), title, [], state["date"]]
-                    rows.append(state["row"])
-            else:
-                visit(p)
-
-    visit(tree(html))
+    date, row = None, None
+    ends = {"h2", *heading_tags}
+    for kind, p in tree(html).events(lambda node: node.tag not in ends):
+        if kind == "text" and row is not None:
+            row[2].append(p)
+        elif kind == "in" and p.tag == "hr":
+            row = None
+        elif kind == "in" and p.tag in ends:
+            row, title = None, p.text().replace("\u200b", "")
+            dated = re.fullmatch(r"Date:\s*(\d{4}-\d{2}-\d{2})", title, re.I)
+            if p.tag == "h2" and dated:
+                date = parse_date(dated[1])
+            elif p.tag in heading_tags and p.attrs.get("id") and len(title) >= 4:
+                row = [urljoin(base, "#" + p.attrs["id"]), title, [], date]
+                rows.append(row)
     first = {r[0]: r for r in reversed(rows)}
-    return [(u, t, " ".join("".join(body).split())[:4000] or None, when) for u, t, body, when in first.values()][::-1]
+    return [(u, t, " ".join("".join(body).split())[:longest] or None, when) for u, t, body, when in first.values()][::-1]
 
 
 #: Elements without readable text, and elements that start a line.
@@ -180,20 +182,10 @@ UNREAD = {"script", "style", "noscript", "svg", "nav", "header", "footer", "form
 LINES = {"article", "blockquote", "br", "div", "h1", "h2", "h3", "li", "p", "section"}
 
 
-def readable_text(html: str, longest: int = 12_000) -> str:
-    """Lines of readable text, white space made single."""
-
-    def parts(node: Node) -> Iterator[str]:
-        for p in node.parts:
-            if not isinstance(p, Node):
-                yield p
-            elif p.tag not in UNREAD:
-                line = p.tag in LINES
-                yield "\n" if line else ""
-                yield from parts(p)
-                yield "\n" if line and p.tag not in VOID else ""
-
-    lines = (" ".join(x.split()) for x in "".join(parts(tree(html))).splitlines())
+def readable_text(html: str, longest: int | None = 12_000) -> str:
+    """Lines of readable text, white space made single, cut to ``longest`` characters; None keeps all."""
+    parts = [p if kind == "text" else "\n" * (p.tag in LINES and not (kind == "out" and p.tag in VOID)) for kind, p in tree(html).events(lambda node: node.tag not in UNREAD)]
+    lines = (" ".join(x.split()) for x in "".join(parts).splitlines())
     return "\n".join(filter(None, lines))[:longest]
 
 
@@ -223,3 +215,9 @@ def read_html(pages: DataFrame, reader: str, html: str = "html", base: str = "ur
 @F.pandas_udf(T.StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else readable_text(h))
+
+
+@F.pandas_udf(T.StringType())
+def whole_html_text(html: pd.Series) -> pd.Series:
+    """As ``html_text``, uncut."""
+    return html.map(lambda h: None if h is None else readable_text(h, None))
