@@ -163,30 +163,6 @@ def scored_articles(spark, sf):
     return scoring.score_articles(hashed(rows), F.expr(ANCHOR), TOPICS)
 
 
-@query()
-def value_score(spark, sf):
-    return scored_articles(spark, sf).select("id", "content_score", "breakdown.*")
-
-
-@query()
-def selection_reasons(spark, sf):
-    return scored_articles(spark, sf).select("id", F.array_join("selection_reasons", "|").alias("reasons"))
-
-
-@query()
-def event_profile(spark, sf):
-    return scored_articles(spark, sf).select("id", F.array_join("event.types", "|").alias("types"), "event.significance", "event.decision", "event.adoption")
-
-
-@query()
-def key_signal_gate(spark, sf):
-    return scored_articles(spark, sf).select("id", "key_signal.eligible", "key_signal.score", F.array_join("key_signal.gate_failures", "|").alias("failures"), scoring.significance_candidate().alias("candidate"), scoring.waiting_for_chinese().alias("waiting"))
-
-
-@query()
-def content_quotas(spark, sf):
-    return selection.apply_quotas(articles(spark, sf), F.expr(ANCHOR)).select("id", "source_id", "content_score")
-
 
 def sources(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
@@ -601,10 +577,6 @@ def enrichment_priority(spark, sf):
     return selection.enrichment_order(rows, "batch").select("batch", "id", "turn")
 
 
-@query()
-def feed_key_signal(spark, sf):
-    return selection.key_signal_row(scored_articles(spark, sf), F.expr(ANCHOR)).select("id", "key_signal.score")
-
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
