@@ -127,7 +127,8 @@ def html_readable_text(spark, sf):
 
 @query()
 def html_cards(spark, sf):
-    return read_html(table(spark, sf, "pages").select("page_id", "url", F.concat("html", F.lit('<article><a href="/n/x1" aria-label="Read the whole note here">x</a><p>A summary of twenty characters</p></article>')).alias("html")), "cards").select("page_id", "url", "title", "summary")
+    """The outermost articles of the pages, by their headings and first links."""
+    return read_html(table(spark, sf, "pages"), "cards").select("page_id", "url", "title", "summary")
 
 
 @query()
@@ -509,7 +510,7 @@ def source_limits(spark, sf):
 
 @query()
 def text_embeddings(spark, sf):
-    embed = arrow.hashing_embedder(64)
+    embed = arrow.hashing_embedder()
     rows = table(spark, sf, "benchmark").select("item_id", embed(F.col("text")).alias("v"))
     return rows.select("item_id", F.size("v").alias("n"), F.round(numbers.norm(F.col("v")), 6).alias("norm"))
 
@@ -626,7 +627,13 @@ def brief_sources(spark, sf):
     return views.brief_sources(sections(spark, sf), evidence(spark, sf))
 
 
-@query()
+def _hmac_sql(secret: str, column: str) -> str:
+    """HMAC-SHA-256 in SQL; the secret is shorter than a block."""
+    inner, outer = (bytes(b ^ pad for b in secret.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({column}))))"
+
+
+@query(f"SELECT conv_id, turn, substring({_hmac_sql('test secret', 'text')}, 1, 32) AS question_fingerprint, CAST(length(text) AS INT) AS question_chars FROM conversations")
 def query_trace(spark, sf):
     asked = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
     return views.trace_rows(asked, "test secret")
