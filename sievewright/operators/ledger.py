@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.numbers import day_key, month_key
 
@@ -27,28 +30,50 @@ def quota_admission(requests: DataFrame, client: str, at: str, per_client: int,
     return rows.withColumn("admitted", F.col("_client_ok") & (F.coalesce("_before", F.lit(0)) + nth <= per_day)).drop("_day", "_hour", "_client_ok", "_before")
 
 
+def replay(rows: DataFrame, key: str, order: tuple[str, ...], columns: tuple[str, ...], begin: Callable, step: Callable, **adds: T.DataType) -> DataFrame:
+    """``rows`` with the columns ``adds``: an ordered fold over each key's rows.
+
+    Rows are dealt by key, sorted, and streamed: a task holds one state and one
+    Arrow batch, however many rows a key has.  begin() -> state;
+    step(state, *columns) -> (state, values of adds).
+    """
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, t) for c, t in adds.items())])
+    kinds = [to_arrow_type(t) for t in adds.values()]
+
+    def run(batches):
+        state, current = None, None
+        for batch in batches:
+            made = []
+            for k, *values in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns)):
+                if state is None or k != current:
+                    state, current = begin(), k
+                state, out = step(state, *values)
+                made.append(out)
+            if made:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*made), kinds))], [*batch.schema.names, *adds])
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def rollover(days: DataFrame, base: int, cap: int, per_run: int, seed: int, key: str = "ledger") -> DataFrame:
-    """(ledger, day, before, credit, limit, used, after) of each run of a ledger.
+    """(ledger, day, run, before, credit, limit, used, after) of each run of a ledger.
 
     days(ledger, day, run, calls).  Unused credit rolls over up to ``cap``; a
-    day's first run is credited, skipped days too.  One ordered fold a ledger.
+    day's first run is credited, skipped days too.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("day", "run", F.col("calls").cast("long").alias("calls"))))
-    start = F.struct(F.lit(None).cast("date").alias("last"), F.lit(seed).cast("long").alias("balance"), F.array().cast("array<struct<day:date,run:bigint,before:bigint,credit:bigint,limit:bigint,used:bigint,after:bigint>>").alias("out"))
-
-    def step(s, r):
-        new = s["last"].isNull()
-        gap = F.coalesce(F.datediff(r["day"], s["last"]), F.lit(0)).cast("long")
-        before = F.when(new, F.least(F.lit(cap), F.lit(seed)).cast("long")).when(gap > 0, F.least(F.lit(cap), s["balance"] + F.greatest(F.lit(0), gap - 1) * base)).otherwise(s["balance"])
-        credit = F.when(new | (gap > 0), F.lit(base)).otherwise(F.lit(0)).cast("long")
-        limit = F.least(F.lit(per_run).cast("long"), before + credit)
-        used = F.least(r["calls"], limit)
-        after = F.least(F.lit(cap).cast("long"), F.greatest(F.lit(0).cast("long"), before + credit - used))
-        row = F.struct(r["day"].alias("day"), r["run"].cast("long").alias("run"), before.cast("long").alias("before"), credit.alias("credit"), limit.alias("limit"), used.alias("used"), after.alias("after"))
-        return F.struct(r["day"].alias("last"), after.alias("balance"), F.array_append(s["out"], row).alias("out"))
+    def step(state, day, calls):
+        last, balance = state
+        gap = None if last is None else (day - last).days
+        before = min(cap, seed) if gap is None else min(cap, balance + max(0, gap - 1) * base)
+        credit = base if gap is None or gap > 0 else 0
+        limit = min(per_run, before + credit)
+        used = min(calls, limit)
+        after = min(cap, max(0, before + credit - used))
+        return (day, after), (before, credit, limit, used, after)
 
-    folded = days.groupBy(key).agg(F.aggregate(ordered, start, step).getField("out").alias("o"))
-    return folded.select(key, F.inline("o"))
+    rows = days.select(key, "day", F.col("run").cast("long").alias("run"), F.col("calls").cast("long").alias("calls"))
+    names = ("before", "credit", "limit", "used", "after")
+    return replay(rows, key, ("day", "run"), ("day", "calls"), lambda: (None, 0), step, **{n: T.LongType() for n in names}).select(key, "day", "run", *names)
 
 
 def lease_concurrency(leases: DataFrame, started: str, ended: str, *groups: str) -> DataFrame:
@@ -62,35 +87,28 @@ def lease_concurrency(leases: DataFrame, started: str, ended: str, *groups: str)
 
 def lease_admission(requests: DataFrame, pool: str, most: int, seconds: int) -> DataFrame:
     """Adds ``granted``: was a lease free at the request's time (leases last ``seconds``)."""
+    def step(open_, at):
+        open_ = [end for end in open_ if end > at]
+        free = len(open_) < most
+        return [*open_, at + seconds * 1_000_000] if free else open_, (free,)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, open_, out = pdf.sort_values(["at", "ord"], kind="stable"), [], []
-        for at in pdf["at"]:
-            open_ = [t for t in open_ if t > at]
-            out.append(len(open_) < most)
-            if out[-1]:
-                open_.append(at + pd.Timedelta(seconds=seconds))
-        return pdf.assign(granted=out)
-
-    return requests.groupBy(pool).applyInPandas(fold, T.StructType([*requests.schema.fields, T.StructField("granted", T.BooleanType())]))
+    timed = requests.withColumn("_micros", F.unix_micros(F.col("at").cast("timestamp")))
+    return replay(timed, pool, ("_micros", "ord"), ("_micros",), list, step, granted=T.BooleanType()).drop("_micros")
 
 
 def budget_admission(requests: DataFrame, hard_micros: int, month: str = "month") -> DataFrame:
     """Adds ``admitted`` and ``committed``: a month's requests in order against its hard limit.
 
-    A denied request ties up nothing, so admission feeds back: one ordered
-    fold a month over (ord, estimate), in built-in functions.
+    A denied request ties up nothing, so admission feeds back: an ordered
+    fold.  A null estimate is neither admitted nor denied (null).
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ord", F.col("estimated_micros").cast("long").alias("e"))))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<ord:bigint,admitted:boolean,committed:bigint>>").alias("out"))
-
-    def step(s, r):
-        fits = s["sum"] + r["e"] <= hard_micros
-        now = F.when(fits, s["sum"] + r["e"]).otherwise(s["sum"])
-        return F.struct(now.alias("sum"), F.array_append(s["out"], F.struct(r["ord"].cast("long").alias("ord"), fits.alias("admitted"), now.alias("committed"))).alias("out"))
+    def step(total, estimate):
+        fits = None if estimate is None else total + estimate <= hard_micros
+        total = total + estimate if fits else total
+        return total, (fits, total)
 
-    folded = requests.groupBy(month).agg(F.aggregate(ordered, start, step).getField("out").alias("o")).select(F.inline("o"))
-    return requests.join(folded, "ord")
+    rows = requests.withColumn("_estimate", F.col("estimated_micros").cast("long"))
+    return replay(rows, month, ("ord",), ("_estimate",), int, step, admitted=T.BooleanType(), committed=T.LongType()).drop("_estimate")
 
 
 def last_states(events: DataFrame, request: str = "request_id") -> DataFrame:

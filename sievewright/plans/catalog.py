@@ -127,8 +127,9 @@ def html_readable_text(spark, sf):
 
 @query()
 def html_cards(spark, sf):
-    """The outermost articles of the pages, by their headings and first links."""
-    return read_html(table(spark, sf, "pages"), "cards").select("page_id", "url", "title", "summary")
+    """The pages' articles as cards, by their headings; an article begins with a link to its page, as a card does."""
+    linked = F.regexp_replace("html", r"(<article[^>]*>)", F.concat(F.lit('$1<a href="'), F.regexp_replace("url", r"[$\\\\]", ""), F.lit('">more</a>')))
+    return read_html(table(spark, sf, "pages").select("page_id", "url", linked.alias("html")), "cards").select("page_id", "url", "title", "summary")
 
 
 @query()
