@@ -35,14 +35,20 @@ CHUNK = 300
 SEED = 7
 
 #: Characters that \\w takes and that are neither letters nor decimal digits: superscripts, fractions, Roman and circled numbers.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_NUMBERS = [c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+#: Those above U+FFFF aren't in the class, which would make it slow for every text; they are blanked out where a text has such characters.
+_WORD = re.compile(rf"[^\W\d_{''.join(c for c in _NUMBERS if ord(c) < 0x10000)}]+")
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+_BLANK = str.maketrans(dict.fromkeys((c for c in _NUMBERS if ord(c) >= 0x10000), " "))
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return _WORD.findall(low.translate(_BLANK) if _HIGH.search(low) else low)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -190,7 +190,7 @@ def test_language_odd_rows(docs, empty):
         langid.identify(docs, keep=["doc_id", "score"])
 
 
-@pytest.mark.parametrize("text,letters", [("½ ²", False), ("① Ⅷ ٣ 12_", False), ("é", True), ("x²", True), ("日本", True), ("", False), (None, False)])
+@pytest.mark.parametrize("text,letters", [("½ ²", False), ("🄀 𐄇", False), ("𐄇𝒜😀", True), ("① Ⅷ ٣ 12_", False), ("é", True), ("x²", True), ("日本", True), ("", False), (None, False)])
 def test_texts_without_letters_are_unknown(text, letters):
     model = langid.train([("the and of", "en"), ("le la des", "fr")])
     (name,), (score,) = model.predict([text])
