@@ -161,12 +161,14 @@ class Model:
                 out[i] = table[: len(texts[i]), b]
         return out
 
-    def means(self, texts: list[list[str]]) -> np.ndarray:
-        """(texts, L) mean marginals; zeros for texts of no words."""
-        out = np.zeros((len(texts), len(self.languages)))
+    def means(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, L) mean marginals, and the mean of each word's best marginal; zeros for texts of no words."""
+        out, sure = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for rows, table in self._batches(texts):
-            out[rows] = table.sum(0, dtype=np.float64) / np.array([len(texts[i]) for i in rows])[:, None]
-        return out
+            sizes = np.array([len(texts[i]) for i in rows])
+            out[rows] = table.sum(0, dtype=np.float64) / sizes[:, None]
+            sure[rows] = table.max(2).sum(0, dtype=np.float64) / sizes
+        return out, sure
 
     def _batches(self, texts: list[list[str]]):
         place: dict[str, int] = {}
@@ -189,12 +191,14 @@ class Model:
         parts = [self.score_words(words[i : i + 8_000]) for i in range(0, len(words), 8_000)]
         return np.concatenate([*parts, np.zeros((1, len(self.languages)), np.float32)])
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Each text's language, its mean marginal, and how sure its words' labels are."""
         words = [words_of(t) for t in texts]
-        means = self.means(words)
+        means, sure = self.means(words)
         best = means.argmax(1) if len(self.languages) else np.zeros(len(texts), int)
         names = [self.languages[k] if w and self.languages else UNKNOWN for k, w in zip(best, words)]
-        return names, [float(min(1.0, m[k])) if n != UNKNOWN else 0.0 for m, k, n in zip(means, best, names)]
+        known = [n != UNKNOWN for n in names]
+        return names, [float(min(1.0, m[k])) if n else 0.0 for m, k, n in zip(means, best, known)], [float(min(1.0, s)) if n else 0.0 for s, n in zip(sure, known)]
 
 
 def windows_of(text: str | None) -> list[list[str]]:
@@ -282,26 +286,27 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model | None = None, rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text, lang, ...) -> (doc_id, held_out, lang_pred, score).
+    """docs(doc_id, text, lang, ...) -> (doc_id, held_out, lang_pred, score, certainty).
 
     One row for each row.  ``score`` is the mean marginal of the predicted
-    language over the text's words.  A text that is null or has no letter is
+    language over the text's words, ``certainty`` the mean of each word's best
+    marginal, which is high for a text that mixes known languages too.  A text that is null or has no letter is
     ``und`` with score 0, and so is every text if no labelled row exists.
     lang, source and doc_id play no part in a prediction.  With ``keep``,
     those columns of ``docs`` replace doc_id in the result; names that the
-    result has itself (held_out, lang_pred, score) can't be kept and raise
+    result has itself (held_out, lang_pred, score, certainty) can't be kept and raise
     ValueError.  Other columns of ``docs`` are ignored, whatever their names;
     an empty table gives an empty result.
     """
     keep = keep or ["doc_id"]
-    if {"held_out", "lang_pred", "score"} & set(keep):
+    if {"held_out", "lang_pred", "score", "certainty"} & set(keep):
         raise ValueError("the result has columns of its own of these names")
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, rows))
     own = [F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep]
     extra = [] if "text" in keep else [F.col("text").cast("string").alias("text")]
     source = docs.select(*own, *extra, held_out(docs).alias("held_out"))
     kept = [c for c in source.columns if c != "text" or not extra]
-    schema = source.select(kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = source.select(kept).schema.add("lang_pred", "string").add("score", "double").add("certainty", "double")
 
     def run(batches):
         release()
@@ -309,8 +314,8 @@ def identify(docs: DataFrame, model: Model | None = None, rows: int = TRAIN_ROWS
         for batch in batches:
             for low in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(low, CHUNK)
-                names, scores = model.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+                names, scores, sure = model.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], [*kept, "lang_pred", "score", "certainty"])
 
     return source.mapInArrow(run, schema)
 

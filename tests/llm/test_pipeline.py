@@ -12,7 +12,7 @@ def test_stages(spark, docs):
     assert first.columns == list(pipeline.COLUMNS)
     kept = {r.doc_id for r in first.collect()}
     marked = {r.doc_id: r for r in langid.identify(table).collect()}
-    assert kept == {d for d, r in marked.items() if r.lang_pred != "und" and r.score >= pipeline.MIN_SCORE} and len(kept) > 0.95 * table.count()
+    assert kept == {d for d, r in marked.items() if r.lang_pred != "und" and r.certainty >= pipeline.MIN_CERTAINTY} and len(kept) > 0.95 * table.count()
     second = pipeline.drop_near_duplicates(spark, first, SMALL)
     groups = {r.doc_id for r in second.collect()}
     check_kept([(r.doc_id, r.text) for r in first.collect()], [(r.doc_id, r.text) for r in second.collect()])

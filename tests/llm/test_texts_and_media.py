@@ -193,8 +193,8 @@ def test_language_odd_rows(docs, empty):
 @pytest.mark.parametrize("text,letters", [("½ ²", False), ("🄀 𐄇", False), ("𐄇𝒜😀", True), ("① Ⅷ ٣ 12_", False), ("é", True), ("x²", True), ("日本", True), ("", False), (None, False)])
 def test_texts_without_letters_are_unknown(text, letters):
     model = langid.train([("the and of", "en"), ("le la des", "fr")])
-    (name,), (score,) = model.predict([text])
-    assert (name != "und") == letters and (score > 0) == letters
+    (name,), (score,), (sure,) = model.predict([text])
+    assert (name != "und") == letters and (score > 0) == letters and sure >= score
 
 
 def test_sample_windows_are_spread_over_the_text():
@@ -222,3 +222,5 @@ def test_code_switching():
     model = langid.train([(" ".join([en] * 20), "en"), (" ".join([fr] * 20), "fr")] * 4)
     labels = [lang for _, lang, _ in langid.label_words(model, f"{en} {fr}")]
     assert labels == ["en"] * 8 + ["fr"] * 8
+    _, (score,), (sure,) = model.predict([f"{en} {fr}"])
+    assert score < 0.7 and sure > 0.8
