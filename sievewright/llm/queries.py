@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, html_blocks, langid, licenses, media, merkle, mixing, packing, planes, prefix_trie, simhash, warc_zip
+from . import covertree, html_blocks, langid, licenses, media, merkle, mixing, packing, planes, prefix_trie, simhash, substrings, warc_zip
 
 
 #: Target weights of op7's query: domains by 4:3:2:1; languages and sources are even.
@@ -64,8 +64,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_html, op3_warc, op4_media, op5_packing, op6_licenses, op7_mixing, op8_langid, op9_covertree, op10_planes, op11_prefix_trie, op12_merkle)}
+    return {f.__name__: f for f in (op1_simhash, op2_html, op3_warc, op4_media, op5_packing, op6_licenses, op7_mixing, op8_langid, op9_covertree, op10_planes, op11_prefix_trie, op12_merkle, op13_substrings)}
 
 
 _FIVE = " + ".join(f"{16 >> k} * CAST(substring(b, CAST(i * 5 + {k + 1} AS BIGINT), 1) AS BIGINT)" for k in range(5))
@@ -107,7 +111,14 @@ _OP12 = f"""WITH RECURSIVE f AS (SELECT *, concat(coalesce(strlen(doc_id::VARCHA
   z AS (SELECT doc_id, max(level) AS level FROM g GROUP BY doc_id)
   SELECT a.doc_id, a.leaf, s.subroot, r.hash AS root, sha256(g.proof) AS proof_sha256, g.folded AS folded_root, g.folded = r.hash AS verified FROM a JOIN s USING (key) JOIN z USING (doc_id) JOIN g ON g.doc_id = z.doc_id AND g.level = z.level, (SELECT hash FROM w WHERE n = 1) r"""
 
+_OP13 = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
+  s AS (SELECT *, md5(string_agg(word, ' ') OVER f) AS k, count(*) OVER f AS size FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+  e AS (SELECT k, min(doc_id) AS first FROM s WHERE size = 50 GROUP BY k), g AS (SELECT s.*, coalesce(size = 50 AND first < doc_id, false) AS hit FROM s LEFT JOIN e USING (k)),
+  r AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM g),
+  t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN t USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of what it can express whole, on unique ids as in the given tables."""
-    return {"op9_covertree": _OP9, "op11_prefix_trie": _OP11, "op12_merkle": _OP12}
+    return {"op9_covertree": _OP9, "op11_prefix_trie": _OP11, "op12_merkle": _OP12, "op13_substrings": _OP13}
