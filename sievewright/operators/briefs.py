@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import display_ready
@@ -78,6 +78,81 @@ def brief_state(now: datetime, current: tuple[datetime, datetime] | None, has_en
     return "generated" if has_enough else ("carried" if carried else "insufficient")
 
 
+WEEK = 7 * 86_400
+#: Saturdays 09:00 local time, in seconds after the epoch.
+_FIRST = 49 * 3600
+
+
+def period_end(now: Column) -> Column:
+    """End of the newest complete week at ``now``, by expressions."""
+    seconds = F.unix_micros(now.cast("timestamp")) / F.lit(1_000_000)
+    return F.timestamp_seconds(F.floor((seconds - _FIRST) / WEEK) * WEEK + _FIRST)
+
+
+def due(now: Column) -> Column:
+    """Saturdays from 09:00 local time on."""
+    local = now.cast("timestamp") + F.make_interval(hours=F.lit(8))
+    return (F.dayofweek(local) == 7) & (F.hour(local) >= 9)
+
+
+def week_readiness(articles: DataFrame, least_articles: int = 4, least_sources: int = 2) -> DataFrame:
+    """(week_end, ready_at, articles, sources, signature) of each week that has candidates.
+
+    ``ready_at`` is the time from which enough of the week's candidates, of
+    enough sources, have been collected; null if they never are.  It needs the
+    few earliest collection times of a week only.  The signature stands for
+    the set of content hashes; it is made of sums, so a week's hashes are never
+    gathered.
+    """
+    rows = articles.where(F.col("published_at").isNotNull() & (F.size("evidence_ids") > 0) & display_ready())
+    week = F.timestamp_seconds(F.floor((F.unix_micros(F.col("published_at").cast("timestamp")) / F.lit(1_000_000) - _FIRST) / WEEK) * WEEK + _FIRST + WEEK)
+    rows = rows.select(week.alias("week_end"), "source_id", "collected_at", "content_hash")
+    early = Window.partitionBy("week_end").orderBy("collected_at")
+    nth = rows.withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= least_articles).groupBy("week_end").agg(F.max(F.when(F.col("_n") == least_articles, F.col("collected_at"))).alias("_articles_at"))
+    first = rows.groupBy("week_end", "source_id").agg(F.min("collected_at").alias("collected_at"))
+    nth_source = first.withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= least_sources).groupBy("week_end").agg(F.max(F.when(F.col("_n") == least_sources, F.col("collected_at"))).alias("_sources_at"))
+    parts = [F.sum(F.conv(F.substring("content_hash", at, 12), 16, 10).cast("decimal(38,0)")) for at in (1, 13, 25)]
+    all_ = rows.groupBy("week_end").agg(F.count("*").alias("articles"), F.count_distinct("source_id").alias("sources"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *(p.cast("string") for p in parts)), 256).alias("signature"))
+    ready = F.when(F.col("_articles_at").isNotNull() & F.col("_sources_at").isNotNull(), F.greatest("_articles_at", "_sources_at"))
+    return all_.join(nth, "week_end").join(nth_source, "week_end").select("week_end", ready.alias("ready_at"), "articles", "sources", "signature")
+
+
+def weekly_runs(runs: DataFrame, weeks: DataFrame) -> DataFrame:
+    """The state of the weekly brief after each run, and the brief that stands then.
+
+    runs(run_id, now, forced, able): ``able`` if a brief could be written
+    then; weeks as of :func:`week_readiness`.  Adds period_start, period_end,
+    state and brief_id.  A week's brief is written by its first run that is
+    due (or forced), able, and has enough evidence; that run is ``generated``
+    and the week's later runs ``current``.  Any other run carries the last
+    brief, if there is one: ``carried`` (not due or not able) or
+    ``insufficient_carried``; without one it is ``not_due`` or
+    ``insufficient``.  Which run writes depends on its own week alone, so
+    windows say it without stepping from run to run.  Runs of one time are
+    ordered by run_id; runs without a time are left out.
+    """
+    timed = runs.where(F.col("now").isNotNull()).withColumn("period_end", period_end(F.col("now")))
+    rows = timed.join(weeks.withColumnRenamed("week_end", "period_end"), "period_end", "left")
+    asked = (due(F.col("now")) | F.coalesce("forced", F.lit(False))) & F.coalesce("able", F.lit(True))
+    rows = rows.withColumn("_asked", asked).withColumn("_writes", F.col("_asked") & F.coalesce(F.col("ready_at") <= F.col("now"), F.lit(False)))
+    in_week = Window.partitionBy("period_end").orderBy("now", "run_id")
+    rows = rows.withColumn("_nth", F.sum(F.col("_writes").cast("int")).over(in_week.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_first", F.col("_writes") & (F.col("_nth") == 1))
+    brief = F.concat(F.lit("brief-"), F.date_format(F.col("period_end") - F.expr("INTERVAL 7 DAYS"), "yyyy-MM-dd"), F.lit("-"), F.substring("signature", 1, 12))
+    rows = rows.withColumn("_brief", F.when(F.col("_nth") > 0, brief))
+    # a week's last brief goes on to the weeks after it
+    by_week = rows.groupBy("period_end").agg(F.max("_brief").alias("_made"))
+    before = Window.orderBy("period_end").rowsBetween(Window.unboundedPreceding, -1)  # one row a week
+    carried = by_week.select("period_end", F.last("_made", ignorenulls=True).over(before).alias("_carried"))
+    rows = rows.join(carried, "period_end")
+    state = (
+        F.when(F.col("_first"), "generated").when(F.col("_nth") > 0, "current")
+        .when(~F.col("_asked"), F.when(F.col("_carried").isNull(), "not_due").otherwise("carried"))
+        .otherwise(F.when(F.col("_carried").isNull(), "insufficient").otherwise("insufficient_carried"))
+    )
+    return rows.select("run_id", "now", (F.col("period_end") - F.expr("INTERVAL 7 DAYS")).alias("period_start"), "period_end", state.alias("state"), F.coalesce("_brief", "_carried").alias("brief_id"))
+
+
 def apply_overlay(articles: DataFrame, overlay: DataFrame, fields, key: str = "content_hash") -> DataFrame:
     """``articles`` with the overlay's fields; an overlay row of no article is an error."""
     over = overlay.select(key, F.struct(*fields).alias("_o"))

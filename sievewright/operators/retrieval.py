@@ -6,7 +6,12 @@ DataFrames, so an index is built once and reused.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
@@ -15,6 +20,7 @@ from ..functions import tables as T
 from ..functions.arrow import split_paragraphs
 from ..functions.numbers import dot, hex_id, rounded
 from ..functions.text import lexical_tokens, not_blank, quoted, token_estimate
+from ..sources.store import scratch
 
 CHUNKING = "v1"
 
@@ -91,14 +97,58 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "chunk
     return scored.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, block: int = 1024) -> DataFrame:
     """The k vectors with the largest dot products for each query.
 
-    queries(query_id, qv) is the query set, broadcast only where Spark finds
-    it small; vectors(chunk_id, v) is the corpus, read once.
+    queries(query_id, qv) is the stated query set: it is written once, in
+    blocks, and read block by block where the corpus vectors(chunk_id, v) lie.
+    A slice of the corpus meets a block of queries in one product of matrices
+    and leaves its k best a query; only those are shuffled.  Null vectors, and
+    vectors of another length than a query's, aren't compared.
     """
-    scored = vectors.crossJoin(queries).select("query_id", "chunk_id", F.round(dot(F.col("qv"), F.col("v")), digits).alias("score"))
-    return top_k(scored, k)
+    spark = vectors.sparkSession
+    path = scratch(spark, "queries")
+    asked = queries.where("qv IS NOT NULL").select("query_id", F.col("qv").cast("array<double>").alias("qv"))
+    asked.write.option("maxRecordsPerFile", block).parquet(path)
+    kinds = dict(asked.dtypes) | dict(vectors.dtypes)
+    files = spark.read.parquet(path).inputFiles()
+
+    def run(batches):
+        for batch in batches:
+            at = np.flatnonzero(~np.array(batch.column("v").is_null()))
+            for width, rows in _by_width(batch.column("v"), at):
+                left, items = np.array(batch.column("v").take(pa.array(rows)).flatten()).reshape(-1, width), batch.column("chunk_id").take(pa.array(rows))
+                order = np.array(pc.sort_indices(items))
+                left, items = left[order], items.take(pa.array(order))  # by id, so that a stable sort breaks ties by it
+                for file in files:
+                    for part in _read(file):
+                        for wide, some in _by_width(part.column("qv"), np.arange(part.num_rows)):
+                            if wide != width:
+                                continue
+                            right = np.array(part.column("qv").take(pa.array(some)).flatten()).reshape(-1, width)
+                            scores = right @ left.T
+                            best = np.argsort(-np.round(scores, digits), axis=1, kind="stable")[:, :k]
+                            yield pa.RecordBatch.from_arrays(
+                                [part.column("query_id").take(pa.array(np.repeat(some, best.shape[1]))), items.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["query_id", "chunk_id", "score"]
+                            )
+
+    found = vectors.select("chunk_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    return top_k(found.withColumn("score", F.round("score", digits)), k)
+
+
+def _by_width(column: pa.Array, rows: np.ndarray):
+    """(width, rows) of the lists of each length."""
+    widths = np.array(pc.fill_null(pc.list_value_length(column), -1))[rows]
+    for width in np.unique(widths):
+        if width > 0:
+            yield int(width), rows[widths == width]
+
+
+def _read(file: str):
+    store, path = pafs.FileSystem.from_uri(file)
+    with store.open_input_file(path) as source:
+        for group in pq.ParquetFile(source).iter_batches():
+            yield group
 
 
 def fuse_ranks(one: DataFrame, two: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:

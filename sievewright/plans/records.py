@@ -16,19 +16,17 @@ from ..sources import benchmarks, feeds, store
 from .catalog import ANCHOR, BM25, DENSE, HASH, LEX, SQL, TOPIC_SQL, TOPICS, articles, corpus, hashed, query, questions, table, topical, vector_queries, vectors, with_ready
 
 
-def plain(column: str) -> str:
-    """SQL of a column's ASCII characters with single spaces, at most 200."""
-    return f"trim(regexp_replace(substring(regexp_replace({column}, '[^ -~]', '', 'g'), 1, 200), ' +', ' ', 'g'))"
-
-
-FEED = f"f AS (SELECT ord, canonical_url || '/' || ord AS url, {plain('title')} AS title, {plain('abstract')} AS summary, published_at FROM a)"
+#: Characters that XML 1.0 can't hold, in RE2's and Java's notation alike.
+UNHELD = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+FEED = rf"f AS (SELECT ord, canonical_url || '/' || ord AS url, trim(regexp_replace(regexp_replace(title, '{UNHELD}', '', 'g'), ' +', ' ', 'g')) AS title, trim(regexp_replace(regexp_replace(abstract, '{UNHELD}', '', 'g'), ' +', ' ', 'g')) AS summary, published_at FROM a)"
 
 
 def feed_items(spark, sf):
-    def ascii(c):
-        return F.trim(F.regexp_replace(F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 200), " +", " "))
+    """Whole titles and abstracts, in any script."""
+    def held(c):
+        return F.trim(F.regexp_replace(F.regexp_replace(c, UNHELD, ""), " +", " "))
 
-    return articles(spark, sf).select("ord", F.concat("canonical_url", F.lit("/"), F.col("ord").cast("string")).alias("url"), ascii("title").alias("title"), ascii("abstract").alias("summary"), "published_at")
+    return articles(spark, sf).select("ord", F.concat("canonical_url", F.lit("/"), F.col("ord").cast("string")).alias("url"), held("title").alias("title"), held("abstract").alias("summary"), "published_at")
 
 
 def _escaped(column: str):
@@ -39,10 +37,10 @@ def _escaped(column: str):
 
 
 def _files(spark, rows, item, head: str, tail: str, name: str) -> str:
-    """One document for about 100 items each."""
+    """One document, and file, for each 100 places in the order."""
     path = store.scratch(spark, name)
-    whole = rows.groupBy((F.col("ord") % 7).alias("file")).agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("x")))), lambda r: r["x"]), "," if name == "json" else ""), F.lit(tail)).alias("value"))
-    whole.select("value").repartition(7).write.text(path)
+    whole = rows.groupBy(F.floor(F.col("ord") / 100).alias("file")).agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("x")))), lambda r: r["x"]), "," if name == "json" else ""), F.lit(tail)).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -63,12 +61,12 @@ def feed_atom(spark, sf):
     return feeds.ADAPTERS["atom"](spark, path, {}).select("url", "title", "summary", "published_at")
 
 
-@query(f", {FEED} SELECT 'feed-1' AS source_id, url, title, substring(nullif(summary, ''), 1, 50) AS summary, published_at, 'de' AS language FROM f WHERE title <> '' AND summary <> ''")
+@query(f", {FEED} SELECT 'feed-1' AS source_id, url, title, nullif(summary, '') AS summary, published_at, 'de' AS language FROM f WHERE title <> '' AND summary <> ''")
 def feed_json(spark, sf):
     rows = feed_items(spark, sf)
     item = F.to_json(F.struct("url", "title", "summary", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_published")))
     path = _files(spark, rows, item, '{"items":[', "]}", "json")
-    read = feeds.read_source(spark, path, {"id": "feed-1", "adapter": "json_feed", "language": "de", "require_summary": True, "require_date": True, "max_summary_chars": 50})
+    read = feeds.read_source(spark, path, {"id": "feed-1", "adapter": "json_feed", "language": "de", "require_summary": True, "require_date": True, "max_summary_chars": None})
     return read.select("source_id", "url", "title", "summary", "published_at", "language")
 
 
@@ -177,19 +175,13 @@ def expanded_queries(spark, sf):
     return questions(spark, sf).withColumn("text", F.concat("text", phrase)).select("query_id", retrieval.expand_query(F.col("text")).alias("text"))
 
 
-TITLED = BM25.replace(f"unnest({LEX}) AS token FROM benchmark", f"unnest({LEX}) AS token FROM (SELECT doc_id AS item_id, substring(text, 1, 400) AS text FROM documents WHERE doc_id % 100 = 0)")
-
-
-@query(TITLED + ", " + DENSE.removeprefix("WITH ") + """, u AS (SELECT query_id, chunk_id, rank FROM bm UNION ALL SELECT query_id, chunk_id, rank FROM r WHERE query_id IN (SELECT doc_id FROM documents)),
-  fu AS (SELECT query_id, chunk_id, floor(sum(1.0::DOUBLE / (60 + rank)) * 100000000.0::DOUBLE + 0.5::DOUBLE) / 100000000.0::DOUBLE AS score FROM u GROUP BY 1, 2)
-  SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu QUALIFY rank <= 10""")
+@query()
 def hybrid_rrf(spark, sf):
-    """BM25 over documents by the first 400 characters of some of them, fused with dense retrieval over the vectors of the same ids."""
-    d = table(spark, sf, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 400).alias("text"))
-    asked = d.join(vector_queries(spark, sf).select("query_id", "qv"), "query_id", "left")
-    lexical = retrieval.retrieve("bm25", asked.select("query_id", "text"), retrieval.Bm25(corpus(spark, sf)))
-    dense = retrieval.retrieve("dense", asked.where("qv is not null").select("query_id", "qv"), vectors=vectors(spark, sf).drop("label"))
-    return retrieval.fuse_ranks(lexical, dense).select("query_id", "chunk_id", "score", "rank")
+    """The questions against whole documents: BM25 and the embedder's vectors of the same texts, fused."""
+    embed = arrow.hashing_embedder()
+    docs, asked = corpus(spark, sf), questions(spark, sf)
+    found = retrieval.retrieve("hybrid", asked.withColumn("qv", embed("text")), retrieval.Bm25(docs), docs.select("chunk_id", embed("text").alias("v")))
+    return found.select("query_id", "chunk_id", "score", "rank")
 
 
 @query("""WITH e AS (SELECT user_id % 50 AS query_id, event_id AS chunk_id, value AS score FROM events), b AS (SELECT query_id FROM e WHERE chunk_id % 2 = 0 GROUP BY 1 HAVING max(score) < 40)
@@ -383,11 +375,11 @@ def source_rows(spark, sf):
     return store.source_dimension(spark, made).select("id", "homepage", "enabled")
 
 
-@query("""WITH RECURSIVE r AS (SELECT strftime(ts, '%Y-%m-%d') AS month, event_id AS request_id, CAST(round(value * 1000) AS BIGINT) AS e, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS n FROM events),
+@query("""WITH RECURSIVE r AS (SELECT strftime(ts, '%Y-%m') AS month, event_id AS request_id, CAST(round(value * 1000) AS BIGINT) AS e, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m') ORDER BY event_id) AS n FROM events),
   f AS (SELECT DISTINCT month, 0::BIGINT AS n, 0::BIGINT AS committed, NULL::BIGINT AS request_id, false AS admitted FROM r UNION ALL SELECT f.month, r.n, CASE WHEN f.committed + r.e <= 10000000 THEN f.committed + r.e ELSE f.committed END, r.request_id, f.committed + r.e <= 10000000 FROM f JOIN r ON r.month = f.month AND r.n = f.n + 1)
   SELECT request_id, month, admitted, committed FROM f WHERE n > 0""")
 def budget_admission(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.col("event_id").alias("ord"), numbers.day_key(F.col("ts")).alias("month"), F.round(F.col("value") * 1000).cast("long").alias("estimated_micros"))
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.col("event_id").alias("ord"), numbers.month_key(F.col("ts")).alias("month"), F.round(F.col("value") * 1000).cast("long").alias("estimated_micros"))
     return ledger.budget_admission(rows, 10_000_000).select("request_id", "month", "admitted", "committed")
 
 

@@ -53,6 +53,11 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     return items.where("url is not null and title is not null")
 
 
+def cut(column: str, most: int | None) -> Column:
+    """The first characters of a text; None keeps it whole."""
+    return F.col(column) if most is None else F.substring(column, 1, most)
+
+
 def read_json_feed(spark: SparkSession, path: str) -> DataFrame:
     """``items[]`` of JSON Feed documents; summary, else text, else stripped HTML."""
     rows = spark.read.schema(JSON_FEED).json(path, multiLine=True).select(F.explode("items").alias("i"))
@@ -109,7 +114,7 @@ def read_source(spark: SparkSession, path: str, source: dict) -> DataFrame:
     if source.get("max_items"):
         rows = rows.orderBy("ord").limit(source["max_items"])
     return rows.select(
-        F.lit(source["id"]).alias("source_id"), "url", "title", F.substring("summary", 1, source.get("max_summary_chars", 2500)).alias("summary"), "authors", "published_at",
+        F.lit(source["id"]).alias("source_id"), "url", "title", cut("summary", source.get("max_summary_chars", 2500)).alias("summary"), "authors", "published_at",
         F.lit(source.get("language", "en")).alias("language"), "content_html", F.lit(source.get("source_type", "official")).alias("source_type"), F.lit(source.get("evidence_tier", "primary")).alias("evidence_tier"), "ord",
     )
 
