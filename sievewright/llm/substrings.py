@@ -205,11 +205,12 @@ def _region_words(batches):
     release()
 
 
-_FOUND = "mark long, region long, low int, high int"
+_SPANS = "array<struct<low:int,high:int>>"
+_FOUND = f"mark long, region long, spans {_SPANS}"
 
 
 def search_shard(shard: pa.Table) -> pa.Table:
-    """Regions (mark, region, first_doc, words) -> the intervals of each that an earlier document's region has, from the region's begin."""
+    """Regions (mark, region, first_doc, words) -> (mark, region, spans): what an earlier document's region has of each, from the region's begin."""
     docs = shard.column("first_doc").to_numpy()
     words = [np.frombuffer(w, np.uint64) for w in shard.column("words").to_pylist()]
     sizes = np.array([len(w) for w in words], np.int64)
@@ -233,8 +234,10 @@ def search_shard(shard: pa.Table) -> pa.Table:
     edges = np.diff(hits.astype(np.int8), axis=1, prepend=0)
     row, low = np.nonzero(edges == 1)
     high = np.nonzero(edges == -1)[1] + WINDOW - 1
-    chosen = shard.select(["mark", "region"]).take(pa.array(row))
-    return pa.table([*chosen.columns, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["mark", "region", "low", "high"])
+    found, counts = np.unique(row, return_counts=True)
+    spans = pa.StructArray.from_arrays([pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["low", "high"])
+    chosen = shard.select(["mark", "region"]).take(pa.array(found))
+    return pa.table([*chosen.columns, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), spans)], ["mark", "region", "spans"])
 
 
 def _windows(batches):
@@ -329,11 +332,13 @@ def remove_repeats(docs: DataFrame, limit: int = LIMIT, shard: int = SHARD) -> D
     if any_crowded:
         windows = spread.where("crowded").select("mark", "region", "first_doc", "words").mapInArrow(_windows, "mark long, region long, first_doc long, low int, one long, two long")
         earliest = windows.groupBy("mark", "one", "two").agg(F.min("first_doc").alias("earliest"))
-        late = windows.join(earliest, ["mark", "one", "two"]).where("first_doc > earliest").select("mark", "region", "low", (F.col("low") + WINDOW).alias("high"))
-        found = found.unionByName(late)
-    found = stage(found, "substrings-found").withColumnsRenamed({"low": "_from", "high": "_to"})
+        late = windows.join(earliest, ["mark", "one", "two"]).where("first_doc > earliest")
+        # a region has WINDOW - SEED + 1 windows at most
+        found = found.unionByName(late.groupBy("mark", "region").agg(F.collect_list(_span(F.col("low"), F.col("low") + WINDOW)).alias("spans")))
+    found = stage(found, "substrings-found")
 
-    own = here.where("doc_id = first_doc AND mixed").join(found, ["mark", "region"]).groupBy("doc_id", "tid").agg(F.collect_set(_span(low + F.col("_from"), low + F.col("_to"))).alias("found"))
+    own = here.where("doc_id = first_doc AND mixed").join(found, ["mark", "region"]).select("doc_id", "tid", F.transform("spans", lambda s: _span(low + s["low"], low + s["high"])).alias("spans"))
+    own = own.groupBy("doc_id", "tid").agg(F.flatten(F.collect_set("spans")).alias("found"))
     ready = involved.join(own, ["doc_id", "tid"], "left").select("doc_id", "tid", "text", "sure", "found")
     outcome = stage(ready.mapInArrow(_kept, "doc_id long, tid long, n_removed long, kept_sha256 string"), "substrings-outcome")
     return sketch.select("doc_id", "tid", "n_words", "all_sha256").join(outcome, ["doc_id", "tid"], "left").select(
