@@ -13,6 +13,7 @@ The labeller is trained here, on pages of a seeded generator
 
 from __future__ import annotations
 
+import collections
 import functools
 import html as html_lib
 import re
@@ -45,6 +46,14 @@ CLOSES = {
 HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements in which, and in whose content, a tag can close itself.
 FOREIGN_TAGS = frozenset("svg math".split())
+#: Elements of foreign content whose own content is HTML.
+ISLANDS = frozenset("foreignobject desc annotation-xml".split())
+#: Tags that end foreign content, by the HTML standard's parsing rules.
+BREAKOUT_TAGS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_FONT = re.compile(r"(?:^|[\s\"'/])(?:color|face|size)(?=[\s=/]|\Z)", re.I)
 PATHS, WORDS, SHAPES = 1024, 2048, 8
 WORD_SCALE = 3.0
 
@@ -58,23 +67,24 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW_TAGS}
 
 
 class Path:
-    """The open elements' parts: an element's own (tag, then class, id and role words) and the path above it."""
+    """The open elements' parts: an element's own (tag, then class, id and role words) and the path above it.
+
+    What a path knows of its ancestors is handed down, never walked: ``seen``
+    is shared with the path above unless an own part is new to it.
+    """
 
-    __slots__ = ("above", "own", "size")
+    __slots__ = ("last", "seen", "size")
 
     def __init__(self, above: Path | None, own: tuple[str, ...]):
-        self.above, self.own, self.size = above, own, len(own) + (above.size if above else 0)
+        self.size = len(own) + (above.size if above else 0)
+        self.last = ((above.last if above else ()) + own)[-2:]
+        seen = above.seen if above else {}
+        new = [b for b in map(_part_bucket, own) if b not in seen]
+        self.seen = {**seen, **dict.fromkeys(new)} if new else seen
 
     def buckets(self) -> list[int]:
         """Hashed parts, each once, and the last two together."""
-        found, last, at = {}, [], self
-        while at:
-            if len(last) < 2:
-                last = [*at.own, *last][-2:]
-            for part in at.own:
-                found[_part_bucket(part)] = None
-            at = at.above
-        return list(dict.fromkeys([*found, zlib.crc32(b"leaf:" + "/".join(last).encode("utf-8", "replace")) % PATHS]))
+        return list(dict.fromkeys([*self.seen, zlib.crc32(b"leaf:" + "/".join(self.last).encode("utf-8", "replace")) % PATHS]))
 
 
 class Leaf:
@@ -87,10 +97,19 @@ class Leaf:
 
 
 def leaves(html: str | None) -> list[Leaf]:
-    """The leaf sequence of a page; blocks without text are left out."""
+    """The leaf sequence of a page; blocks without text are left out.
+
+    An open svg or math ends at the tags that end foreign content in the HTML
+    standard, and at ``</p>`` and ``</br>``, unless an element of it with HTML
+    content (foreignObject, desc, annotation-xml) is open.  The standard's
+    text points of math (mi and the like) hold nothing back here, so a page
+    that leaves one open loses no text after it.
+    """
     out: list[Leaf] = []
     top = Path(None, ())
     stack: list[tuple[str, Path]] = []
+    count: collections.Counter[str] = collections.Counter()  # open elements of each tag
+    marks: list[int] = []  # places of open svg, math and islands
     held: list[str] = []
     at, hidden, linked, link = 0, 0, False, 0
     html = html or ""
@@ -106,7 +125,19 @@ def leaves(html: str | None) -> list[Leaf]:
 
     def pop() -> None:
         nonlocal hidden
-        hidden -= stack.pop()[0] in HIDDEN_TAGS
+        tag = stack.pop()[0]
+        count[tag] -= 1
+        hidden -= tag in HIDDEN_TAGS
+        if marks and marks[-1] == len(stack):
+            marks.pop()
+
+    def foreign() -> bool:
+        return bool(marks) and stack[marks[-1]][0] in FOREIGN_TAGS
+
+    def leave_foreign() -> None:
+        flush()
+        while foreign():
+            pop()
 
     def keep(raw: str) -> None:
         nonlocal link
@@ -132,24 +163,28 @@ def leaves(html: str | None) -> list[Leaf]:
         if found[1]:
             if tag == "a":
                 linked = False
-            if tag in BLOCK_TAGS or tag in HIDDEN_TAGS:
+            if tag in ("p", "br") and foreign():
+                leave_foreign()
+            if tag in BLOCK_TAGS or tag in HIDDEN_TAGS or (marks and tag in ISLANDS):
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        hidden -= sum(t in HIDDEN_TAGS for t, _ in stack[i:])
-                        del stack[i:]
+                while count[tag]:
+                    if stack[-1][0] == tag:
+                        pop()
                         break
+                    pop()
             continue
+        if marks and foreign() and (tag in BREAKOUT_TAGS or tag == "font" and _FONT.search(found[3])):
+            leave_foreign()
         if stack and stack[-1][0] == "head" and tag not in HEAD_TAGS:
             pop()
         if tag == "a":
             linked = True
-        if tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS:
+        if tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS and not (marks and tag in ISLANDS):
             continue
         flush()
         if tag in VOID_TAGS:
             continue
-        if found[3].endswith("/") and not _UNQUOTED_END.search(found[3]) and (tag in FOREIGN_TAGS or any(t in FOREIGN_TAGS for t, _ in stack)):
+        if found[3].endswith("/") and not _UNQUOTED_END.search(found[3]) and (tag in FOREIGN_TAGS or marks):
             continue
         ends = CLOSES.get(tag, ())
         while stack and (stack[-1][0] in ends or stack[-1][0] == "p"):
@@ -163,7 +198,10 @@ def leaves(html: str | None) -> list[Leaf]:
             continue
         named = [p.lower() for m in _NAMED.findall(found[3]) for p in _PART.findall("".join(m))] if "=" in found[3] else []
         stack.append((tag, Path(stack[-1][1] if stack else None, (tag, *(f".{p}" for p in named)))))
+        count[tag] += 1
         hidden += tag in HIDDEN_TAGS
+        if tag in FOREIGN_TAGS or tag in ISLANDS:
+            marks.append(len(stack) - 1)
     flush()
     return out
 

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import struct
 import zipfile
+import time
 import zlib
 
 import numpy as np
@@ -93,12 +94,37 @@ def test_broken_markup(page):
 
 def test_deep_nesting_shares_paths():
     blocks = html_blocks.leaves("<div class=x>a" * 3000)
-    assert len(blocks) == 3000 and blocks[-1].path.size == 6000 and blocks[-1].path.above is blocks[-2].path
+    assert len(blocks) == 3000 and blocks[-1].path.size == 6000 and blocks[-1].path.seen is blocks[-2].path.seen
     own = html_blocks.leaves("<section id=main-part><p>a")[0].path
     parts = ["section", ".main", ".part", "p"]
     assert sorted(own.buckets()) == sorted({*(zlib.crc32(p.encode()) % html_blocks.PATHS for p in parts), zlib.crc32(b"leaf:.part/p") % html_blocks.PATHS})
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<svg><path d='x'><p>Main text</p><p>more</p>", ["Main text", "more"]),
+    ("<svg width=1/><b>bold</b> text", ["bold text"]),
+    ("<p>a<math><mi>x</p><p>b</p>", ["a", "b"]),
+    ("<svg><foreignObject><p>in</p><div>too</div></foreignObject><text>t</text></svg><p>out</p>", ["out"]),
+    ("<svg><desc><p>in</desc><g></svg>out", ["out"]),
+    ("<p>a <svg><title>t</title><g/><text>no</text></svg> b</p>", ["a", "b"]),
+    ("<svg><font>x</font><font color=red>y</font>z", ["yz"]),
+    ("<svg><svg><math><a>x</a></br>y", ["y"]),
+    ("<math><svg><table><tr><td>cell", ["cell"]),
+    ("<template><svg><p>still hidden</p></svg></template>shown", ["shown"]),
+    ("</svg></math>a</foreignobject>b", ["ab"]),
+])
+def test_foreign_content_ends(page, texts):
+    assert [b.text for b in html_blocks.leaves(page)] == texts
+
+
+def test_deep_and_unmatched_markup_is_linear():
+    began = time.perf_counter()
+    for page, n in (("<div>x" * 100_000, 100_000), ("<div>x" * 30_000 + "</section>" * 30_000, 30_000), ("<svg>" * 30_000 + "<g/>" * 30_000 + "<p>x", 1)):
+        blocks = html_blocks.leaves(page)
+        assert len(blocks) == n and len(html_blocks.Page(blocks).paths) == n
+    assert time.perf_counter() - began < 30
+
+
 def test_main_text_of_generated_pages(model):
     """Whole texts against the generator's marks, on pages that training doesn't see, in whole and broken markup."""
     right, n = 0, 120
