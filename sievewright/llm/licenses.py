@@ -43,6 +43,22 @@ NOTICES = (
     ("licensed under cc by sa 4 0", "cc-by-sa", "cc by sa"),
     ("redistribution and use in source and binary forms with or without modification", "bsd", ""),
     ("subject to the terms of the mozilla public license", "mpl", "mozilla"),
+    ("licensed under cc by nd 4 0", "cc-by-nd", "cc by nd"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa", "cc by nc sa"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd", "cc by nc nd"),
+    ("creative commons attribution 4 0 international", "cc-by", "attribution 4"),
+    ("creative commons attribution sharealike 4 0 international", "cc-by-sa", "attribution sharealike"),
+    ("creative commons attribution noderivatives 4 0 international", "cc-by-nd", "attribution noderivatives"),
+    ("creative commons attribution noncommercial 4 0 international", "cc-by-nc", "attribution noncommercial 4"),
+    ("creative commons attribution noncommercial sharealike 4 0 international", "cc-by-nc-sa", "noncommercial sharealike"),
+    ("creative commons attribution noncommercial noderivatives 4 0 international", "cc-by-nc-nd", "noncommercial noderivatives"),
+    ("cc0 1 0 universal", "cc0", "cc0"),
+    ("released under the isc license", "isc", "isc"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", ""),
+    ("gnu affero general public license", "agpl", "affero"),
+    ("eclipse public license", "epl", "eclipse"),
+    ("altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "zlib", ""),
+    ("this is free and unencumbered software released into the public domain", "unlicense", ""),
 )
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)

@@ -36,7 +36,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,9 @@ def test_licenses(spark, docs, empty):
 
 @pytest.mark.parametrize("text,labels", [
     ("Licensed under the Apache Licence, Version 2.0", "apache"), ("Relesed under the MIT Licens", "mit"), ("MIT license MIT license", "mit"), ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
-    ("licensed under the gnu genral public license", "gpl"), ("a plain sentence", ""), ("Redistribution and use in source and binary forms, with or without modifications", "bsd"),
+    ("licensed under the gnu genral public license", "gpl"), ("a plain sentence", ""), ("Licensed under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa"), ("Licensed under CC BY-NC-ND 4.0", "cc-by,cc-by-nc-nd"), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "cc-by-nc-sa"),
+    ("Creative Commons Attribution 4.0 Internatonal", "cc-by"), ("CC0 1.0 Universal", "cc0"), ("the GNU Affero General Public License", "agpl"), ("Eclipse Public Licence", "epl"), ("This is free and unencumbered software, released into the public domain.", "unlicense"),
+    ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "zlib"), ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"), ("Redistribution and use in source and binary forms, with or without modifications", "bsd"),
 ])
 def test_fuzzy_notices(text, labels):
     assert licenses.Scanner().scan(text)["labels"] == labels
@@ -56,8 +58,8 @@ def test_pigeonhole_finds_what_a_full_search_finds():
 
 
 @pytest.mark.parametrize("text,labels,score", [
-    ("Released under the ISC license", "", 0.0), ("released under the BSD license", "", 0.0), ("Licensed under CC BY-ND 4.0", "cc-by", 1.0),
-    ("released under the isc license released under the mit licence", "mit", 1 - 1 / 30), ("licensed under the gnu lesser general public license", "lgpl", 1.0),
+    ("Released under the ISC license", "isc", 1.0), ("released under the BSD license", "", 0.0), ("Licensed under CC BY-ND 4.0", "cc-by,cc-by-nd", 1.0),
+    ("released under the bsd license released under the mit licence", "mit", 1 - 1 / 30), ("licensed under the gnu lesser general public license", "lgpl", 1.0),
 ])
 def test_edits_cannot_change_the_licence(text, labels, score):
     found = licenses.Scanner().scan(text)
