@@ -20,7 +20,7 @@ from ..functions import tables as T
 from ..functions.arrow import split_paragraphs
 from ..functions.numbers import dot, hex_id, rounded
 from ..functions.text import lexical_tokens, not_blank, quoted, token_estimate
-from ..sources.store import scratch
+from ..sources.store import scratch, written
 
 CHUNKING = "v1"
 
@@ -327,17 +327,32 @@ def assess_evidence(plans: DataFrame, ranked: DataFrame, least: float = 0.08) ->
     return done.select("query_id", ok.alias("sufficient"), "reason", F.when(ok, "evidence_sufficient").when(F.col("reason") == "policy_scope", "policy_scope").otherwise("evidence_insufficient").alias("stop_reason"))
 
 
-def answer_questions(questions: DataFrame, corpus: DataFrame, year: int, least: float = 0.08, k: int = 10) -> tuple[DataFrame, DataFrame]:
+def search(mode: str, queries: DataFrame, corpus: DataFrame, k: int = 10, embed=None) -> DataFrame:
+    """:func:`retrieve` over a corpus (chunk_id, text); ``embed`` is the embedder of dense and hybrid modes."""
+    if mode == "bm25":
+        return retrieve(mode, queries, Bm25(corpus), k=k)
+    if embed is None:
+        raise ValueError(f"mode {mode} needs an embedder")
+    index = Bm25(corpus) if mode == "hybrid" else None
+    return retrieve(mode, queries.withColumn("qv", embed("text")), index, corpus.select("chunk_id", embed("text").alias("v")), k)
+
+
+def answer_questions(questions: DataFrame, corpus: DataFrame, year: int, least: float = 0.08, k: int = 10, mode: str = "bm25", embed=None) -> tuple[DataFrame, DataFrame]:
     """Plan, retrieve a round for each subquery, fuse and assess: (ranked, assessments).
 
-    corpus(chunk_id, article_id, text); questions(query_id, text).
+    corpus(chunk_id, article_id, text); questions(query_id, text).  Only
+    comparisons of several rounds put the rounds' leaders first.
     """
-    plans = plan_questions(questions, year)
-    # the outer form: an inner explode would push a filter on the array below the planning and repeat it there
-    rounds = plans.select("query_id", "preflight_reason", F.posexplode_outer("subqueries").alias("round", "text")).where("preflight_reason is null")
-    asked = rounds.select(F.struct("query_id", "round").alias("query_id"), "text")
-    found = Bm25(corpus).top(asked, k).select(F.col("query_id.query_id").alias("q"), F.col("query_id.round").alias("round"), "chunk_id", "score").withColumnRenamed("q", "query_id")
-    ranked = fuse_rounds(found.join(corpus, "chunk_id").select("query_id", "round", "chunk_id", "article_id", "text", "score"))
+    return answer_planned(written(plan_questions(questions, year), "plans"), corpus, least, k, mode, embed)
+
+
+def answer_planned(plans: DataFrame, corpus: DataFrame, least: float = 0.08, k: int = 10, mode: str = "bm25", embed=None) -> tuple[DataFrame, DataFrame]:
+    """:func:`answer_questions` of questions that have their plans."""
+    rounds = plans.select("query_id", "preflight_reason", (F.col("route") == "comparison").alias("_lead"), F.size("subqueries").alias("_n"), F.posexplode("subqueries").alias("round", "text")).where("preflight_reason is null")
+    asked = rounds.select(F.struct("query_id", "round", (F.col("_lead") & (F.col("_n") > 1)).alias("lead")).alias("query_id"), "text")
+    found = search(mode, asked, corpus.select("chunk_id", "text"), k, embed).select("query_id.*", "chunk_id", "score")
+    found = found.join(corpus, "chunk_id").select("query_id", "lead", "round", "chunk_id", "article_id", "text", "score")
+    ranked = fuse_rounds(found.where("lead").drop("lead"), k).unionByName(fuse_rounds(found.where("NOT lead").drop("lead"), k, leaders=False))
     return ranked, assess_evidence(plans, ranked, least)
 
 

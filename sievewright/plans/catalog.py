@@ -369,7 +369,7 @@ def chunk_fixed(spark, sf):
 
 @query(rf"""WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS article_id, array_to_string(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(p, '^{WS}+|{WS}+$', '', 'g')), lambda p: p <> ''), chr(10) || chr(10)) AS whole FROM documents),
   b AS (SELECT article_id, whole, length(whole) AS n FROM d WHERE whole <> ''),
-  k AS (SELECT article_id, list(at ORDER BY at) AS breaks FROM (SELECT article_id, sum(length(p) + 2) OVER (PARTITION BY article_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 2 AS at, i, count(*) OVER (PARTITION BY article_id) AS parts FROM (SELECT article_id, unnest(string_split(whole, chr(10) || chr(10))) AS p, generate_subscripts(string_split(whole, chr(10) || chr(10)), 1) AS i FROM b)) WHERE i < parts GROUP BY article_id),
+  k AS (SELECT article_id, list(ends ORDER BY ends) AS breaks FROM (SELECT article_id, sum(length(p) + 2) OVER (PARTITION BY article_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 2 AS ends, i, count(*) OVER (PARTITION BY article_id) AS parts FROM (SELECT article_id, unnest(string_split(whole, chr(10) || chr(10))) AS p, generate_subscripts(string_split(whole, chr(10) || chr(10)), 1) AS i FROM b)) WHERE i < parts GROUP BY article_id),
   s AS (SELECT article_id, 0::BIGINT AS low, CASE WHEN n <= 900 THEN n ELSE coalesce(list_max(list_filter(breaks, lambda x: x >= 450 AND x + 2 <= 900)), 900) END::BIGINT AS high, n, breaks FROM b LEFT JOIN k USING (article_id)
     UNION ALL SELECT article_id, low, CASE WHEN low + 900 >= n THEN n ELSE coalesce(list_max(list_filter(breaks, lambda x: x >= low + 450 AND x + 2 <= low + 900)), low + 900) END::BIGINT, n, breaks FROM (SELECT article_id, greatest(low + 1, high - 120) AS low, n, breaks FROM s WHERE high < n)),
   c AS (SELECT s.article_id, low, regexp_replace(substring(whole, low + 1, high - low), '^{WS}+|{WS}+$', '', 'g') AS piece FROM s JOIN b USING (article_id)), r AS (SELECT *, (row_number() OVER (PARTITION BY article_id ORDER BY low) - 1)::INT AS position FROM c WHERE piece <> '')

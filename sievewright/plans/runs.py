@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import briefs, dedup, guardrails, lineage, selection
+from ..operators import briefs, dedup, evalruns, guardrails, lineage, selection
 from ..sources import store
-from .catalog import HASH, SQL, TOPIC_SQL, articles, hashed, query, table, topical, with_ready
+from .catalog import BM25, HASH, SQL, TOPIC_SQL, articles, corpus, hashed, query, questions, table, topical, with_ready
 
 #: Collected some hours after publication.
 LAG = "(ord * 37) % 200"
@@ -76,3 +76,59 @@ def requests(spark, sf):
 def guarded_requests(spark, sf):
     """Budget, leases, quotas and final states of all requests, ledger by ledger."""
     return guardrails.guarded(requests(spark, sf), LIMITS).select("ledger", "ord", "request_id", "action", "outcome", "committed")
+
+
+#: A question counts as answered by its evidence from three quarters of this score on.
+LEAST = 160.0
+
+
+def gold(spark, sf):
+    """(query_id, article_id): the documents that hold a question's passage.
+
+    Documents and passages meet by a passage's first three words.
+    """
+    first = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 3), " ")
+    asked = questions(spark, sf).select("query_id", F.col("text").alias("passage"), first(F.col("text")).alias("_gram"))
+    words = table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit(r"[^\s]+"), 0).alias("_w"))
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - 2)), lambda i: F.array_join(F.slice("_w", i, 3), " "))
+    met = words.select("doc_id", F.explode(F.array_distinct(starts)).alias("_gram")).join(asked, "_gram").select("query_id", "doc_id", "passage").distinct()
+    return met.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("article_id"))
+
+
+def cases(spark, sf):
+    expected = gold(spark, sf)
+    known = expected.select("query_id").distinct().withColumn("answerable", F.lit(True))
+    asked = questions(spark, sf).join(known, "query_id", "left").select("query_id", "text", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.coalesce("answerable", F.lit(False)).alias("answerable"))
+    return store.written(evalruns.run_cases(asked, expected, corpus(spark, sf).select("chunk_id", F.col("chunk_id").alias("article_id"), "text"), 2024, least=LEAST), "cases")
+
+
+_MEAN = "floor(avg({}) * {}.0::DOUBLE + 0.5::DOUBLE) / {}.0::DOUBLE"
+
+
+@query(BM25 + f""", e AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), n AS (SELECT query_id, count(*) AS n FROM e GROUP BY 1), t AS (SELECT query_id, max(score) AS top FROM bm GROUP BY 1),
+  h AS (SELECT e.query_id, count_if(rank <= 5) AS h5, count(rank) AS h10, min(rank) AS best, coalesce(sum(1.0::DOUBLE / log2(rank + 1)), 0) AS dcg FROM e LEFT JOIN bm ON bm.query_id = e.query_id AND bm.chunk_id = e.doc_id GROUP BY 1),
+  z AS (SELECT item_id AS query_id, n.n, h5, h10, best, dcg, coalesce(top, 0) AS top, list_sum(list_transform(range(1, least(n.n, 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) AS ideal FROM benchmark LEFT JOIN n ON n.query_id = item_id LEFT JOIN h ON h.query_id = item_id LEFT JOIN t ON t.query_id = item_id)
+  SELECT count(*) AS questions, {_MEAN.format("h5 / n", 10000, 10000)} AS recall_at_5, {_MEAN.format("h10 / n", 10000, 10000)} AS recall_at_10, {_MEAN.format("CASE WHEN n > 0 THEN (h5 > 0)::INT::DOUBLE END", 10000, 10000)} AS hit_at_5,
+  {_MEAN.format("CASE WHEN n > 0 THEN coalesce(1.0::DOUBLE / best, 0) END", 10000, 10000)} AS mrr, {_MEAN.format("dcg / ideal", 10000, 10000)} AS ndcg_at_10, {_MEAN.format(f"CASE WHEN n IS NULL THEN (top < {LEAST} * 0.75)::INT::DOUBLE END", 10000, 10000)} AS no_answer_accuracy,
+  {_MEAN.format(f"CASE WHEN n IS NULL THEN (top < {LEAST})::INT::DOUBLE END", 10000, 10000)} AS low_score_refusal_accuracy, {_MEAN.format(f"CASE WHEN n > 0 THEN (top >= {LEAST} * 0.75)::INT::DOUBLE END", 10000, 10000)} AS answerable_pass_rate, 1.0::DOUBLE AS average_rounds FROM z""")
+def evaluation_run(spark, sf):
+    """All questions, planned, looked up, judged and measured."""
+    return evalruns.run_report(cases(spark, sf), LEAST)
+
+
+def reviewed_packet(spark, sf):
+    """The answers' packet, written, reviewed and merged back; an answer is a conversation's first one, with citations added."""
+    said = table(spark, sf, "conversations").where("role = 'assistant'").groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("answer"))
+    said = said.where("query_id % 5 <> 0").withColumn("answer", F.concat("answer", F.lit(" One claim [1]. Another [2][9]! Head:")))
+    packet = store.written(evalruns.review_packet(cases(spark, sf), corpus(spark, sf), articles(spark, sf).select(F.col("ord").alias("article_id"), "title"), said), "packet")
+    path = store.scratch(spark, "packet")
+    evalruns.write_packet(packet, path)
+    back = evalruns.read_packet(spark, path, packet.schema)
+    marked = back.withColumns({"answer_correct": F.col("query_id") % 3 != 0, "answer_complete": F.lit(True), "supported": F.transform("claims", lambda c: c["claim"] % 4 != 0)})
+    return evalruns.merge_reviews(back, marked)
+
+
+@query()
+def review_packets(spark, sf):
+    """Summary of all answers' reviewed packet."""
+    return evalruns.packet_summary(reviewed_packet(spark, sf))

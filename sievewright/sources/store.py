@@ -171,6 +171,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/store/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: what they took is done once, and no later filter is pushed into it."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def to_json(rows: DataFrame) -> DataFrame:
     """One deterministic JSON text a row, fields by name."""
     return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
