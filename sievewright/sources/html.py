@@ -183,7 +183,11 @@ LINES = {"article", "blockquote", "br", "div", "h1", "h2", "h3", "li", "p", "sec
 
 
 def readable_text(html: str, longest: int | None = 12_000) -> str:
-    """Lines of readable text, white space made single, cut to ``longest`` characters; None keeps all."""
+    """Lines of readable text, white space made single, cut to ``longest`` characters; None keeps all.
+
+    An unread element reaches to its own end tag; end tags of other elements
+    don't end it.
+    """
     parts = [p if kind == "text" else "\n" * (p.tag in LINES and not (kind == "out" and p.tag in VOID)) for kind, p in tree(html).events(lambda node: node.tag not in UNREAD)]
     lines = (" ".join(x.split()) for x in "".join(parts).splitlines())
     return "\n".join(filter(None, lines))[:longest]

@@ -3,10 +3,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sievewright.functions import tables
 from sievewright.operators import selection
 from sievewright.plans import catalog
 
 TOTAL, FOCUS = 10, ("data-agent", "data-platform")
+COLUMNS = "source_id string, content_hash string, canonical_url string, content_score double, ord long, incoming boolean, _ready boolean, _at long, _relevance double, _age double, _topics array<string>"
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -20,14 +22,48 @@ def test_contenders_are_enough(spark, seed):
             f"s{draw.randrange(3)}", f"copy{draw.randrange(3)}" if copy else f"h{draw.randrange(900)}", f"u{i}", draw.randrange(50, 60) / 60 if copy else draw.randrange(50) / 60, i, draw.random() < 0.4,
             draw.random() < 0.1, draw.randrange(100), draw.randrange(10) / 10, draw.randrange(20) / 1.0, draw.sample([*FOCUS, "other"], draw.randrange(3)),
         ))
-    frame = spark.createDataFrame(rows, "source_id string, content_hash string, canonical_url string, content_score double, ord long, incoming boolean, _ready boolean, _at long, _relevance double, _age double, _topics array<string>")
+    frame = spark.createDataFrame(rows, COLUMNS)
 
-    def choice(some):
-        some = [{"source_id": r[0], "content_hash": r[1], "canonical_url": r[2], "score": r[3], "ord": r[4], "incoming": r[5], "ready": r[6], "at": r[7], "relevance": r[8], "age_days": r[9], "topics": set(r[10])} for r in some]
-        return [some[i]["canonical_url"] for i in selection.merge_choice(some, TOTAL, 5, 3, 6, FOCUS)]
+    frame = frame.repartition(4)
+    cut = selection.contenders(frame, TOTAL, FOCUS, 3)
+    few = [tuple(r) for r in cut.select(frame.columns).collect()]
+    assert chosen(few) == scan(rows) == chosen(rows) and len(few) < len(rows)
 
-    cut = selection.contenders(frame, TOTAL, FOCUS)
-    assert choice([tuple(r) for r in cut.select(frame.columns).collect()]) == choice(rows) and cut.count() < len(rows)
+
+def chosen(some):
+    some = [{"source_id": r[0], "content_hash": r[1], "canonical_url": r[2], "score": r[3], "ord": r[4], "incoming": r[5], "ready": r[6], "at": r[7], "relevance": r[8], "age_days": r[9], "topics": set(r[10])} for r in some]
+    return [some[i]["canonical_url"] for i in selection.merge_choice(some, TOTAL, 5, 3, 6, FOCUS)]
+
+
+def scan(rows, source_cap=5, academic_cap=3, ready_wanted=6):
+    """URLs by definition: each step looks at all rows that may still be taken and takes the best one."""
+    taken = []
+
+    def free(r):
+        cap = academic_cap if r[0] == tables.ACADEMIC_SOURCE else source_cap
+        return len(taken) < TOTAL and r not in taken and r[1] not in [t[1] for t in taken] and sum(t[0] == r[0] for t in taken) < cap
+
+    for topic in sorted(FOCUS):
+        week = [r for r in rows if r[5] and r[9] <= 7 and r[8] >= 0.5 and topic in r[10]]
+        if week:
+            best = max(week, key=lambda r: (r[8], r[7], r[3], -r[4]))
+            taken += [best] * free(best)
+    while sum(t[6] for t in taken) < ready_wanted and (open_ := [r for r in rows if r[6] and free(r)]):
+        taken.append(max(open_, key=lambda r: (r[7], r[3], -r[4])))
+    while open_ := [r for r in rows if free(r)]:
+        taken.append(max(open_, key=lambda r: (r[3], r[7], -r[4])))
+    return [r[2] for r in sorted(taken, key=lambda r: (-r[6], -r[7], -r[3], r[4]))]
+
+
+@pytest.mark.parametrize("copies", [0.0, 0.95])
+def test_contenders_of_many_sources_are_few(spark, copies):
+    """Thousands of sources with a row or two each, most of them copies of few contents."""
+    draw = random.Random(9)
+    rows = [(f"s{draw.randrange(2500)}", f"copy{draw.randrange(4)}" if draw.random() < copies else f"h{i}", f"u{i}", draw.randrange(50) / 50, i, True, draw.random() < 0.5, draw.randrange(100), draw.randrange(10) / 10, 3.0, [draw.choice(FOCUS)]) for i in range(5000)]
+    frame = spark.createDataFrame(rows, COLUMNS)
+    few = [tuple(r) for r in selection.contenders(frame, TOTAL, FOCUS, 3).select(frame.columns).collect()]
+    assert len(few) <= (len(FOCUS) + 2) * TOTAL * (2 * (TOTAL // 3) + 2)
+    assert chosen(few) == scan(rows)
 
 
 def test_rows_below_a_large_copy_group(spark):
