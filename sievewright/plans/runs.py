@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import briefs, dedup, evalruns, guardrails, lineage, selection
-from ..sources import store
+from ..functions.arrow import hashing_embedder
+from ..operators import briefs, dedup, evalruns, guardrails, lineage, retrieval, selection
+from ..sources import plugins, store
 from .catalog import BM25, HASH, SQL, TOPIC_SQL, articles, corpus, hashed, query, questions, table, topical, with_ready
 
 #: Collected some hours after publication.
@@ -132,3 +133,32 @@ def reviewed_packet(spark, sf):
 def review_packets(spark, sf):
     """Summary of all answers' reviewed packet."""
     return evalruns.packet_summary(reviewed_packet(spark, sf))
+
+
+@query()
+def page_links(spark, sf):
+    """Links of all pages, by the table function over the html column."""
+    plugins.register(spark)
+    pages = table(spark, sf, "pages").select("page_id", "url", "html").withColumnRenamed("url", "page")
+    return spark.sql("SELECT p.page_id, i.url, i.title, i.summary, i.ord FROM {pages} p, LATERAL page_items(p.html, p.page, 'listing') i", pages=pages)
+
+
+@query()
+def page_listings(spark, sf):
+    """Links of all pages, written as JSON lines and read by the data source."""
+    plugins.register(spark)
+    path = store.scratch(spark, "pages")
+    table(spark, sf, "pages").select("url", "html").write.json(path)
+    return spark.read.format(plugins.NAME).option("reader", "listing").load(path).select("page", "url", "title", "ord")
+
+
+@query()
+def embedded_index(spark, sf):
+    """Documents cut into chunks, embedded, written as an index and read back: the nearest chunks of each question."""
+    embed = hashing_embedder()
+    chunks = retrieval.chunk_paragraphs(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text"))
+    path = store.scratch(spark, "index")
+    store.write_index(store.build_index(chunks, embed), path, "snapshot-1", "hashing-384", 384, retrieval.CHUNKING)
+    index = store.load_index(spark, path, "hashing-384", 384, retrieval.CHUNKING)
+    found = retrieval.dense_top(index.select(F.col("id").alias("chunk_id"), F.col("vector").alias("v")), questions(spark, sf).select("query_id", embed("text").alias("qv")), 5)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
