@@ -18,7 +18,7 @@ def rows(frame):
         elif out[c].dtype == float:
             out[c] = out[c].map(lambda x: "nan" if x != x else f"{x:.9g}")
         else:
-            out[c] = out[c].astype(str)
+            out[c] = out[c].astype(str).replace("<NA>", "nan")
     return sorted(map(tuple, out.values.tolist()))
 
 
