@@ -352,6 +352,7 @@ def answer_planned(plans: DataFrame, corpus: DataFrame, least: float = 0.08, k:
     asked = rounds.select(F.struct("query_id", "round", (F.col("_lead") & (F.col("_n") > 1)).alias("lead")).alias("query_id"), "text")
     found = search(mode, asked, corpus.select("chunk_id", "text"), k, embed).select("query_id.*", "chunk_id", "score")
     found = found.join(corpus, "chunk_id").select("query_id", "lead", "round", "chunk_id", "article_id", "text", "score")
+    found = written(found, "rounds")  # k rows of a round: read by both kinds of ranking and by the verdicts
     ranked = fuse_rounds(found.where("lead").drop("lead"), k).unionByName(fuse_rounds(found.where("NOT lead").drop("lead"), k, leaders=False))
     return ranked, assess_evidence(plans, ranked, least)
 
