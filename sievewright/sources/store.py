@@ -72,14 +72,24 @@ def _pointers(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(f.getPath().getName()) for f in files.listStatus(path) if f.getPath().getName().isdigit())
 
 
+def _version(spark: SparkSession, root: str, snapshot_id: str | None) -> str:
+    """The version asked for, or the current one."""
+    if snapshot_id is not None:
+        return snapshot_id
+    numbers = _pointers(spark, root)
+    if not numbers:
+        raise FileNotFoundError(f"nothing is published in {root}")
+    return spark.read.schema("snapshot_id string").json(f"{root}/pointers/{numbers[-1]:012d}").first().snapshot_id
+
+
+def has(spark: SparkSession, root: str, name: str, snapshot_id: str | None = None) -> bool:
+    """Has a version, the current one by default, the collection."""
+    return _exists(spark, f"{root}/versions/{_version(spark, root, snapshot_id)}/{name}")
+
+
 def load(spark: SparkSession, root: str, name: str, snapshot_id: str | None = None) -> DataFrame:
     """A collection of a version, the current one by default."""
-    if snapshot_id is None:
-        numbers = _pointers(spark, root)
-        if not numbers:
-            raise FileNotFoundError(f"nothing is published in {root}")
-        snapshot_id = spark.read.schema("snapshot_id string").json(f"{root}/pointers/{numbers[-1]:012d}").first().snapshot_id
-    return spark.read.parquet(f"{root}/versions/{snapshot_id}/{name}")
+    return spark.read.parquet(f"{root}/versions/{_version(spark, root, snapshot_id)}/{name}")
 
 
 def camel(name: str) -> str:
