@@ -15,10 +15,12 @@
    fewer than n edges and loses no connection.
 4. The links' connected components name the groups.
 
-With ``similar``, a link must also have an exact Jaccard similarity of its two
-whole shingle sets.  Sets lie in the shared folder, written by the task that
-makes them; a comparing task reads those of fingerprints within the radius
-that nothing has connected yet.
+:func:`keep_one` pairs its wide fingerprints by bands of least hashes instead
+of tiles, so its work grows with the texts and their likeness and not with
+the square of the texts.  A link must also have an exact Jaccard similarity
+of its two whole shingle sets.  Sets lie in the shared folder, written by the
+task that makes them; a comparing task reads those of fingerprints within the
+radius that nothing has connected yet.
 
 The driver sees the histogram of population counts alone, whose size doesn't
 depend on the data.  Equal fingerprints, or sets, are one node, so exact
@@ -36,8 +38,9 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from .common import discard, get_arrays, held_by_worker, open_read, open_write, put_arrays, release, scratch, slices, stage, utf8
 from .components import Forest, connected_components
@@ -53,9 +56,13 @@ SET_SHINGLE = 5
 SIMILAR = (4, 5)
 WIDE = 4
 WIDE_RADIUS = 80
+#: Bands of least hashes, and hashes of a band: sets of similarity 0.8 have no band in common with a probability of
+#: (1 - 0.8 ** 4) ** 28, four in ten million.
+BANDS, BAND = 28, 4
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _HIGH = ~np.uint64((1 << 24) - 1)
+_LEAST = np.random.default_rng(43).integers(0, 1 << 31, BANDS * BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ODD = (np.random.default_rng(42).integers(0, 1 << 63, 16 + WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -125,6 +132,21 @@ def wide_print(members: np.ndarray) -> np.ndarray:
     return majority(mixed ^ (mixed >> np.uint64(32)))
 
 
+def band_keys(members: np.ndarray) -> np.ndarray:
+    """Names of a set's bands, BANDS signed longs; none for the empty set.  A band is BAND least hashes of the set."""
+    if not len(members):
+        return np.empty(0, np.int64)
+    mixed = (((members ^ (members >> np.uint64(33))) * _ODD[1]) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND, 0xFFFFFFFF, np.uint32)
+    for low in range(0, len(mixed), 512):
+        np.minimum(least, (_LEAST[:, None] * mixed[low : low + 512]).min(1), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T.astype(np.uint64):
+        out = (out ^ column) * _ODD[2]
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
 def node_of(members: np.ndarray) -> int:
     """The signed 64-bit name of a set; of the empty set: 0."""
     return int(np.uint64(xxhash.xxh64_intdigest(members.tobytes(), 42)).view(np.int64)) if len(members) else 0
@@ -303,6 +325,78 @@ def compare_blocks(written: DataFrame, offsets: list[tuple[int, int]], load: Cal
     return pairs.repartition(parts, "one", "two").sortWithinPartitions("one").mapInArrow(run, "u long, v long")
 
 
+def link_unlike(rows: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, radius: int, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (node, node) between places ``one`` and ``two`` of ``rows`` that have unlike roots."""
+    names, group = np.unique(rows["root"], return_inverse=True)
+    trees, us, vs = Forest(len(names)), [], []
+    most = np.bincount(group).argmax()
+    own = group[one] == most
+    for left, right in ((one[~own], two), (one[own], two[group[two] != most])):
+        step = max(1, (4 << 20) // max(1, len(right)))
+        for low in range(0, len(left), step):
+            x, y = np.nonzero(_distance(rows["prints"][left[low : low + step]], rows["prints"][right]) <= radius)
+            x, y = left[low + x], right[y]
+            n, m = rows["n"][x], rows["n"][y]
+            fits = (group[x] != group[y]) & (np.minimum(n, m) * similar[1] >= np.maximum(n, m) * similar[0])
+            x, y = x[fits], y[fits]
+            while len(x):  # in each turn a spanning forest of what is still apart is compared
+                p, q = trees.roots(group[x]), trees.roots(group[y])
+                open_ = p != q
+                x, y, p, q = x[open_], y[open_], p[open_], q[open_]
+                tried = Forest(len(names)).join_all(p, q)
+                hit = [similar_sets(*(_read_set(str(rows["uri"][k]), int(rows["at"][k]), int(rows["n"][k])) for k in pair), similar) for pair in zip(x[tried], y[tried])]
+                i, k = x[tried][hit], y[tried][hit]
+                trees.join_all(group[i], group[k])
+                us.append(rows["node"][i])
+                vs.append(rows["node"][k])
+                x, y = np.delete(x, tried), np.delete(y, tried)
+    return np.concatenate([np.empty(0, np.int64), *us]), np.concatenate([np.empty(0, np.int64), *vs])
+
+
+def set_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similar: tuple[int, int] = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """nodes(node, p0.., uri, at, n, keys) without repeats -> (u, v) links that connect all similar sets that share a band.
+
+    1. Every set is compared with the smallest node of each of its bands.
+    2. Bands that still hold unlike components are compared whole, pairs of
+       one component left out, in pairs of pieces of about ``block`` sets.
+    """
+    words = [f"p{k}" for k in range(WIDE)]
+    band = Window.partitionBy("key")
+    keyed = nodes.select("node", F.explode("keys").alias("key")).withColumns({"lead": F.min("node").over(band), "size": F.count("*").over(band)})
+    shared = stage(keyed.where("size > 1"), "simhash-bands")
+    place = nodes.drop("keys")
+    side = lambda k: place.select(*(F.col(c).alias(f"{c}_{k}") for c in place.columns))
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))) for c in words])
+    fits = F.least("n_1", "n_2") * similar[1] >= F.greatest("n_1", "n_2") * similar[0]
+    stars = shared.where("lead <> node").select(F.col("lead").alias("node_1"), F.col("node").alias("node_2")).distinct()
+    stars = stars.join(side(1), "node_1").join(side(2), "node_2").where((apart <= radius) & fits)
+
+    def judge(batches):
+        release()
+        for batch in batches:
+            a, b = (zip(*(batch.column(f"{c}_{k}").to_pylist() for c in ("uri", "at", "n"))) for k in (1, 2))
+            hit = pa.array([similar_sets(_read_set(*x), _read_set(*y), similar) for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("node_1"), batch.column("node_2")], ["u", "v"]).filter(hit)
+        release()
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stage(stars.repartition(parts, "node_1").sortWithinPartitions("node_1").mapInArrow(judge, "u long, v long"), "simhash-stars")
+    root = connected_components(found).select("node", "root")
+    unlike = shared.where("size > 2").join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    unlike = unlike.withColumns({"low": F.min("root").over(band), "high": F.max("root").over(band)}).where("low <> high").join(place, "node")
+    pieces = F.ceil(F.col("size") / block).cast("int")
+    dealt = unlike.withColumns({"pieces": pieces, "s": F.pmod(F.xxhash64("node"), pieces).cast("int")}).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.withColumns({"one": F.least("s", "t"), "two": F.greatest("s", "t")}).drop("t", "pieces", "size", "low", "high")
+
+    def compare(key, table):
+        rows = {c: table.column(c).to_numpy() for c in ("node", "root", "at", "n", "s")} | {"uri": table.column("uri").to_numpy(zero_copy_only=False)}
+        rows["prints"] = np.stack([table.column(c).to_numpy() for c in words], 1).view(np.uint64)
+        u, v = link_unlike(rows, *(np.flatnonzero(rows["s"] == k.as_py()) for k in key[1:]), radius, similar)
+        return pa.table({"u": u, "v": v})
+
+    return found.unionByName(stage(dealt.groupBy("key", "one", "two").applyInArrow(compare, "u long, v long"), "simhash-unlike"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, fingerprint, component_id), a row for each row.
 
@@ -323,8 +417,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def _with_sets(docs: DataFrame, shingle: int, base: str) -> DataFrame:
-    """(row struct of the columns of docs, doc_id, place, node, p0.., uri, at, n), written; sets go to files in ``base``."""
-    places = ["node", *(f"p{k}" for k in range(WIDE)), "uri", "at", "n"]
+    """(row struct of the columns of docs, doc_id, place, node, p0.., uri, at, n, keys), written; sets go to files in ``base``."""
+    places = ["node", *(f"p{k}" for k in range(WIDE)), "uri", "at", "n", "keys"]
 
     def run(batches):
         release()
@@ -336,10 +430,10 @@ def _with_sets(docs: DataFrame, shingle: int, base: str) -> DataFrame:
                 members = shingle_set(text, shingle)
                 node = node_of(members)
                 if node not in seen:
-                    seen[node] = (node, *wide_print(members).view(np.int64).tolist(), uri, end, len(members))
+                    seen[node] = (node, *wide_print(members).view(np.int64).tolist(), uri, end, len(members), band_keys(members).tolist())
                     end += out.write(members.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes())  # the upper 40 bits
                 found.append(seen[node])
-            kinds = [pa.int64()] * (1 + WIDE) + [pa.string(), pa.int64(), pa.int64()]
+            kinds = [pa.int64()] * (1 + WIDE) + [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("row", "doc_id", "place")), *(pa.array(c, t) for c, t in zip(zip(*found), kinds))], ["row", "doc_id", "place", *places]
             )
@@ -352,7 +446,7 @@ def _with_sets(docs: DataFrame, shingle: int, base: str) -> DataFrame:
     )
     schema = rows.drop("text").schema
     for c in places:
-        schema = schema.add(c, "string" if c == "uri" else "long")
+        schema = schema.add(c, {"uri": StringType(), "keys": ArrayType(LongType())}.get(c, LongType()))
     return stage(rows.mapInArrow(run, schema), "simhash-rows")
 
 
@@ -361,7 +455,7 @@ def keep_one(docs: DataFrame, shingle: int = SET_SHINGLE, similar: tuple[int, in
 
     Texts are linked if their sets of ``shingle``-word shingles have a Jaccard
     similarity of ``similar`` or more: 256-bit fingerprints within WIDE_RADIUS
-    bits are candidates, whole sets decide.  Texts without words (null and
+    bits that share a band are candidates, whole sets decide.  Texts without words (null and
     empty ones too) are one group.  Of a group's rows that with the smallest
     doc_id stays, nulls last; of rows that repeat it, one.  A group is told by
     its texts alone, so rows of unlike texts that repeat a doc_id all stay.
@@ -371,9 +465,9 @@ def keep_one(docs: DataFrame, shingle: int = SET_SHINGLE, similar: tuple[int, in
     base = scratch(docs.sparkSession, "simhash-sets")
     rows = _with_sets(docs, shingle, base)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    places = F.struct("uri", "at", "n", *(f"p{k}" for k in range(WIDE)))
+    places = F.struct("uri", "at", "n", *(f"p{k}" for k in range(WIDE)), "keys")
     distinct = stage(rows.groupBy("node").agg(F.min(places).alias("x"), F.min(first).alias("first")), "simhash-sets-distinct")
-    found = stage(links(distinct.select("node", "x.*"), WIDE_RADIUS, block, similar), "simhash-set-links")
+    found = stage(set_links(distinct.select("node", "x.*"), WIDE_RADIUS, similar, block), "simhash-set-links")
     discard(docs.sparkSession, base)  # the links are written: nothing reads sets any more
     member = connected_components(found)
     lead = distinct.select("node", "first").join(member, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))

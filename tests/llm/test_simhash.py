@@ -142,6 +142,25 @@ def test_similar_sets_lie_within_the_radius(n):
     assert far <= simhash.WIDE_RADIUS
 
 
+def test_similar_sets_share_a_band():
+    rng = np.random.default_rng(3)
+    for n in (5, 9, 45, 900):
+        for _ in range(200):
+            one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) & simhash._HIGH)
+            assert np.intersect1d(simhash.band_keys(one), simhash.band_keys(one[: -(-4 * n // 5)])).size
+    assert not len(simhash.band_keys(np.empty(0, np.uint64)))
+
+
+def test_set_links_compares_no_unlike_texts(spark):
+    """Pairs that are looked at grow with likeness, not with the square of the texts."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)) + (" end" if i % 2 else "")) for i in range(400)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:50]]
+    base = simhash.scratch(spark, "sets")
+    nodes = simhash._with_sets(spark.createDataFrame(rows, "doc_id long, text string"), 5, base).select("node", *(f"p{k}" for k in range(simhash.WIDE)), "uri", "at", "n", "keys")
+    assert nodes.selectExpr("node", "explode(keys) key").groupBy("key").count().where("count > 2").isEmpty()
+    assert simhash.set_links(nodes).distinct().count() == 50
+
+
 def test_dense_cluster_links_are_few():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, dtype=np.uint64)
