@@ -115,3 +115,15 @@ def test_packets_of_the_tables(spark):
     assert got.citations == sum(len(c.cited) for c, _ in claims) and got.valid_citations == sum(len(c.valid) for c, _ in claims)
     assert got.citation_faithfulness == math.floor(sum(s for _, s in claims) / len(claims) * 1e4 + 0.5) / 1e4
     assert got.answer_correctness == math.floor(sum(r.query_id % 3 != 0 for r in generated) / len(generated) * 1e4 + 0.5) / 1e4
+
+
+def test_gold_finds_passages_that_begin_within_a_word(spark, tmp_path):
+    from sievewright.plans import runs
+
+    passages = [(1, "one two three four five six"), (2, "short one"), (3, "one two three four"), (4, "a  b\tc d e f"), (5, None)]
+    texts = [(10, "(one two three four five sixth"), (11, "a very short ones"), (12, "none two three four five"), (13, "xa  b\tc d e f"), (14, "one two three  four five six"), (15, None)]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(q, d) for q, p in passages for d, t in texts if p and t and p in t}
+    got = [tuple(r) for r in runs.gold(spark, str(tmp_path)).select("query_id", "article_id").collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) == 5
