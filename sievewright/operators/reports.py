@@ -19,23 +19,45 @@ def story_clusters(articles: DataFrame, least_shared: int = 2, least_overlap: fl
     overlap's part of n) terms, so one of its n - s + 1 rarest is among the
     other's, of which the least_shared - 1 most frequent can be left out too.
     Only those meet by an equi-join; a term that many titles have is seldom
-    among them.  Whole term lists decide.  The n first pairs are numbered.
+    among them.  Whole term lists decide.  The n first pairs are numbered:
+    articles are taken in order, 16 and then ever more at once, each with all
+    later ones, until n pairs are found, so pairs behind the n-th aren't made.
     """
-    terms = articles.select("id", "source_id", "ord", title_terms(F.col("title")).alias("t")).where(F.size("t") >= least_shared)
+    terms = articles.select("id", "source_id", "ord", title_terms(F.col("title")).alias("t")).where(F.size("t") >= least_shared).checkpoint()
     each = terms.select("ord", F.explode("t").alias("term"))
     ranked = each.join(each.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("t"))
-    rows = ranked.join(terms.select("id", "source_id", "ord"), "ord").withColumn("n", F.size("t"))
+    rows = ranked.join(terms.select("id", "source_id", "ord"), "ord").withColumn("n", F.size("t")).checkpoint()
+    top, last, size = None, None, 16
+    while True:
+        later = rows if last is None else rows.where(F.col("ord") > last)
+        last = later.select("ord").orderBy("ord").limit(size).agg(F.max("ord")).first()[0]
+        found = _pairs(later, F.lit(last).cast(rows.schema["ord"].dataType), size <= 1024, least_shared, least_overlap).orderBy("o1", "o2").limit(n).checkpoint()
+        top = found if top is None else top.unionByName(found)
+        if last is None or top.count() >= n:
+            break
+        size *= 8
+    top = top.orderBy("o1", "o2").limit(n)
+    return top.withColumn("cluster", F.row_number().over(Window.orderBy("o1", "o2"))).select("cluster", "left_id", "right_id", "shared", "overlap", "terms")
+
+
+def _pairs(rows: DataFrame, last: Column, small: bool, least_shared: int, least_overlap: float) -> DataFrame:
+    """The pairs of story clusters whose earlier article has an ord up to ``last``."""
     need = F.greatest(F.lit(least_shared), F.ceil(F.col("n") * (least_overlap - 0.0001))).cast("int")  # shares are rounded to four places
     few = rows.select("ord", "source_id", "n", F.explode(F.slice("t", F.lit(1), F.col("n") - need + 1)).alias("term"))
     most = rows.select("ord", "source_id", "n", F.explode(F.slice("t", F.lit(1), F.col("n") - (least_shared - 1))).alias("term"))
-    met = few.alias("a").join(most.alias("b"), "term").where("a.n <= b.n and a.ord <> b.ord and a.source_id <> b.source_id").select(F.least("a.ord", "b.ord").alias("o1"), F.greatest("a.ord", "b.ord").alias("o2")).distinct()
+
+    def meet(first: DataFrame, second: DataFrame, sizes: str) -> DataFrame:
+        first = first.where(F.col("ord") <= last)
+        met = (F.broadcast(first) if small else first).alias("a").join(second.alias("b"), "term")
+        return met.where(f"{sizes} and a.ord < b.ord and a.source_id <> b.source_id").select(F.col("a.ord").alias("o1"), F.col("b.ord").alias("o2"))
+
+    met = meet(few, most, "a.n <= b.n").unionByName(meet(most, few, "b.n < a.n")).distinct()
     side = lambda k: rows.select(F.col("ord").alias(f"o{k}"), F.col("id").alias("left_id" if k == 1 else "right_id"), F.col("t").alias(f"t{k}"), F.col("n").alias(f"n{k}"))
     both = F.array_intersect("t1", "t2")
-    pairs = met.join(side(1), "o1").join(side(2), "o2").select("o1", "o2", "left_id", "right_id", "n1", "n2", F.size(both).cast("long").alias("shared"), F.slice(F.array_sort(both), 1, 6).alias("terms"))
+    earlier = side(1).where(F.col("o1") <= last)
+    pairs = met.join(side(2), "o2").join(F.broadcast(earlier) if small else earlier, "o1").select("o1", "o2", "left_id", "right_id", "n1", "n2", F.size(both).cast("long").alias("shared"), F.slice(F.array_sort(both), 1, 6).alias("terms"))
     share = rounded(F.col("shared") / F.least("n1", "n2"))
-    kept = pairs.where(F.col("shared") >= least_shared).withColumn("overlap", share).where(F.col("overlap") >= least_overlap)
-    top = kept.orderBy("o1", "o2").limit(n)
-    return top.withColumn("cluster", F.row_number().over(Window.orderBy("o1", "o2"))).select("cluster", "left_id", "right_id", "shared", "overlap", "terms")
+    return pairs.where(F.col("shared") >= least_shared).withColumn("overlap", share).where(F.col("overlap") >= least_overlap)
 
 
 def audit(articles: DataFrame, sources: DataFrame, anchor: Column) -> DataFrame:

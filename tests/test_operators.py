@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import arrow, numbers, text, urls
-from sievewright.operators import briefs, dedup, evaluation, ledger, retrieval, scoring, selection
+from sievewright.operators import briefs, dedup, evaluation, ledger, reports, retrieval, scoring, selection
 from sievewright.sources import benchmarks, feeds, html, store
 
 
@@ -292,3 +292,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["list"]) == 0 and "bm25_topk" in capsys.readouterr().out
     assert main(["run", "nothing", "--tables", "x"]) == 2 and main(["run", "set_difference", "--tables", str(tmp_path)]) == 2
     assert main(["run", "set_difference", "--tables", "/root/testdata/sf0.001", "--out", str(tmp_path / "o")]) == 0 and main(["doctor"]) == 0
+
+
+def test_story_clusters_make_no_pairs_behind_the_last(spark, monkeypatch):
+    """Alike titles: the first articles' pairs are enough; unlike ones first: all are looked at."""
+    made, inner = [], reports._pairs
+    monkeypatch.setattr(reports, "_pairs", lambda *a: made.append(inner(*a)) or made[-1])
+    frame = lambda titles: spark.createDataFrame([(f"a{i}", f"s{i % 2}", i, t) for i, t in enumerate(titles)], "id string, source_id string, ord long, title string")
+    got = reports.story_clusters(frame(["alpha beta gamma"] * 300)).collect()
+    assert [(r.cluster, r.left_id, r.right_id) for r in got] == [(k + 1, "a0", f"a{2 * k + 1}") for k in range(20)]
+    assert len(made) == 1 and made[0].count() < 16 * 300
+    late = [f"only{i} once{i}" for i in range(40)] + ["alpha beta gamma", "alpha beta delta", "other thing", "alpha beta gamma"]
+    assert [(r.left_id, r.right_id, r.shared) for r in reports.story_clusters(frame(late)).collect()] == [("a40", "a41", 2), ("a40", "a43", 3)]
+    assert reports.story_clusters(frame(["x"])).count() == 0
