@@ -48,3 +48,7 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_source_rows_read_a_table(spark, duck):
+    assert entry.catalog.QUERIES["source_rows"](spark, SMALL).count() == duck.execute("SELECT count(*) FROM supplier").fetchone()[0]
