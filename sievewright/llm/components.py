@@ -9,7 +9,7 @@ shared folder, so a lost executor costs one round at most.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, scratch
@@ -28,6 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     low, high = F.least("u", "v"), F.greatest("u", "v")
     now = edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct()
     before, kept = None, []
+    own = Window.partitionBy("u")
     for _ in range(MAX_ROUNDS):
         path = scratch(spark, "components")
         now.write.parquet(path)
@@ -37,19 +38,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         kept = [path]
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == before or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct().unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = (
-            large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        large = both.withColumn("m", F.least("u", F.min("v").over(own))).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # dealt by u, repeats fall away and the smallest neighbour is found without another shuffle
+        small = large.repartition("u").distinct().withColumn("m", F.min("v").over(own))
+        now = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     raise RuntimeError(f"components did not converge in {MAX_ROUNDS} rounds")
 
 

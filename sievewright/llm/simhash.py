@@ -325,31 +325,51 @@ def compare_blocks(written: DataFrame, offsets: list[tuple[int, int]], load: Cal
     return pairs.repartition(parts, "one", "two").sortWithinPartitions("one").mapInArrow(run, "u long, v long")
 
 
-def link_unlike(rows: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, radius: int, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (node, node) between places ``one`` and ``two`` of ``rows`` that have unlike roots."""
+def link_unlike(rows: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, radius: int, similar: tuple[int, int], most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (node, node) between places ``one`` and ``two`` of ``rows`` that have unlike roots.
+
+    Sets are read in slices of about ``most`` members; one set is then
+    intersected with all its candidates of a slice at once.
+    """
     names, group = np.unique(rows["root"], return_inverse=True)
     trees, us, vs = Forest(len(names)), [], []
-    most = np.bincount(group).argmax()
-    own = group[one] == most
-    for left, right in ((one[~own], two), (one[own], two[group[two] != most])):
-        step = max(1, (4 << 20) // max(1, len(right)))
+
+    def members(k: int) -> np.ndarray:
+        return _read_set(str(rows["uri"][k]), int(rows["at"][k]), int(rows["n"][k]))
+
+    def compare(left: np.ndarray, right: np.ndarray) -> None:
+        sizes = rows["n"][right]
+        sets = [members(k) for k in right.tolist()]
+        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(ids, np.cumsum(sizes)[:-1])
+        step = max(1, (4 << 20) // len(right))
         for low in range(0, len(left), step):
-            x, y = np.nonzero(_distance(rows["prints"][left[low : low + step]], rows["prints"][right]) <= radius)
-            x, y = left[low + x], right[y]
-            n, m = rows["n"][x], rows["n"][y]
-            fits = (group[x] != group[y]) & (np.minimum(n, m) * similar[1] >= np.maximum(n, m) * similar[0])
-            x, y = x[fits], y[fits]
-            while len(x):  # in each turn a spanning forest of what is still apart is compared
-                p, q = trees.roots(group[x]), trees.roots(group[y])
-                open_ = p != q
-                x, y, p, q = x[open_], y[open_], p[open_], q[open_]
-                tried = Forest(len(names)).join_all(p, q)
-                hit = [similar_sets(*(_read_set(str(rows["uri"][k]), int(rows["at"][k]), int(rows["n"][k])) for k in pair), similar) for pair in zip(x[tried], y[tried])]
-                i, k = x[tried][hit], y[tried][hit]
-                trees.join_all(group[i], group[k])
-                us.append(rows["node"][i])
-                vs.append(rows["node"][k])
-                x, y = np.delete(x, tried), np.delete(y, tried)
+            part = left[low : low + step]
+            n = rows["n"][part][:, None]
+            fits = (group[part][:, None] != group[right]) & (np.minimum(n, sizes) * similar[1] >= np.maximum(n, sizes) * similar[0])
+            fits &= _distance(rows["prints"][part], rows["prints"][right]) <= radius
+            for i in np.flatnonzero(fits.any(1)).tolist():
+                x, near = int(part[i]), np.flatnonzero(fits[i])
+                near = near[trees.roots(group[right[near]]) != trees.roots(group[[x]])]
+                if not len(near):
+                    continue
+                own = members(x)
+                place = np.searchsorted(known, own)
+                place[place == len(known)] = 0
+                held = np.zeros(len(known), np.int64)
+                held[place[known[place] == own]] = 1
+                both = np.add.reduceat(held[np.concatenate([ids[k] for k in near.tolist()])], np.cumsum(sizes[near]) - sizes[near])
+                near = right[near[both * similar[1] >= (len(own) + sizes[near] - both) * similar[0]]]
+                near = near[trees.join_all(np.full(len(near), group[x]), group[near])]
+                us.append(np.full(len(near), rows["node"][x]))
+                vs.append(rows["node"][near])
+
+    own = group[one] == np.bincount(group).argmax()
+    for left, right in ((one[~own], two), (one[own], two[group[two] != np.bincount(group).argmax()])):
+        right = right[rows["n"][right] > 0]  # the empty set is like no other
+        if len(left) and len(right):
+            for piece in np.split(right, np.flatnonzero(np.diff(np.cumsum(rows["n"][right]) // most)) + 1):
+                compare(left, piece)
     return np.concatenate([np.empty(0, np.int64), *us]), np.concatenate([np.empty(0, np.int64), *vs])
 
 

@@ -185,3 +185,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(20, 60)] + [(3, 2), (2, 3), (9, 9), (1, 3), (None, 4)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).distinct().collect()))
     assert got == {i: 20 for i in range(20, 61)} | {1: 1, 2: 1, 3: 1}
+
+
+def test_unlike_sets_are_read_once_for_many_pairs(monkeypatch):
+    """300 sets, all candidates of each other and nearly none similar: their pairs aren't read one by one."""
+    rng = np.random.default_rng(5)
+    shared, n = rng.integers(0, 1 << 40, 300, dtype=np.uint64), 300
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 40, 50, dtype=np.uint64)])) for _ in range(n)]
+    for i in range(0, n, 30):
+        sets[i + 1] = np.unique(np.concatenate([sets[i][:-5], rng.integers(0, 1 << 40, 5, dtype=np.uint64)]))
+    reads = []
+    monkeypatch.setattr(simhash, "_read_set", lambda uri, at, size: reads.append(at) or sets[at])
+    rows = {
+        "node": np.arange(n), "root": np.arange(n), "uri": np.array(["x"] * n), "at": np.arange(n), "n": np.array([len(x) for x in sets]),
+        "prints": np.zeros((n, simhash.WIDE), np.uint64),
+    }
+    u, v = simhash.link_unlike(rows, np.arange(n), np.arange(n), simhash.WIDE_RADIUS, simhash.SIMILAR, most=20_000)
+    want = {(i, k) for i in range(n) for k in range(i) if simhash.similar_sets(sets[i], sets[k], simhash.SIMILAR)}
+    assert {(max(p), min(p)) for p in zip(u.tolist(), v.tolist())} == want and len(want) == 10
+    assert len(reads) < 10 * n * 2
