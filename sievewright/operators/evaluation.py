@@ -34,10 +34,33 @@ def retrieval_metrics(gold: DataFrame, ranked: DataFrame, *groups: str) -> DataF
     """
     first = ranked.groupBy("query_id", F.col("item_id").alias("expected_id")).agg(F.min("rank").alias("rank"))
     distinct = gold.select("query_id", "expected_id", *groups).distinct()
-    each = distinct.join(first, ["query_id", "expected_id"], "left").groupBy("query_id", *groups).agg(
-        F.count("*").alias("n"), F.count_if(F.col("rank") <= 5).alias("h5"), F.count_if(F.col("rank") <= 10).alias("h10"), F.min("rank").alias("best"),
-        F.coalesce(F.sum(F.when(F.col("rank") <= 10, F.lit(1.0) / F.log2(F.col("rank") + F.lit(1.0)))), F.lit(0.0)).alias("dcg"),
-    )
+    each = distinct.join(first, ["query_id", "expected_id"], "left").groupBy("query_id", *groups).agg(F.count("*").alias("n"), *_hits())
+    return _means(each, *groups)
+
+
+def labelled_metrics(queries: DataFrame, items: DataFrame, ranked: DataFrame, *groups: str) -> DataFrame:
+    """:func:`retrieval_metrics` where all items of a query's kind are expected.
+
+    queries(query_id, kind), items(item_id, kind).  Expected items are counted
+    a kind and looked up for ranked ones only, so no row is made for each pair
+    of a query and an expected item.
+    """
+    asked, known = queries.select("query_id", "kind").distinct(), items.select("item_id", "kind").distinct()
+    sizes = known.groupBy("kind").agg(F.count("*").alias("n"))
+    first = ranked.groupBy("query_id", "item_id").agg(F.min("rank").alias("rank"))
+    hits = first.join(known, "item_id").join(asked, ["query_id", "kind"]).groupBy("query_id", "kind").agg(*_hits())
+    each = asked.join(sizes, "kind").join(hits, ["query_id", "kind"], "left")
+    return _means(each.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("h5", "h10", "dcg")}), *groups)
+
+
+def _hits():
+    place = F.col("rank")
+    gain = F.sum(F.when(place <= 10, F.lit(1.0) / F.log2(place + F.lit(1.0))))
+    return F.count_if(place <= 5).alias("h5"), F.count_if(place <= 10).alias("h10"), F.min("rank").alias("best"), F.coalesce(gain, F.lit(0.0)).alias("dcg")
+
+
+def _means(each: DataFrame, *groups: str) -> DataFrame:
+    """each(query_id, *groups, n, h5, h10, best, dcg) -> the means over questions."""
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(i + F.lit(1.0)))
     return each.groupBy(*groups).agg(
         F.count("*").alias("questions"), rounded(F.avg(F.col("h5") / F.col("n"))).alias("recall_at_5"), rounded(F.avg(F.col("h10") / F.col("n"))).alias("recall_at_10"),

@@ -189,6 +189,20 @@ def test_metrics(spark):
     assert (row.questions, row.recall_at_5, row.hit_at_5, row.mrr) == (2, 0.25, 0.5, 0.25)
 
 
+def test_labelled_metrics_make_no_row_a_pair(spark):
+    """All items of a query's kind are expected: the means of the general form, without its pairs."""
+    items = spark.createDataFrame([(i, i % 3 if i % 7 else None) for i in range(60)], "item_id long, kind int")
+    asked = items.where("item_id % 5 = 0").withColumnRenamed("item_id", "query_id")
+    ranked = spark.createDataFrame([(q, (q * 3 + r * r) % 60, r) for q in range(0, 60, 5) for r in range(1, 13)], "query_id long, item_id long, rank long")
+    gold = asked.join(items, "kind").select("query_id", "kind", F.col("item_id").alias("expected_id"))
+    for groups in ((), ("kind",)):
+        got = evaluation.labelled_metrics(asked, items, ranked, *groups)
+        assert sorted(got.collect()) == sorted(evaluation.retrieval_metrics(gold, ranked, *groups).collect())
+    many = items.crossJoin(spark.range(300)).select((F.col("item_id") * 300 + F.col("id")).alias("item_id"), "kind")
+    got = evaluation.labelled_metrics(many.withColumnRenamed("item_id", "query_id"), many, ranked)
+    assert got.first().questions == 15_300  # 78 million pairs
+
+
 def test_claims(spark):
     rows = spark.createDataFrame([("A [1]. B [7]! Head:\nNone", 3)], "answer string, citation_count int")
     got = [(r.text, r.requires_citation, r.citation_present, r.citation_valid) for r in evaluation.claims(rows).orderBy("claim").collect()]
