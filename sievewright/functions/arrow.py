@@ -1,4 +1,4 @@
-"""Functions that no built-in expression has: Arrow-batched pandas UDFs."""
+"""Functions that no built-in expression has: Arrow-batched UDFs."""
 
 from __future__ import annotations
 
@@ -13,10 +13,17 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def by_slices(one, texts: pa.Array, kind: pa.DataType, rows: int = 128) -> pa.Array:
+    """``one`` of each text; ``rows`` of a batch are Python objects at once, the rest stays in Arrow's buffers."""
+    parts = (texts.slice(low, rows).to_pylist() for low in range(0, len(texts), rows))
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([None if t is None else one(t) for t in part], kind) for part in parts)])
+
+
 @F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding."""
@@ -77,18 +84,16 @@ def hashing_embedder(dimensions: int = 384):
     the dimension and the last bit of the fifth the sign.
     """
 
-    def one(text: str | None) -> np.ndarray | None:
-        if text is None:
-            return None
+    def one(text: str) -> np.ndarray:
         plain = " ".join(text.casefold().split())
         grams = map("".join, zip(plain, plain[1:], plain[2:])) if len(plain) > 2 else [plain]
         slots = np.array([_slot(g, dimensions) for g in grams])
         vector = np.bincount(slots[slots >= 0], minlength=dimensions) - np.bincount(-1 - slots[slots < 0], minlength=dimensions)
         return vector / (np.sqrt((vector * vector).sum()) or 1.0)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(text: pd.Series) -> pd.Series:
-        return text.map(one)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(text: pa.Array) -> pa.Array:
+        return by_slices(one, text, pa.list_(pa.float64()))
 
     return embed
 
@@ -125,10 +130,10 @@ def redact_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_paragraphs(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def split_paragraphs(text: pa.Array) -> pa.Array:
     """Chunks of 900 characters at most, 120 shared, ended at paragraph breaks."""
-    return text.map(lambda t: None if t is None else chunk_text(t))
+    return by_slices(chunk_text, text, pa.list_(pa.string()))
 
 
 def chunk_text(text: str, longest: int = 900, shared: int = 120) -> list[str]:

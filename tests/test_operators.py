@@ -194,6 +194,33 @@ def test_bm25_top_makes_no_row_a_pair(spark, monkeypatch):
         assert all(abs(x[1] - y[0]) < 1e-9 for x, y in zip(rows, best))
 
 
+def test_texts_of_a_batch_become_objects_by_slices():
+    """A batch of Arrow texts is read a few at a time, nulls stay, and an empty batch gives an empty one."""
+    import pyarrow as pa
+
+    alive, most = [], []
+
+    def one(text):
+        alive.append(text)
+        most.append(len(alive))
+        return text.upper()
+
+    class Texts:
+        def __init__(self, held):
+            self.held = held
+
+        def __len__(self):
+            return len(self.held)
+
+        def slice(self, low, rows):
+            alive.clear()
+            return self.held.slice(low, rows)
+
+    texts = pa.array([None, *(f"t{i}" for i in range(999))])
+    assert arrow.by_slices(one, Texts(texts), pa.string()).to_pylist() == [None, *(f"T{i}" for i in range(999))] and max(most) <= 128
+    assert arrow.by_slices(one, texts.slice(0, 0), pa.string()).to_pylist() == []
+
+
 def test_planner(spark):
     asked = spark.createDataFrame([("a", "明天天气如何"), ("b", "语义层和数据湖分别解决什么"), ("c", "price in 2030?"), ("d", "who")], "query_id string, text string")
     got = {r.query_id: r for r in retrieval.plan_questions(asked, 2026).collect()}
