@@ -36,11 +36,57 @@ def matcher_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([0.0 if a is None or b is None else SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right)], dtype=float)
 
 
-def reads_alike(threshold: float, containment: float):
+def matched(a: str, b: str, small: int = 1 << 16) -> int:
+    """Characters in SequenceMatcher's matching blocks (without junk), in less than quadratic time for long texts.
+
+    The longest common run (earliest in a, then in b) is found by halving over
+    hashes of all runs of a length; runs found are compared as text, and what
+    lies to their left and right follows.  Pieces of ``small`` pairs of
+    characters go to SequenceMatcher.
+    """
+    def sums(t: str) -> np.ndarray:
+        out = np.zeros(len(t) + 1, dtype=np.uint64)
+        np.cumsum(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) * powers[: len(t)], out=out[1:])
+        return out
+
+    def runs(h: np.ndarray, low: int, high: int, n: int) -> np.ndarray:
+        """Hashes of the runs of n characters in [low, high), shifted to the same power."""
+        return (h[low + n : high + 1] - h[low : high + 1 - n]) * powers[longest - np.arange(low, high + 1 - n)]
+
+    if len(a) * len(b) <= small:
+        return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    longest = max(len(a), len(b))
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(longest, 0x9E3779B97F4A7C15, dtype=np.uint64)])
+    x, y, found, todo = sums(a), sums(b), 0, [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if i == k or j == m:
+            continue
+        low, high = 0, min(k - i, m - j)
+        while low < high and (k - i) * (m - j) > small:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if np.isin(runs(x, i, k, n), runs(y, j, m, n)).any() else (low, n - 1)
+        if (k - i) * (m - j) > small:
+            if not low:
+                continue
+            ours, theirs = runs(x, i, k, low), runs(y, j, m, low)
+            one = int(np.argmax(np.isin(ours, theirs)))
+            two = int(np.argmax(theirs == ours[one]))
+            one, two = one + i, two + j
+            if a[one : one + low] == b[two : two + low]:
+                found += low
+                todo += [(i, one, j, two), (one + low, k, two + low, m)]
+                continue
+        found += sum(z.size for z in SequenceMatcher(None, a[i:k], b[j:m], autojunk=False).get_matching_blocks())
+    return found
+
+
+def reads_alike(threshold: float, containment: float, bounds_only: bool = False):
     """(later, earlier) -> do they share enough trigrams and match by ``threshold``.
 
     Cheap upper bounds come first (see operators.dedup.similar_pairs for the
-    one on q-grams); texts under three characters need no trigram.
+    one on q-grams); texts under three characters need no trigram.  With
+    ``bounds_only`` these decide alone, and may let unlike texts pass.
     """
 
     q = next(k for k in (5, 4, 3, 2, 1) if k == 1 or threshold / 2 - (k - 1) * (1 - threshold) > 0.1)
@@ -57,8 +103,10 @@ def reads_alike(threshold: float, containment: float):
         least = threshold * whole / 2 - ((q - 1) * ((1 - threshold) * whole + 1) if q > 1 else 0)
         if least > 0 and sum(min(n, many_y[g]) for g, n in many_x.items() if g in many_y) < least - 1e-9:
             return False
+        if bounds_only:
+            return True
         m = SequenceMatcher(None, a, b, autojunk=False)
-        return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+        return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and 2.0 * matched(a, b) / whole >= threshold
 
     @F.pandas_udf(T.BooleanType())
     def alike(later: pd.Series, earlier: pd.Series) -> pd.Series:

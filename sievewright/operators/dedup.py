@@ -8,9 +8,14 @@ decided.  Every round is written to the checkpoint folder.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import reads_alike
@@ -77,54 +82,162 @@ def exact_deduplicate(rows: DataFrame, url: str = "canonical_url", content: str
     return accept_by_keys(rows, (url, content), order)
 
 
-def similar_pairs(rows: DataFrame, threshold: float = 0.92, containment: float = 0.45, text: str = "compared", order: str = "ord") -> DataFrame:
-    """(hi, lo) of all pairs of distinct texts that read alike, exactly.
+#: Counts of characters a text, and bits of its q-gram sketch.
+LETTERS, BITS = 32, 1 << 14
+
+
+def _least(q: int, threshold: float, whole):
+    """q-grams that texts of ``whole`` characters together share at least if they are alike (see :func:`candidate_pairs`)."""
+    return threshold * whole / 2 - ((q - 1) * ((1 - threshold) * whole + 1) if q > 1 else 0)
+
+
+def _sketch(text: str, q: int) -> tuple[bytes, bytes, int]:
+    """Counts of characters by code, the bits of its q-grams (with their number if repeated), and how many grams share a bit."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    letters = np.bincount(codes % LETTERS, minlength=LETTERS)
+    size = max(0, len(codes) - q + 1)
+    grams = np.zeros(size, dtype=np.uint64)
+    for i in range(q):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + size]
+    grams.sort()
+    place = np.arange(size, dtype=np.uint64)
+    first = np.maximum.accumulate(np.where(np.r_[True, grams[1:] != grams[:-1]][:size], place, 0).astype(np.uint64)) if size else place
+    named = (grams + (place - first) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+    named = (named ^ (named >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
+    bits = np.zeros(BITS, dtype=bool)
+    bits[named % np.uint64(BITS)] = True
+    return letters.clip(0, 255).astype(np.uint8).tobytes(), np.packbits(bits).tobytes(), size - int(bits.sum())
+
+
+def _sketches(file: str) -> dict[str, np.ndarray]:
+    store, path = pafs.FileSystem.from_uri(file)
+    with store.open_input_file(path) as source:
+        rows = pq.ParquetFile(source).read()
+    wide = {c: np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=kind).reshape(rows.num_rows, -1) for c, kind in (("letters", np.uint8), ("bits", np.uint64))}
+    return wide | {c: np.array(rows.column(c)) for c in ("o", "n", "lost")}
+
+
+def _meet(one: dict, two: dict, same: bool, threshold: float, q: int, most: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks' rows that neither bound rules out."""
+    whole = one["n"][:, None] + two["n"][None, :]
+    apart = np.zeros(whole.shape, dtype=np.uint16)
+    for x, y in zip(one["letters"].T, two["letters"].T):
+        a, b = x[:, None], y[None, :]
+        apart += np.maximum(a, b) - np.minimum(a, b)
+    left, right = np.nonzero(apart <= whole - 2 * _least(1, threshold, whole) + 1e-6)
+    if same:
+        left, right = left[left < right], right[left < right]
+    kept = []
+    for low in range(0, len(left), most):
+        i, k = left[low : low + most], right[low : low + most]
+        common = np.bitwise_count(one["bits"][i] & two["bits"][k]).sum(axis=1, dtype=np.int64) + np.minimum(one["lost"][i], two["lost"][k])
+        kept.append(common >= _least(q, threshold, one["n"][i] + two["n"][k]) - 1e-6)
+    kept = np.concatenate(kept) if kept else np.zeros(0, dtype=bool)
+    return left[kept], right[kept]
+
+
+def candidate_pairs(sized: DataFrame, threshold: float = 0.92, block: int = 1024) -> DataFrame:
+    """(hi, lo) of rows(o, t, n) whose distinct texts may be alike: none is missed.
 
     A pair of similarity t has matching blocks of t * T / 2 characters, T being
     both lengths, and (1 - t) * T characters outside them, which bounds the
-    number of blocks.  So it shares t * T / 2 - (q - 1) * ((1 - t) * T + 1)
-    q-grams at least, and, grams ordered from rare to frequent, shares one
-    among the first n - that + 1 of each text: those prefixes meet by an
-    equi-join (q = 1 for short texts), and the matcher sees the pairs found.
+    number of blocks.  So it shares t * T / 2 characters, counted by code, and
+    t * T / 2 - (q - 1) * ((1 - t) * T + 1) q-grams at least.  Grams that share
+    a bit of a sketch are added to what two sketches have in common, so these
+    bounds are upper ones.  Texts are written once, in blocks by length, and
+    blocks meet whose lengths allow the similarity: all such pairs of texts are
+    looked at, by a few byte operations each.
     """
-    def need(q: int, whole):
-        return threshold * whole / 2 - ((q - 1) * ((1 - threshold) * whole + 1) if q > 1 else 0)
+    from ..sources.store import scratch  # which needs unique_violations from here
 
+    spark = sized.sparkSession
     q = next(k for k in (5, 4, 3, 2, 1) if k == 1 or threshold / 2 - (k - 1) * (1 - threshold) > 0.1)
     reach = (2 - threshold) / threshold  # the longest partner's length over one's own
-    least = next((n for n in range(1, 10_000) if need(q, n * (1 + 1 / reach)) >= 2), 10_000) if q > 1 else 0
-    sized = rows.select(F.col(order).alias("o"), F.col(text).alias("t"), F.length(text).alias("n")).where("n > 0")
-
-    def prefixes(some: DataFrame, k: int) -> DataFrame:
-        grams = some.where(F.col("n") >= k).select("o", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - (k - 1)), lambda i: F.substring("t", i, F.lit(k)))).alias("g"))
-        nth = grams.groupBy("o", "n", "g").agg(F.count("*").alias("c")).select("o", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda i: F.struct(F.col("g"), i.alias("i")))).alias("g"))
-        common = nth.groupBy("g").agg(F.count("*").alias("df"))
-        place = F.row_number().over(Window.partitionBy("o").orderBy("df", "g"))
-        shared = F.greatest(F.lit(1), F.ceil(need(k, F.col("n") * (1 + 1 / reach)) - 1e-9))
-        return nth.join(common.where("df > 1"), "g", "left").withColumn("p", place).where(F.col("df").isNotNull() & (F.col("p") <= F.col("n") - (k - 1) - shared + 1)).select("o", "n", "g")
-
-    found = None
-    for k, some in ((q, sized.where(F.col("n") >= least)), (1, sized.where(F.col("n") <= least * reach))) if q > 1 else ((1, sized),):
-        heads = prefixes(some, k)
-        a, b = heads.alias("a"), heads.alias("b")
-        near = (F.col("a.n") <= F.col("b.n") * reach) & (F.col("b.n") <= F.col("a.n") * reach)
-        pairs = a.join(b, "g").where((F.col("a.o") > F.col("b.o")) & near).select(F.col("a.o").alias("hi"), F.col("b.o").alias("lo"))
-        found = pairs if found is None else found.unionByName(pairs)
-    left = sized.select(F.col("o").alias("hi"), F.col("t").alias("later"))
-    right = sized.select(F.col("o").alias("lo"), F.col("t").alias("earlier"))
-    return found.distinct().join(left, "hi").join(right, "lo").where(reads_alike(threshold, containment)("later", "earlier")).select("hi", "lo")
+    ranges: list[list[int]] = []  # shortest, longest, rows
+    for n, rows in sorted(map(tuple, sized.groupBy("n").count().collect())):
+        if ranges and ranges[-1][2] + rows <= block:
+            ranges[-1][1:] = [n, ranges[-1][2] + rows]
+        else:
+            ranges.append([n, n, rows])
+    if not ranges:
+        return sized.select(F.col("o").alias("hi"), F.col("o").alias("lo"))
+    dealt = spark.createDataFrame([(i, low, high, -(-rows // block)) for i, (low, high, rows) in enumerate(ranges)], "range int, low int, high int, parts int")
+
+    def draw(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                letters, bits, lost = zip(*(_sketch(t, q) for t in part.column("t").to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column("o"), part.column("n"), pa.array(letters, pa.binary()), pa.array(bits, pa.binary()), pa.array(lost, pa.int32())], ["o", "n", "letters", "bits", "lost"])
+
+    path = scratch(spark, "sketches")
+    drawn = sized.select(F.col("o").cast("long").alias("o"), "n", "t").repartition(_tasks(spark), "o").mapInArrow(draw, "o long, n int, letters binary, bits binary, lost int")
+    dealt = drawn.join(F.broadcast(dealt), (F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high"))).withColumn("part", F.pmod(F.xxhash64("o"), "parts"))
+    dealt.select("o", "n", "letters", "bits", "lost", "range", "part").repartition("range", "part").write.partitionBy("range", "part").parquet(path)
+    files = sorted((int(re.search(r"range=(\d+)", f)[1]), f) for f in spark.read.parquet(path).inputFiles())
+    pairs = [(a, b) for i, (x, a) in enumerate(files) for y, b in files[i:] if ranges[y][0] <= ranges[x][1] * reach + 1e-6]
+
+    def compare(batches):
+        held, last = None, None
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                held, last = (held, last) if a == last else (_sketches(a), a)
+                other = held if a == b else _sketches(b)
+                left, right = _meet(held, other, a == b, threshold, q)
+                one, two = held["o"][left], other["o"][right]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two)), pa.array(held["n"][left] > BITS // 16)], ["hi", "lo", "full"])
+
+    parts = min(len(pairs), max(_tasks(spark), len(pairs) // 32))
+    found = spark.createDataFrame(pairs, "a string, b string").repartitionByRange(parts, "a", "b").mapInArrow(compare, "hi long, lo long, full boolean").checkpoint()
+    # long texts fill their sketches: their grams are counted
+    return found.where("not full").select("hi", "lo").unionByName(_alike(found.where("full"), sized, threshold, 0.0, bounds_only=True))
+
+
+def _tasks(spark) -> int:
+    """How many tasks work on few but costly rows, which Spark would put together by their size."""
+    return spark.sparkContext.defaultParallelism * 4
+
+
+def _sized(rows: DataFrame, text: str, order: str) -> DataFrame:
+    return rows.select(F.col(order).alias("o"), F.col(text).alias("t"), F.length(text).alias("n")).where("n > 0")
+
+
+def _alike(pairs: DataFrame, sized: DataFrame, threshold: float, containment: float, bounds_only: bool = False) -> DataFrame:
+    """The candidates (hi, lo) that read alike, or that the matcher's own bounds don't rule out."""
+    left, right = (sized.select(F.col("o").alias(o), F.col("t").alias(t)) for o, t in (("hi", "later"), ("lo", "earlier")))
+    texts = pairs.join(left, "hi").join(right, "lo").repartition(_tasks(pairs.sparkSession), "hi", "lo")
+    # a deterministic filter would be pushed below the repartition, into a join's few tasks
+    return texts.where(reads_alike(threshold, containment, bounds_only).asNondeterministic()("later", "earlier")).select("hi", "lo")
+
+
+def similar_pairs(rows: DataFrame, threshold: float = 0.92, containment: float = 0.45, text: str = "compared", order: str = "ord") -> DataFrame:
+    """(hi, lo) of all pairs of distinct texts that read alike, exactly; see :func:`candidate_pairs`."""
+    sized = _sized(rows, text, order).checkpoint()
+    return _alike(candidate_pairs(sized, threshold), sized, threshold, containment)
 
 
 def fuzzy_deduplicate(rows: DataFrame, threshold: float = 0.92, containment: float = 0.45, title: str = "title", abstract: str = "abstract", order: str = "ord") -> DataFrame:
     """Keep a row unless it reads like an earlier accepted one.
 
     Rows are compared by title and 500 characters of abstract, as (later row,
-    earlier row); see :func:`similar_pairs`.
+    earlier row).  A round accepts the rows with no open candidate before them
+    and hands only pairs with an accepted row to the matcher: of a group of
+    like texts the matcher sees about one pair a text.
     """
     compared = rows.withColumn("compared", comparison_text(F.col(title), F.col(abstract)))
-    once = first_by(compared.select("compared", order), "compared", order=order)  # equal texts: only the first can stay
-    kept = accept_greedily(once, similar_pairs(once, threshold, containment, "compared", order), order)
-    return compared.join(kept.select(order), order, "left_semi").drop("compared")
+    once = first_by(compared.select("compared", order), "compared", order=order).checkpoint()  # equal texts: only the first can stay
+    sized = _sized(once, "compared", order)
+    rejected, open_pairs = None, candidate_pairs(sized, threshold).checkpoint()
+    while not open_pairs.isEmpty():
+        waiting = open_pairs.select(F.col("hi").alias("id")).distinct()
+        free = open_pairs.join(waiting, open_pairs.lo == waiting.id, "left_anti")
+        out = _alike(free, sized, threshold, containment).select(F.col("hi").alias("id")).distinct().checkpoint()
+        rejected = out if rejected is None else rejected.unionByName(out)
+        left = open_pairs.join(waiting, open_pairs.lo == waiting.id, "left_semi")
+        left = left.join(out, left.hi == out.id, "left_anti")
+        open_pairs = left.join(out, left.lo == out.id, "left_anti").checkpoint()
+    kept = once if rejected is None else once.join(rejected.select(F.col("id").alias(order)), order, "left_anti")
+    return rows.join(kept.select(order), order, "left_semi")
 
 
 def unique_violations(rows: DataFrame, keys) -> DataFrame:

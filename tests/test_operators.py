@@ -365,3 +365,32 @@ def test_story_clusters_make_no_pairs_behind_the_last(spark, monkeypatch):
     late = [f"only{i} once{i}" for i in range(40)] + ["alpha beta gamma", "alpha beta delta", "other thing", "alpha beta gamma"]
     assert [(r.left_id, r.right_id, r.shared) for r in reports.story_clusters(frame(late)).collect()] == [("a40", "a41", 2), ("a40", "a43", 3)]
     assert reports.story_clusters(frame(["x"])).count() == 0
+
+
+def test_long_texts_match_as_in_difflib():
+    from sievewright.functions.arrow import matched
+
+    r = random.Random(3)
+    for _ in range(300):
+        a = "".join(r.choice("abc") for _ in range(r.randint(0, 60)))
+        b = "".join(r.choice("abcd") if r.random() < 0.1 else c for c in a)[r.randint(0, 3) :]
+        want = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert matched(a, b, 0) == matched(a, b) == want
+
+
+def test_fuzzy_dedup_hands_a_group_of_like_texts_over_once_a_text(spark, monkeypatch):
+    """Of 120 like texts the matcher sees 119 pairs, not 7,140."""
+    r = random.Random(7)
+    base = "".join(r.choice("abcdefgh") for _ in range(300))
+    rows = [(i, base[:i] + "z" + base[i + 1 :], "") for i in range(120)]
+    alike, seen = dedup._alike, []
+
+    def counted(pairs, sized, *more, **kw):
+        if not kw.get("bounds_only"):
+            seen.append(pairs.count())
+        return alike(pairs, sized, *more, **kw)
+
+    monkeypatch.setattr(dedup, "_alike", counted)
+    frame = spark.createDataFrame(rows, "ord long, title string, abstract string")
+    assert [x.ord for x in dedup.fuzzy_deduplicate(frame).collect()] == [0]
+    assert seen == [119]
