@@ -76,3 +76,14 @@ def test_rows_below_a_large_copy_group(spark):
     frame = catalog.with_ready(frame, 10**6)
     got = [r.id for r in selection.merge_inventory(frame.limit(0), frame, F.expr(catalog.ANCHOR)).collect()]
     assert len(got) == 6 and {"d1", "d2", "d3", "d4", "again"} < set(got)
+
+
+def unscored(rows):
+    """Does the plan read scores instead of making them?"""
+    return "Contains(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_are_made_once(spark):
+    small = "/root/testdata/sf0.001"
+    scored = catalog.scored_articles(spark, small)
+    assert not unscored(scored) and unscored(selection.priority_rows(scored))
