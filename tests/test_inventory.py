@@ -87,3 +87,5 @@ def test_scores_are_made_once(spark):
     small = "/root/testdata/sf0.001"
     scored = catalog.scored_articles(spark, small)
     assert not unscored(scored) and unscored(selection.priority_rows(scored))
+    rows = catalog.with_ready(catalog.articles(spark, small), 3)
+    assert unscored(selection.merge_inventory(rows.where("ord % 2 = 1"), rows.where("ord % 2 = 0"), F.expr(catalog.ANCHOR)))
