@@ -89,3 +89,15 @@ def test_scores_are_made_once(spark):
     assert not unscored(scored) and unscored(selection.priority_rows(scored))
     rows = catalog.with_ready(catalog.articles(spark, small), 3)
     assert unscored(selection.merge_inventory(rows.where("ord % 2 = 1"), rows.where("ord % 2 = 0"), F.expr(catalog.ANCHOR)))
+
+
+def test_items_are_normalised_once(spark):
+    from sievewright.operators import items
+
+    raw = spark.createDataFrame(
+        [("s", "HTTP://e.org/a/?utm_source=x", " T  t ", "a  b", "", ["A  B"], None, "en", "official", "primary")],
+        "source_id string, url string, title string, summary string, content_html string, authors array<string>, published_at timestamp, language string, source_type string, evidence_tier string",
+    )
+    rows, evidence = items.normalize_items(raw, F.expr(catalog.ANCHOR))
+    assert "regexp_replace" not in evidence._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.title, r.abstract) for r in rows.collect()] == [("T t", "a b")] and evidence.first().excerpt == "a b"
