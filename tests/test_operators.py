@@ -46,6 +46,14 @@ def test_affirmed_terms(spark, given, want):
     assert one(spark, text.contains_affirmed(F.col("t"), ("outperform", "提升")), t=given) is want
 
 
+@pytest.mark.parametrize("given,want", [
+    ("not " + "😀" * 70 + " outperform", False), ("not " + "😀" * 119 + " outperform", True), ("does not提升", False), ("lacks提升", False), ("cannot提升", True), ("no no " + "x" * 116 + " outperform", False), ("noñadoeses outperform", True),
+])
+def test_negators_reach_over_characters(spark, given, want):
+    """120 characters, whatever their UTF-16 length; a term in Chinese needs no space; words go on with accented letters."""
+    assert one(spark, text.contains_affirmed(F.col("t"), ("outperform", "提升")), t=given) is want
+
+
 def test_embedder_and_matcher(spark):
     frame = spark.createDataFrame([("tide", "diet"), ("same", "same"), (None, "x")], "a string, b string")
     got = frame.select(arrow.matcher_ratio("a", "b").alias("r"), arrow.hashing_embedder(16)("a").alias("v")).collect()

@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows; the others run."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -52,3 +53,12 @@ def test_every_oracle_has_a_query():
 
 def test_source_rows_read_a_table(spark, duck):
     assert entry.catalog.QUERIES["source_rows"](spark, SMALL).count() == duck.execute("SELECT count(*) FROM supplier").fetchone()[0]
+
+
+@pytest.mark.parametrize("name", ["event_profile", "value_score", "selection_reasons", "key_signal_gate"])
+def test_negators_before_emoji_and_chinese_terms(spark, tmp_path, name):
+    titles = ("Not " + "😀" * 70 + " an acquisition", "They did not收购 a startup", "An acquisition")
+    pd.DataFrame({"doc_id": [4, 14, 24], "text": [f"{t}\nand more" for t in titles], "lang": "en", "source": "web", "n_chars": 9}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert rows(entry.catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(entry.catalog.SQL[name]).df())
