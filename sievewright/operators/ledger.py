@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.numbers import day_key, month_key
+from ..sources.store import scratch
 
 
 def quota_admission(requests: DataFrame, client: str, at: str, per_client: int, per_day: int, order: str) -> DataFrame:
@@ -30,29 +34,101 @@ def quota_admission(requests: DataFrame, client: str, at: str, per_client: int,
     return rows.withColumn("admitted", F.col("_client_ok") & (F.coalesce("_before", F.lit(0)) + nth <= per_day)).drop("_day", "_hour", "_client_ok", "_before")
 
 
+def _fold(key: str, columns: tuple[str, ...], begin: Callable, step: Callable, adds, kinds, then: dict | None = None) -> Callable:
+    """The fold over Arrow batches that are sorted by key and order.
+
+    With ``then`` (chunk -> the chunk that goes on with its last key) they are
+    sorted by chunk first; a row with ``_state`` is the state before its
+    chunk, and such rows are made for the chunks to come.
+    """
+    group = (key,) if then is None else ("_chunk", key)
+
+    def runs(batch):
+        starts = np.arange(len(batch)) == 0
+        for c in group:
+            codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            starts[1:] |= codes[1:] != codes[:-1]
+        at = np.flatnonzero(starts).tolist()
+        return zip(at, [*at[1:], len(batch)])
+
+    def carried(place, state, like):
+        known = {"_chunk": then[place[0]], key: place[1], "_state": pickle.dumps(state)}
+        return pa.RecordBatch.from_arrays([*(pa.array([known.get(f.name)], f.type) for f in like), *(pa.nulls(1, t) for t in kinds)], [*like.names, *adds])
+
+    def run(batches):
+        state, place, like = None, None, None
+        for batch in batches:
+            made, like, values = [], batch.schema, [batch.column(c).to_pylist() for c in columns]
+            for low, high in runs(batch):
+                here = tuple(batch.column(c)[low].as_py() for c in group)
+                if here != place:
+                    if then and place and here[0] != place[0] and place[0] in then:
+                        yield carried(place, state, like)
+                    place = here
+                    if then is not None and batch.column("_state")[low].is_valid:
+                        state, low = pickle.loads(batch.column("_state")[low].as_py()), low + 1
+                    else:
+                        state = begin()
+                for row in zip(*(v[low:high] for v in values)):
+                    state, out = step(state, *row)
+                    made.append(out)
+            if then is not None:
+                batch = batch.filter(pc.is_null(batch.column("_state")))
+            if made:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*made), kinds))], [*like.names, *adds])
+        if then and place and place[0] in then:
+            yield carried(place, state, like)
+
+    return run
+
+
+#: Rows of a key that a task sorts at once; longer keys are folded chunk after chunk.
+CHUNK = 500_000
+
+
 def replay(rows: DataFrame, key: str, order: tuple[str, ...], columns: tuple[str, ...], begin: Callable, step: Callable, **adds: T.DataType) -> DataFrame:
     """``rows`` with the columns ``adds``: an ordered fold over each key's rows.
 
     Rows are dealt by key, sorted, and streamed: a task holds one state and one
-    Arrow batch, however many rows a key has.  begin() -> state;
+    Arrow batch, and sorts about ``CHUNK`` rows of a key at most (see
+    ``_in_chunks``).  begin() -> state, which can be pickled;
     step(state, *columns) -> (state, values of adds).
     """
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, t) for c, t in adds.items())])
     kinds = [to_arrow_type(t) for t in adds.values()]
+    count = rows.groupBy(key).count().agg(F.max("count").alias("longest"), F.sum("count").alias("all")).first()
+    if (count.longest or 0) > CHUNK:
+        return _in_chunks(rows, -(-count.all // CHUNK), key, order, columns, begin, step, adds, kinds).select(schema.names)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(_fold(key, columns, begin, step, adds, kinds), schema)
 
-    def run(batches):
-        state, current = None, None
-        for batch in batches:
-            made = []
-            for k, *values in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns)):
-                if state is None or k != current:
-                    state, current = begin(), k
-                state, out = step(state, *values)
-                made.append(out)
-            if made:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*made), kinds))], [*batch.schema.names, *adds])
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+def _in_chunks(rows, chunks, key, order, columns, begin, step, adds, kinds) -> DataFrame:
+    """The fold of ``replay`` over ranges of (key, order): first all keys' first chunks, then their second ones, and so on.
+
+    The chunks are written once.  A key's state goes to its next chunk as a row
+    of its own, which is sorted before the others; each round writes its rows.
+    """
+    spark, chunked, done = rows.sparkSession, scratch(rows.sparkSession, "chunks"), scratch(rows.sparkSession, "folded")
+    rows.repartitionByRange(chunks, key, *order).withColumn("_chunk", F.spark_partition_id()).write.partitionBy("_chunk").parquet(chunked)
+    stored = spark.read.parquet(chunked).withColumn("_state", F.lit(None).cast("binary"))
+    in_turn = Window.partitionBy(key).orderBy("_chunk")
+    places = stored.select(key, "_chunk").distinct().withColumns({"_round": F.row_number().over(in_turn) - 1, "_before": F.lag("_chunk").over(in_turn)})
+    later = places.where("_round > 0").collect()  # only the last key of a chunk goes on in another: these are fewer than the chunks
+    place = T.StructType([stored.schema[key], stored.schema["_chunk"]])
+    schema = T.StructType([*stored.schema.fields, *(T.StructField(c, t) for c, t in adds.items())])
+    for n in range(max((r["_round"] for r in later), default=0) + 1):
+        mine = F.broadcast(spark.createDataFrame([(r[key], r["_chunk"]) for r in later if r["_round"] == n or not n], place).toDF("_key", "_place"))
+        same = (F.col("_chunk") == F.col("_place")) & F.col(key).eqNullSafe(F.col("_key"))
+        if n:
+            places_now = sorted(r["_chunk"] for r in later if r["_round"] == n)
+            states = spark.read.schema(schema).parquet(f"{done}/{n - 1}").where("_state is not null").select(stored.columns)
+            part = stored.where(F.col("_chunk").isin(places_now)).join(mine, same, "left_semi").unionByName(states)
+        else:
+            part = stored.join(mine, same, "left_anti")
+        then = {r["_before"]: r["_chunk"] for r in later if r["_round"] == n + 1}
+        dealt = part.repartition(4 * (len(places_now) if n else chunks), "_chunk").sortWithinPartitions("_chunk", key, F.col("_state").isNull(), *order)
+        dealt.mapInArrow(_fold(key, columns, begin, step, adds, kinds, then), schema).write.parquet(f"{done}/{n}")
+    return spark.read.schema(schema).parquet(*(f"{done}/{i}" for i in range(n + 1))).where("_state is null")
 
 
 def rollover(days: DataFrame, base: int, cap: int, per_run: int, seed: int, key: str = "ledger") -> DataFrame:

@@ -1,10 +1,13 @@
 """Request lifecycles: the fold against a table of records that is scanned anew for every event; streams against the fold."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievewright.operators import guardrails, ledger
 from sievewright.streaming import ledgers
@@ -144,3 +147,48 @@ def test_lease_stream_is_the_batch_result(spark, tmp_path, rocks):
     expired = {r.request_id: r.at for r in got if r.state == "expired" and r.request_id != "end"}
     assert expired.keys() == {q for q, g in want.items() if g}
     assert all((when.replace(tzinfo=timezone.utc) - at[q]).total_seconds() == 300 for q, when in expired.items())
+
+
+def test_a_long_key_is_folded_in_chunks(spark, monkeypatch):
+    """A task sorts a few chunks, not a whole key; the fold goes on from chunk to chunk, short and null keys beside it."""
+    monkeypatch.setattr(ledger, "CHUNK", 200, raising=False)
+    keys = ["long"] * 2000 + ["other"] * 700 + [None] * 500 + [f"k{i % 40}" for i in range(300)]
+    random.Random(2).shuffle(keys)
+    rows = spark.createDataFrame(list(enumerate(keys)), "ord long, key string").repartition(7)
+
+    def step(n, _):
+        return n + 1, (n + 1, TaskContext.get().taskAttemptId())
+
+    got = ledger.replay(rows, "key", ("ord",), ("ord",), int, step, nth=T.LongType(), task=T.LongType())
+    assert got.columns == ["ord", "key", "nth", "task"]
+    seen, out = Counter(), sorted(got.collect())
+    for r in out:
+        seen[keys[r.ord]] += 1
+        assert (r.key, r.nth) == (keys[r.ord], seen[keys[r.ord]])
+    assert [r.ord for r in out] == list(range(len(keys)))
+    assert max(Counter(r.task for r in out).values()) <= 1200
+
+
+def test_ledgers_in_chunks_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "CHUNK", 60, raising=False)
+    draw, at = random.Random(5), lambda s: BEGIN + timedelta(seconds=s)
+    money = [(i, draw.choice("abc"), draw.choice([None, 0, 3, 40, -2])) for i in range(600)]
+    want, total = {}, Counter()
+    for i, month, micros in money:
+        fits = None if micros is None else total[month] + micros <= 200
+        total[month] += micros if fits else 0
+        want[i] = (fits, total[month])
+    got = ledger.budget_admission(spark.createDataFrame(money, "ord long, month string, estimated_micros long"), 200)
+    assert {r.ord: (r.admitted, r.committed) for r in got.collect()} == want
+    moves = [(i, "ab"[i % 5 == 0], at(draw.randint(0, 9000))) for i in range(500)]
+    want, open_ = {}, {"a": [], "b": []}
+    for i, pool, when in sorted(moves, key=lambda m: (m[2], m[0])):
+        open_[pool] = [end for end in open_[pool] if end > when]
+        want[i] = len(open_[pool]) < 3
+        open_[pool] += [when + timedelta(seconds=60)] * want[i]
+    got = ledger.lease_admission(spark.createDataFrame(moves, "ord long, pool string, at timestamp"), "pool", 3, 60)
+    assert {r.ord: r.granted for r in got.collect()} == want
+    rows = [("ab"[i % 3 == 0], at(i * 40), i, f"r{draw.randint(0, 150)}", draw.choice("xyz"), draw.choice(["reserve", "reserve", "settle", "release"]), draw.randint(1, 40)) for i in range(400)]
+    got = {r.ord: (r.outcome, r.committed) for r in guardrails.guarded(spark.createDataFrame(rows, SCHEMA).repartition(5), LIMITS).collect()}
+    monkeypatch.setattr(ledger, "CHUNK", 10_000, raising=False)
+    assert got == {r.ord: (r.outcome, r.committed) for r in guardrails.guarded(spark.createDataFrame(rows, SCHEMA), LIMITS).collect()}
