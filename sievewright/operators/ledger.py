@@ -120,13 +120,12 @@ def _in_chunks(rows, chunks, key, order, columns, begin, step, adds, kinds) -> D
         mine = F.broadcast(spark.createDataFrame([(r[key], r["_chunk"]) for r in later if r["_round"] == n or not n], place).toDF("_key", "_place"))
         same = (F.col("_chunk") == F.col("_place")) & F.col(key).eqNullSafe(F.col("_key"))
         if n:
-            places_now = sorted(r["_chunk"] for r in later if r["_round"] == n)
             states = spark.read.schema(schema).parquet(f"{done}/{n - 1}").where("_state is not null").select(stored.columns)
-            part = stored.where(F.col("_chunk").isin(places_now)).join(mine, same, "left_semi").unionByName(states)
+            part = stored.where(F.col("_chunk").isin(sorted(r["_chunk"] for r in later if r["_round"] == n))).join(mine, same, "left_semi").unionByName(states)
         else:
             part = stored.join(mine, same, "left_anti")
         then = {r["_before"]: r["_chunk"] for r in later if r["_round"] == n + 1}
-        dealt = part.repartition(4 * (len(places_now) if n else chunks), "_chunk").sortWithinPartitions("_chunk", key, F.col("_state").isNull(), *order)
+        dealt = part.repartitionById(chunks, F.col("_chunk")).sortWithinPartitions("_chunk", key, F.col("_state").isNull(), *order)
         dealt.mapInArrow(_fold(key, columns, begin, step, adds, kinds, then), schema).write.parquet(f"{done}/{n}")
     return spark.read.schema(schema).parquet(*(f"{done}/{i}" for i in range(n + 1))).where("_state is null")
 
