@@ -62,3 +62,17 @@ def test_negators_before_emoji_and_chinese_terms(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     assert rows(entry.catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(entry.catalog.SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", ["event_profile"])
+def test_scores_read_whole_texts(spark, tmp_path, name):
+    """Of two documents that differ after 6,000 characters only, the one with signals there scores otherwise."""
+    told = "A title\n" + "word " * 1200
+    tail = "We introduce a new benchmark. It outperforms the baseline by 40% and sees adoption by 3 million users."
+    pd.DataFrame({"doc_id": [4, 4 + 3720], "text": [told, told + tail], "lang": "en", "source": "web", "n_chars": 9}).to_parquet(tmp_path / "documents.parquet")
+    got = entry.catalog.QUERIES[name](spark, str(tmp_path)).toPandas()
+    plain, whole = (r[1:] for r in got.sort_values("id").drop(columns="id").itertuples())
+    assert plain != whole
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert rows(got) == rows(con.execute(entry.catalog.SQL[name]).df())
