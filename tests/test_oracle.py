@@ -64,7 +64,7 @@ def test_negators_before_emoji_and_chinese_terms(spark, tmp_path, name):
     assert rows(entry.catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(entry.catalog.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["event_profile", "key_signal_gate"])
+@pytest.mark.parametrize("name", ["event_profile", "value_score", "key_signal_gate"])
 def test_scores_read_whole_texts(spark, tmp_path, name):
     """Of two documents that differ after 6,000 characters only, the one with signals there scores otherwise."""
     told = "A title\n" + "word " * 1200
