@@ -195,3 +195,12 @@ def test_package_and_terms(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"source": "x", "preferred": "y", "aliases": ["z"]}\n{"source": "x"}\n{"source": "u", "preferred": "v"}\n')
     assert [tuple(r) for r in store.load_terms(spark, str(tmp_path / "t.json")).collect()] == [("x", "y", ["z"]), ("u", "v", [])]
     assert store.load_ledger(spark, str(tmp_path / "none")) is None
+
+
+def test_html_readable_text_is_whole(spark, tmp_path):
+    from sievewright.plans import catalog
+
+    words = " ".join(["word"] * 5000)
+    spark.createDataFrame([(1, "http://e/", f"<p>{words}</p><p>end</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    (row,) = catalog.QUERIES["html_readable_text"](spark, str(tmp_path)).collect()
+    assert (row.page_id, row.text, row.size) == (1, f"{words}\nend", 25_003)
