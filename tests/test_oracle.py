@@ -76,3 +76,18 @@ def test_scores_read_whole_texts(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     assert rows(got) == rows(con.execute(entry.catalog.SQL[name]).df())
+
+
+@pytest.mark.parametrize("title, negated", [
+    ("They do not see, with no change, " + "x" * 100 + " an acquisition", True), ("Noël acquisition", False), ("No noël " + "é" * 105 + " an acquisition", True), ("No " + "x" * 119 + ",acquisition", False),
+    ("No " + "x" * 119 + "acquisition", False), ("No " + "x" * 118 + " acquisition", True), ("Not one. An acquisition", False), ("No, no, no, " + "de " * 38 + "acquisition", True), ("没有" + "的" * 119 + "收购", True), ("没有" + "的" * 121 + "收购", False),
+    ("İacquisition", False), ("Noé收购", False),
+])
+def test_negators_within_another_ones_reach(spark, tmp_path, title, negated):
+    pd.DataFrame({"doc_id": [4], "text": [title], "lang": "en", "source": "web", "n_chars": 9}).to_parquet(tmp_path / "documents.parquet")
+    got = entry.catalog.QUERIES["event_profile"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert rows(got) == rows(con.execute(entry.catalog.SQL["event_profile"]).df())
+    term = not negated and not title.endswith("xacquisition")
+    assert (got.types[0] == "market_structure") == term
