@@ -82,8 +82,8 @@ def exact_deduplicate(rows: DataFrame, url: str = "canonical_url", content: str
     return accept_by_keys(rows, (url, content), order)
 
 
-#: Counts of characters a text, and bits of its q-gram sketch.
-LETTERS, BITS = 32, 1 << 14
+#: Counts of characters a text, bits of its q-gram sketch and of its shorter one, and rows that are compared with a block at once.
+LETTERS, BITS, SHORT, ROWS = 32, 1 << 14, 1 << 12, 64
 
 
 def _least(q: int, threshold: float, whole):
@@ -114,29 +114,59 @@ def _sketches(file: str) -> dict[str, np.ndarray]:
     with store.open_input_file(path) as source:
         rows = pq.ParquetFile(source).read()
     wide = {c: np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=kind).reshape(rows.num_rows, -1) for c, kind in (("letters", np.uint8), ("bits", np.uint64))}
-    return wide | {c: np.array(rows.column(c)) for c in ("o", "n", "lost")}
+    return _shortened(wide | {c: np.array(rows.column(c)) for c in ("o", "n", "lost")})
+
+
+def _shortened(block: dict) -> dict:
+    """``block`` with shorter sketches, made by folding the bits, the grams that share a bit there, and the counts of each character in a row."""
+    short = np.bitwise_or.reduce(block["bits"].reshape(len(block["n"]), BITS // SHORT, SHORT // 64), axis=1)
+    folded = np.bitwise_count(block["bits"]).sum(axis=1, dtype=np.int64) - np.bitwise_count(short).sum(axis=1, dtype=np.int64)
+    return block | {"short": short, "short lost": block["lost"] + folded, "counts": np.ascontiguousarray(block["letters"].T.astype(np.int16))}
 
 
 def _meet(one: dict, two: dict, same: bool, threshold: float, q: int, most: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of two blocks' rows that neither bound rules out."""
-    whole = one["n"][:, None] + two["n"][None, :]
-    apart = np.zeros(whole.shape, dtype=np.uint16)
-    for x, y in zip(one["letters"].T, two["letters"].T):
-        a, b = x[:, None], y[None, :]
-        apart += np.maximum(a, b) - np.minimum(a, b)
-    left, right = np.nonzero(apart <= whole - 2 * _least(1, threshold, whole) + 1e-6)
-    if same:
-        left, right = left[left < right], right[left < right]
-    kept = []
-    for low in range(0, len(left), most):
-        i, k = left[low : low + most], right[low : low + most]
-        common = np.bitwise_count(one["bits"][i] & two["bits"][k]).sum(axis=1, dtype=np.int64) + np.minimum(one["lost"][i], two["lost"][k])
-        kept.append(common >= _least(q, threshold, one["n"][i] + two["n"][k]) - 1e-6)
-    kept = np.concatenate(kept) if kept else np.zeros(0, dtype=bool)
-    return left[kept], right[kept]
-
-
-def candidate_pairs(sized: DataFrame, threshold: float = 0.92, block: int = 1024) -> DataFrame:
+    """Places of the pairs of two blocks' rows that no bound rules out.
+
+    Sums of counts with signs differ no more than the counts do: rows are
+    sorted by such a sum, one that tells languages apart, and only rows with
+    sums near enough are compared.  Counts of characters come first, in pieces
+    that stay in the processor's cache, then short sketches, then long ones.
+    """
+    signs = np.where(np.linalg.eigh(np.atleast_2d(np.cov(one["counts"])))[1][:, -1] < 0, -1, 1) if len(one["n"]) > 1 else np.ones(LETTERS)
+    sums, others = signs @ one["counts"], signs @ two["counts"]
+    here, there = np.argsort(sums), np.argsort(others)
+    sums, others, n, m = sums[here], others[there], one["n"][here], two["n"][there]
+    used = [(x[here], y[there]) for x, y in zip(one["counts"], two["counts"]) if x.any() or y.any()]
+    apart, step, found = np.empty(ROWS * len(n), dtype=np.int16), np.empty(ROWS * len(n), dtype=np.int16), []
+    for top in range(0, len(m), ROWS):
+        rows = slice(top, min(top + ROWS, len(m)))
+        longest = int(n.max()) + int(m[rows].max())
+        far = longest - 2 * _least(1, threshold, longest) + 1e-6
+        near = slice(*np.searchsorted(sums, (others[rows][0] - far, others[rows][-1] + far)))
+        shape = (rows.stop - rows.start, near.stop - near.start)
+        total, difference = (x[: shape[0] * shape[1]].reshape(shape) for x in (apart, step))
+        total[:] = 0
+        for x, y in used:
+            np.subtract(x[None, near], y[rows, None], out=difference)
+            np.abs(difference, out=difference)
+            np.add(total, difference, out=total)
+        whole = n[None, near] + m[rows, None]
+        right, left = np.nonzero(total <= whole - 2 * _least(1, threshold, whole) + 1e-6)
+        left, right = here[left + near.start], there[right + top]
+        if same:
+            left, right = left[left < right], right[left < right]
+        for low in range(0, len(left), most):
+            i, k = left[low : low + most], right[low : low + most]
+            for bits, lost in (("short", "short lost"), ("bits", "lost")):
+                common = np.bitwise_count(one[bits][i] & two[bits][k]).sum(axis=1, dtype=np.uint16) + np.minimum(one[lost][i], two[lost][k])
+                kept = common >= _least(q, threshold, one["n"][i] + two["n"][k]) - 1e-6
+                i, k = i[kept], k[kept]
+            found.append((i, k))
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *(i for i, _ in found)]), np.concatenate([none, *(k for _, k in found)])
+
+
+def candidate_pairs(sized: DataFrame, threshold: float = 0.92, block: int = 4096) -> DataFrame:
     """(hi, lo) of rows(o, t, n) whose distinct texts may be alike: none is missed.
 
     A pair of similarity t has matching blocks of t * T / 2 characters, T being
@@ -222,20 +252,28 @@ def fuzzy_deduplicate(rows: DataFrame, threshold: float = 0.92, containment: flo
     Rows are compared by title and 500 characters of abstract, as (later row,
     earlier row).  A round accepts the rows with no open candidate before them
     and hands only pairs with an accepted row to the matcher: of a group of
-    like texts the matcher sees about one pair a text.
+    like texts the matcher sees about one pair a text.  Candidates that aren't
+    alike would make a round a row, so a round that leaves most pairs open is
+    the last of this kind: the matcher sees the rest at once, and later rounds
+    have pairs that read alike only.
     """
     compared = rows.withColumn("compared", comparison_text(F.col(title), F.col(abstract)))
     once = first_by(compared.select("compared", order), "compared", order=order).checkpoint()  # equal texts: only the first can stay
     sized = _sized(once, "compared", order)
-    rejected, open_pairs = None, candidate_pairs(sized, threshold).checkpoint()
-    while not open_pairs.isEmpty():
+    rejected, open_pairs, matched = None, candidate_pairs(sized, threshold).checkpoint(), False
+    many = open_pairs.count()
+    while many:
         waiting = open_pairs.select(F.col("hi").alias("id")).distinct()
         free = open_pairs.join(waiting, open_pairs.lo == waiting.id, "left_anti")
-        out = _alike(free, sized, threshold, containment).select(F.col("hi").alias("id")).distinct().checkpoint()
+        out = (free if matched else _alike(free, sized, threshold, containment)).select(F.col("hi").alias("id")).distinct().checkpoint()
         rejected = out if rejected is None else rejected.unionByName(out)
         left = open_pairs.join(waiting, open_pairs.lo == waiting.id, "left_semi")
         left = left.join(out, left.hi == out.id, "left_anti")
         open_pairs = left.join(out, left.lo == out.id, "left_anti").checkpoint()
+        before, many = many, open_pairs.count()
+        if not matched and many > before / 2:
+            open_pairs, matched = _alike(open_pairs, sized, threshold, containment).checkpoint(), True
+            many = open_pairs.count()
     kept = once if rejected is None else once.join(rejected.select(F.col("id").alias(order)), order, "left_anti")
     return rows.join(kept.select(order), order, "left_semi")
 

@@ -2,9 +2,11 @@
 
 import random
 import re
+from collections import Counter
 from datetime import date, datetime, timedelta, timezone
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -402,3 +404,45 @@ def test_fuzzy_dedup_hands_a_group_of_like_texts_over_once_a_text(spark, monkeyp
     frame = spark.createDataFrame(rows, "ord long, title string, abstract string")
     assert [x.ord for x in dedup.fuzzy_deduplicate(frame).collect()] == [0]
     assert seen == [119]
+
+
+def test_fuzzy_dedup_needs_few_rounds_for_candidates_that_are_not_alike(spark, monkeypatch):
+    """40 accepted texts, each a candidate of all others: the matcher is called twice, not 39 times."""
+    r, called = random.Random(9), []
+    rows = [(i, "".join(r.choice("abcdefgh") for _ in range(200)), "") for i in range(40)]
+    alike = dedup._alike
+
+    def counted(pairs, *more, **kw):
+        called.append(pairs.count())
+        return alike(pairs, *more, **kw)
+
+    monkeypatch.setattr(dedup, "_alike", counted)
+    pairs = spark.createDataFrame([(i, k) for i in range(40) for k in range(i)], "hi long, lo long")
+    monkeypatch.setattr(dedup, "candidate_pairs", lambda *_: pairs)
+    frame = spark.createDataFrame(rows, "ord long, title string, abstract string")
+    assert sorted(x.ord for x in dedup.fuzzy_deduplicate(frame).collect()) == list(range(40))
+    assert called == [39, 741]
+
+
+def test_blocks_meet_as_a_plain_count_says():
+    """Pairs of two blocks of texts in two alphabets, by the bounds on characters and q-grams one pair at a time."""
+    r, q, threshold, texts = random.Random(11), 5, 0.92, []
+    for i in range(150):
+        if texts and r.random() < 0.5:
+            t = list(r.choice(texts))
+            for _ in range(r.randint(0, 12)):
+                t[r.randrange(len(t))] = r.choice("abcxyz")
+            texts.append("".join(t))
+        else:
+            texts.append("".join(r.choice(("abcdef", "uvwxyz")[i % 2]) for _ in range(r.randint(60, 90))))
+    letters, bits, lost = zip(*(dedup._sketch(t, q)[:3] for t in texts))
+    block = dedup._shortened({
+        "letters": np.array([list(x) for x in letters], dtype=np.uint8), "bits": np.array([np.frombuffer(x, np.uint64) for x in bits]), "lost": np.array(lost), "n": np.array([len(t) for t in texts]),
+    })
+    got = set(zip(*map(np.ndarray.tolist, dedup._meet(block, block, True, threshold, q))))
+    count = lambda t, k: Counter(t[i : i + k] for i in range(len(t) - k + 1))
+    want = {
+        (i, k) for k in range(150) for i in range(k)
+        if all(sum((count(texts[i], n) & count(texts[k], n)).values()) >= dedup._least(n, threshold, len(texts[i]) + len(texts[k])) for n in (1, q))
+    }
+    assert len(want) > 50 and got == want
